@@ -120,62 +120,98 @@ def loan_agg(
 
 def _daily_moments(clicks: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, sum and squared deviations per customer and day, combined on the map side."""
-    parts = [F.count(F.lit(1)).alias(CLICKS)]
+    parts = [F.expr(f"count(*) as {CLICKS}")]
     for c in columns:
         parts += [
-            F.count(c).alias(f"{c}_n"),
-            F.sum(c).alias(f"{c}_s"),
-            (F.var_pop(c) * F.count(c)).alias(f"{c}_q"),
+            F.expr(f"count({c}) as {c}_n"),
+            F.expr(f"sum({c}) as {c}_s"),
+            F.expr(f"var_pop({c}) * count({c}) as {c}_q"),
         ]
     return (
         clicks.filter(F.col(CUSTOMER).isNotNull() & F.col("snapshot_date").isNotNull())
-        .groupBy(CUSTOMER, "snapshot_date")
+        .groupBy(CUSTOMER, F.col("snapshot_date").alias("day"))
         .agg(*parts)
     )
 
 
-def running_click_moments(
-    clicks: DataFrame,
-    labels: DataFrame,
-    columns: Sequence[str] = CLICK_FEATURES,
-    history_end: str = "inclusive",
+def _days_and_predictions(
+    clicks: DataFrame, labels: DataFrame, columns: Sequence[str], history_end: str
 ) -> DataFrame:
-    """Moments of each feature up to every prediction date of a customer.
+    """Click days and prediction dates of each customer as rows of one table.
 
-    Rows: (Customer_ID, prediction_date, n_predictions) and per feature the count ``_n``,
-    the customer's mean over all days ``_c``, and the sums ``_a`` and ``_b`` of deviations
-    from ``_c`` and of their squares. Centring on the customer's own mean keeps the squares
-    from cancelling. Dates without any earlier click have no row. A customer brings at most two rows per calendar day into its window,
-    so a customer with a third of all clicks is no larger there than any other.
+    Both are grouped by day, so a customer brings at most two rows per calendar day into a
+    window over it, even one with a third of all clicks and loans.
     """
-    days = _daily_moments(clicks, columns).withColumnRenamed("snapshot_date", "day")
-    spine = (
+    predictions = (
         labels.filter(F.col(CUSTOMER).isNotNull() & F.col("prediction_date").isNotNull())
         .groupBy(CUSTOMER, "prediction_date")
         .agg(F.count(F.lit(1)).alias(WEIGHT))
         .withColumn("day", history_cut(history_end))
     )
-    both = days.unionByName(spine, allowMissingColumns=True)
+    return _daily_moments(clicks, columns).unionByName(predictions, allowMissingColumns=True)
+
+
+OF_CUSTOMER = f"over (partition by {CUSTOMER})"
 
-    customer = Window.partitionBy(CUSTOMER)
-    so_far = customer.orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _customer_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each click day counts once per prediction on or after it."""
+    later = Window.partitionBy(CUSTOMER).orderBy(F.desc("day")).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    weighted = days.withColumn(WEIGHT, F.sum(WEIGHT).over(later)).filter(
+        F.col(CLICKS).isNotNull() & (F.col(WEIGHT) > 0)
+    )
+    means = {
+        f"{c}_mean": F.expr(
+            f"try_divide(sum({WEIGHT} * {c}_s) {OF_CUSTOMER}, sum({WEIGHT} * {c}_n) {OF_CUSTOMER})"
+        )
+        for c in columns
+    }
+    # Squares are taken around the mean itself, so they do not cancel.
+    totals = [F.expr(f"max({c}_mean) as {c}_mean") for c in columns]
+    for c in columns:
+        off = f"({c}_s / nullif({c}_n, 0) - {c}_mean)"
+        totals.append(F.expr(f"sum({WEIGHT} * {c}_n) as {c}_n"))
+        totals.append(F.expr(f"sum({WEIGHT} * ({c}_q + {c}_n * {off} * {off})) as {c}_q"))
+    return (
+        weighted.withColumns(means)
+        .groupBy(CUSTOMER)
+        .agg(*totals)
+        .select(
+            CUSTOMER,
+            *[f"{c}_mean" for c in columns],
+            *[F.expr(f"if({c}_n > 1, sqrt({c}_q / ({c}_n - 1)), null) as {c}_std") for c in columns],
+        )
+    )
+
+
+def _loan_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Running statistics, read off at each prediction date.
+
+    Running sums are taken of deviations from the customer's mean over all its days, which
+    keeps their squares from cancelling.
+    """
+    so_far = f"over (partition by {CUSTOMER} order by day range between unbounded preceding and current row)"
     centres, deviations = {}, {}
     for c in columns:
-        finite = F.abs(f"{c}_s") < float("inf")
-        total, count = (F.sum(F.when(finite, F.col(f"{c}_{part}"))).over(customer) for part in "sn")
-        centres[f"{c}_c"] = F.coalesce(ratio(total, count), F.lit(0.0))
+        total, count = (f"sum(if(abs({c}_s) < double('inf'), {c}_{part}, null)) {OF_CUSTOMER}" for part in "sn")
+        off = f"({c}_s / nullif({c}_n, 0) - {c}_c)"
+        centres[f"{c}_c"] = F.expr(f"coalesce(try_divide({total}, {count}), 0d)")
+        deviations[f"{c}_a"] = F.expr(f"{c}_n * {off}")
+        deviations[f"{c}_q"] = F.expr(f"{c}_q + {c}_n * {off} * {off}")
+    running = [f"sum({CLICKS}) {so_far} as {CLICKS}"]
     for c in columns:
-        n, s, q, mean = (F.col(f"{c}_{part}") for part in "nsqc")
-        off = ratio(s, n) - mean
-        deviations[f"{c}_a"] = n * off
-        deviations[f"{c}_b"] = q + n * off * off
-    totals = [CLICKS] + [f"{c}_{part}" for c in columns for part in "nab"]
+        running += [f"{c}_c", *[f"sum({c}_{part}) {so_far} as {c}_{part}" for part in "naq"]]
+    means = [f"{c}_c + {c}_a / nullif({c}_n, 0) as {c}_mean" for c in columns]
+    squares = {c: f"greatest({c}_q - {c}_a * {c}_a / {c}_n, 0d)" for c in columns}
+    deviation = [f"if({c}_n > 1, sqrt({squares[c]} / ({c}_n - 1)), null) as {c}_std" for c in columns]
     return (
-        both.withColumns(centres)
+        days.withColumns(centres)
         .withColumns(deviations)
-        .withColumns({name: F.sum(name).over(so_far) for name in totals})
-        .filter(F.col(WEIGHT).isNotNull() & (F.col(CLICKS) > 0))
-        .select(CUSTOMER, "prediction_date", WEIGHT, *[f"{c}_{part}" for c in columns for part in "ncab"])
+        .selectExpr(CUSTOMER, "prediction_date", *running)
+        .filter(F.col("prediction_date").isNotNull() & (F.col(CLICKS) > 0))
+        .selectExpr(CUSTOMER, "prediction_date", *means, *deviation)
     )
 
 
@@ -193,20 +229,5 @@ def clickstream_agg(
     Customers and dates without any history have no row.
     """
     check_grain(grain)
-    moments = running_click_moments(clicks, labels, columns, history_end)
-    if grain == "customer":
-        keys = [CUSTOMER]
-        weighted = {f"{c}_{part}": F.sum(F.col(WEIGHT) * F.col(f"{c}_{part}")) for c in columns for part in "nab"}
-        moments = moments.groupBy(CUSTOMER).agg(
-            *[value.alias(name) for name, value in weighted.items()],
-            *[F.max(f"{c}_c").alias(f"{c}_c") for c in columns],
-        )
-    else:
-        keys = [CUSTOMER, "prediction_date"]
-    means, deviations = [], []
-    for c in columns:
-        n, centre, a, b = (F.col(f"{c}_{part}") for part in "ncab")
-        means.append((centre + ratio(a, n)).alias(f"{c}_mean"))
-        squares = F.greatest(b - ratio(a * a, n), F.lit(0.0))
-        deviations.append(F.when(n > 1, F.sqrt(ratio(squares, n - 1))).alias(f"{c}_std"))
-    return moments.select(*keys, *means, *deviations)
+    days = _days_and_predictions(clicks, labels, columns, history_end)
+    return _customer_statistics(days, columns) if grain == "customer" else _loan_statistics(days, columns)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from riskmart.functions import parse_day_month_year
 from riskmart.operators import asof, features, history, ingest, labels, metrics, model, quality, splits
 from riskmart.plans import domain, modelling
+from riskmart.plans.silver import TABLES
 from riskmart.schemas import CLICK_FEATURES, FINANCIAL_NUMBERS, LOAN_AMOUNTS
 from riskmart.sources import (
     materialize,
@@ -331,22 +332,26 @@ def financial_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(engineered, 8, *RATIOS), 4, "Monthly_Surplus")
 
 
-def _silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Silver tables as a run has them: stored, flagged customers removed."""
-    tables, flagged = domain.cleaned(spark, sf_dir).tables, _flagged(spark, sf_dir)
-    return {
-        name: stored(spark, sf_dir, f"silver-{name}", lambda df=df: quality.remove_flagged(df, flagged))
-        for name, df in tables.items()
-    }
+def _silver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A silver table as a run has it: stored, flagged customers removed."""
+
+    def build() -> DataFrame:
+        tables = domain.cleaned(spark, sf_dir).tables
+        return quality.remove_flagged(tables[name], _flagged(spark, sf_dir))
+
+    return stored(spark, sf_dir, f"silver-{name}", build)
 
 
 def _silver_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = _silver(spark, sf_dir)["loan_daily"]
-    return stored(spark, sf_dir, "label_store", lambda: labels.label_store(daily))
+    def build() -> DataFrame:
+        return labels.label_store(_silver_table(spark, sf_dir, "loan_daily"))
+
+    return stored(spark, sf_dir, "label_store", build)
 
 
 def gold(spark: SparkSession, sf_dir: str, grain: str = "customer") -> DataFrame:
-    return features.gold_features(_silver_labels(spark, sf_dir), **_silver(spark, sf_dir), grain=grain)
+    silver = {name: _silver_table(spark, sf_dir, name) for name in TABLES}
+    return features.gold_features(_silver_labels(spark, sf_dir), **silver, grain=grain)
 
 
 def _rounded_gold(df: DataFrame) -> DataFrame:
@@ -469,16 +474,17 @@ def _model_data(
 
 
 def _saved_model(
-    spark: SparkSession, sf_dir: str, model_type: str
+    spark: SparkSession, sf_dir: str, model_type: str, refresh: bool = False
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     pipeline, train, test = _model_data(spark, sf_dir, model_type)
     path = f"{stored_dir(spark, sf_dir)}/models/{model_type}"
-    return model.fit_or_load(spark, pipeline, train, path), train, test
+    return model.fit_or_load(spark, pipeline, train, path, refresh), train, test
 
 
 def _scores(spark: SparkSession, sf_dir: str, model_type: str) -> DataFrame:
-    pipeline, train, test = _model_data(spark, sf_dir, model_type)
-    scored = model.score(pipeline.fit(train), test)
+    """Fit, save and score; later queries of this application load the saved model."""
+    fitted, _, test = _saved_model(spark, sf_dir, model_type, refresh=True)
+    scored = model.score(fitted, test)
     return rounded(scored, 6, "default_probability").select(
         "Customer_ID", "loan_id", "label", "default_probability", "prediction"
     )

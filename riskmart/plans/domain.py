@@ -146,7 +146,7 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, value = F.col("event_id"), F.col("value")
     features = [
-        F.when(key % (i + 10) != 0, value + i * (key % 7)).alias(name)
+        F.when(key % (i + 10) != 0, F.sqrt(value + i * (key % 7))).alias(name)
         for i, name in enumerate(CLICK_FEATURES, start=1)
     ]
     return table(spark, sf_dir, "events").select(

@@ -156,7 +156,7 @@ CTES: dict[str, str] = {
         from loan_events""",
     "clicks": f"""
         select event_id, user_id as Customer_ID, cast(cast(ts as date) - 9861 as date) as snapshot_date,
-               {', '.join(f"case when event_id % {i + 10} <> 0 then value + {i} * (event_id % 7) end as fe_{i}" for i in range(1, 21))}
+               {', '.join(f"case when event_id % {i + 10} <> 0 then sqrt(value + {i} * (event_id % 7)) end as fe_{i}" for i in range(1, 21))}
         from events""",
     "flagged": """
         select Customer_ID from flagged_attributes where data_quality_issue = 1
@@ -168,7 +168,9 @@ CTES: dict[str, str] = {
         union all select 'financials', Customer_ID from clean_financials
         union all select 'loan_daily', Customer_ID from loan_daily
         union all select 'clickstream', Customer_ID from clicks""",
-    "silver_labels": "select * from labels where Customer_ID not in (select Customer_ID from flagged)",
+    "silver_labels": """
+        select * from labels where Customer_ID not in (select Customer_ID from flagged)
+                               and loan_id in (select loan_id from loan_events)""",
 }
 
 
@@ -185,6 +187,8 @@ def history_sums(labels: str, keys: str, compare: str = "<=") -> str:
 
 
 def click_statistics(labels: str, keys: str) -> str:
+    if "prediction_date" in keys:
+        labels = f"(select distinct Customer_ID, prediction_date from {labels})"
     statistics = [f"avg({c}) as {c}_mean" for c in FE] + [f"stddev_samp({c}) as {c}_std" for c in FE]
     return f"""
         select {keys}, {', '.join(statistics)}
