@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskmart.functions import ratio
 from riskmart.operators.asof import asof_latest
 from riskmart.operators.history import CUSTOMER, check_grain, clickstream_agg, loan_agg
+from riskmart.operators.skew import splittable
 from riskmart.sources.partitions import PARTITION_KEYS
 
 
@@ -57,7 +58,7 @@ def gold_features(
     Label rows without an attributes snapshot drop out; other missing features are NULL.
     The feature tables share their key and are joined to each other first, a few rows per
     key and without a further shuffle, so the label table is shuffled once and its hot
-    customers meet a single join.
+    customers meet a single join, in which AQE can split them.
     """
     check_grain(grain)
     keys = [CUSTOMER] if grain == "customer" else [CUSTOMER, "prediction_date"]
@@ -70,7 +71,7 @@ def gold_features(
 
     per_key = [financials_now, loans, clicks] if grain == "customer" else [financials_now, clicks]
     known = reduce(lambda left, right: left.join(right, keys, "left"), per_key, attributes_now)
-    gold = labels.join(known, keys)
+    gold = labels.join(splittable(known), keys)
     if grain == "loan":
         gold = gold.join(loans, ["loan_id", CUSTOMER], "left")
 

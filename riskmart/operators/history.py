@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskmart.config import GRAINS, HISTORY_ENDS
 from riskmart.functions import ratio
+from riskmart.operators.skew import splittable
 from riskmart.schemas import CLICK_FEATURES
 
 CUSTOMER = "Customer_ID"
@@ -59,7 +60,8 @@ def weighted_history(
 ) -> DataFrame:
     """Rows that precede some prediction of their key, with the number of such label rows.
 
-    The profile has one row per key, so the join never multiplies rows.
+    The profile has one row per key, so the join never multiplies rows, and a hot key's
+    rows can be spread over tasks.
     """
     later = F.aggregate(
         "cuts",
@@ -69,7 +71,7 @@ def weighted_history(
     weight = F.when(F.col("snapshot_date") <= F.col("first_cut"), F.col("n_all")).otherwise(later)
     profile = prediction_profile(labels, key, history_end)
     return (
-        rows.join(profile, key)
+        rows.join(splittable(profile), key)
         .filter(F.col("snapshot_date") <= F.col("last_cut"))
         .select(*rows.columns, weight.alias(WEIGHT))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.config import LABEL_WINDOW_MONTHS, MAX_LOAN_MONTHS, PREDICTION_MONTHS
+from riskmart.operators.skew import splittable
 
 
 def effective_window(
@@ -71,17 +72,19 @@ def label_store(
 
     Loans are read from the daily table unless a table of (loan_id, Customer_ID,
     loan_start_date) is given. A loan id shared by customers is labelled for all of them.
+
+    Rows without a loan id match no event and get label 0 apart from the others. Both uses
+    of the remaining windows then have the same plan, and Spark shuffles them once.
     """
-    windows = label_windows(
-        loan_info(loan_daily if loans is None else loans),
-        prediction_months,
-        label_window_months,
-        max_loan_months,
-    )
+    source = loan_daily if loans is None else loans
+    months = (prediction_months, label_window_months, max_loan_months)
+    has_id = F.col("loan_id").isNotNull()
+    windows = label_windows(loan_info(source.filter(has_id)), *months)
+    unknown = label_windows(loan_info(source.filter(~has_id)), *months)
     defaulted = default_events(windows, loan_daily).withColumn("defaulted", F.lit(1))
-    return windows.join(defaulted, "loan_id", "left").select(
-        "Customer_ID",
-        "loan_id",
-        "prediction_date",
-        F.coalesce("defaulted", F.lit(0)).alias("label"),
+    labelled = windows.join(splittable(defaulted), "loan_id", "left").withColumn(
+        "label", F.coalesce("defaulted", F.lit(0))
+    )
+    return labelled.unionByName(unknown.withColumn("label", F.lit(0)), allowMissingColumns=True).select(
+        "Customer_ID", "loan_id", "prediction_date", "label"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.functions import blank_placeholders, float_or_null, int_or_null, without_underscores
+from riskmart.operators.skew import splittable
 from riskmart.schemas import (
     FINANCIAL_CATEGORIES,
     FINANCIAL_NUMBERS,
@@ -86,4 +87,4 @@ def remove_flagged(df: DataFrame, flagged: DataFrame) -> DataFrame:
     measured at run time, is under the session's threshold. Otherwise this is a sort-merge
     anti join whose large partitions AQE splits.
     """
-    return df.join(flagged, CUSTOMER, "left_anti")
+    return df.join(splittable(flagged), CUSTOMER, "left_anti")
