@@ -35,11 +35,11 @@ def history_cut(history_end: str = "inclusive") -> Column:
     return day if history_end == "inclusive" else F.date_sub(day, 1)
 
 
-def prediction_profile(labels: DataFrame, key: str, history_end: str = "inclusive") -> DataFrame:
-    """One row per key: first and last cut, number of label rows, and rows per cut.
+def prediction_intervals(labels: DataFrame, key: str, history_end: str = "inclusive") -> DataFrame:
+    """The days of each key cut at its predictions, as rows (key, after, cut, n_predictions).
 
-    ``cuts`` is built from rows already grouped by day, so it never holds more entries
-    than there are calendar days, however many label rows the key has.
+    Label rows are grouped by day first, so a key never has more intervals than there are
+    calendar days, however many label rows it has.
     """
     per_day = (
         labels.select(key, history_cut(history_end).alias("cut"))
@@ -47,11 +47,12 @@ def prediction_profile(labels: DataFrame, key: str, history_end: str = "inclusiv
         .groupBy(key, "cut")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return per_day.groupBy(key).agg(
-        F.min("cut").alias("first_cut"),
-        F.max("cut").alias("last_cut"),
-        F.sum("n").alias("n_all"),
-        F.collect_list(F.struct("cut", "n")).alias("cuts"),
+    later = Window.partitionBy(key).orderBy(F.desc("cut"))
+    return per_day.select(
+        F.col(key).alias("interval_key"),
+        F.lead("cut").over(later).alias("after"),
+        "cut",
+        F.sum("n").over(later).alias(WEIGHT),
     )
 
 
@@ -60,21 +61,13 @@ def weighted_history(
 ) -> DataFrame:
     """Rows that precede some prediction of their key, with the number of such label rows.
 
-    The profile has one row per key, so the join never multiplies rows, and a hot key's
-    rows can be spread over tasks.
+    A row lies in one interval of its key at most, so the join never multiplies rows, and a
+    hot key's rows can be spread over tasks.
     """
-    later = F.aggregate(
-        "cuts",
-        F.lit(0).cast("long"),
-        lambda total, c: total + F.when(c["cut"] >= F.col("snapshot_date"), c["n"]).otherwise(0),
-    )
-    weight = F.when(F.col("snapshot_date") <= F.col("first_cut"), F.col("n_all")).otherwise(later)
-    profile = prediction_profile(labels, key, history_end)
-    return (
-        rows.join(splittable(profile), key)
-        .filter(F.col("snapshot_date") <= F.col("last_cut"))
-        .select(*rows.columns, weight.alias(WEIGHT))
-    )
+    intervals = splittable(prediction_intervals(labels, key, history_end))
+    day = F.col("snapshot_date")
+    inside = (day <= F.col("cut")) & (F.col("after").isNull() | (day > F.col("after")))
+    return rows.join(intervals, (F.col(key) == F.col("interval_key")) & inside).select(*rows.columns, WEIGHT)
 
 
 def loan_history(loan_daily: DataFrame, labels: DataFrame, history_end: str = "inclusive") -> DataFrame:

@@ -115,7 +115,7 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dirty snapshot per order, with days on which a customer has several."""
     key = F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    annual, monthly = _decimal_text(cents), _decimal_text(_whole(cents, 12))
+    annual, monthly = _decimal_text(cents), _decimal_text(_whole(cents, 12) + key % 1009 * 100)
     debt = _decimal_text(F.when(key % 211 == 0, -cents).otherwise(cents * (key % 7)))
     years, months = _whole(key % 400, 12).cast("string"), (key % 400 % 12).cast("string")
     return table(spark, sf_dir, "orders").select(
@@ -127,9 +127,9 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("Monthly_Inhand_Salary"),
         (key % 9).cast("string").alias("Num_of_Loan"),
         debt.alias("Outstanding_Debt"),
-        _decimal_text(_whole(cents, 100)).alias("Total_EMI_per_month"),
-        F.when(key % 31 == 0, "__10000__").otherwise(_decimal_text(_whole(cents, 150))).alias("Amount_invested_monthly"),
-        _decimal_text(_whole(cents, 50) - 1000).alias("Monthly_Balance"),
+        _decimal_text(_whole(cents, 100) + key % 773 * 40).alias("Total_EMI_per_month"),
+        F.when(key % 31 == 0, "__10000__").otherwise(_decimal_text(_whole(cents, 150) + key % 557 * 30)).alias("Amount_invested_monthly"),
+        _decimal_text(_whole(cents, 50) - key % 13 * 10000).alias("Monthly_Balance"),
         F.when(key % 6 == 0, "NM").when(key % 10 == 3, " _ ").otherwise(F.col("o_orderpriority")).alias("Credit_Mix"),
         F.when(key % 8 == 0, "NM").otherwise(F.col("o_orderstatus")).alias("Payment_of_Min_Amount"),
         F.when(key % 4 == 0, "_______").otherwise(F.concat(F.lit("plan "), (key % 3).cast("string"))).alias("Payment_Behaviour"),
@@ -146,7 +146,7 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, value = F.col("event_id"), F.col("value")
     features = [
-        F.when(key % (i + 10) != 0, F.sqrt(value + i * (key % 7))).alias(name)
+        F.when(key % (i + 10) != 0, F.sqrt(value * (1 + key * i % 11))).alias(name)
         for i, name in enumerate(CLICK_FEATURES, start=1)
     ]
     return table(spark, sf_dir, "events").select(

@@ -111,13 +111,13 @@ CTES: dict[str, str] = {
                case when k % 5 = 0 then '_' || {decimal_text('cents')} || '_'
                     else {decimal_text('cents')} end as Annual_Income,
                case when k % 23 = 0 then '0' when k % 29 = 0 then ''
-                    else {decimal_text('cents // 12')} end as Monthly_Inhand_Salary,
+                    else {decimal_text('cents // 12 + k % 1009 * 100')} end as Monthly_Inhand_Salary,
                cast(k % 9 as varchar) as Num_of_Loan,
                {decimal_text('case when k % 211 = 0 then -cents else cents * (k % 7) end')} as Outstanding_Debt,
-               {decimal_text('cents // 100')} as Total_EMI_per_month,
-               case when k % 31 = 0 then '__10000__' else {decimal_text('cents // 150')} end
+               {decimal_text('cents // 100 + k % 773 * 40')} as Total_EMI_per_month,
+               case when k % 31 = 0 then '__10000__' else {decimal_text('cents // 150 + k % 557 * 30')} end
                    as Amount_invested_monthly,
-               {decimal_text('cents // 50 - 1000')} as Monthly_Balance,
+               {decimal_text('cents // 50 - k % 13 * 10000')} as Monthly_Balance,
                case when k % 6 = 0 then 'NM' when k % 10 = 3 then ' _ ' else o_orderpriority end as Credit_Mix,
                case when k % 8 = 0 then 'NM' else o_orderstatus end as Payment_of_Min_Amount,
                case when k % 4 = 0 then '_______' else 'plan ' || cast(k % 3 as varchar) end as Payment_Behaviour,
@@ -156,7 +156,7 @@ CTES: dict[str, str] = {
         from loan_events""",
     "clicks": f"""
         select event_id, user_id as Customer_ID, cast(cast(ts as date) - 9861 as date) as snapshot_date,
-               {', '.join(f"case when event_id % {i + 10} <> 0 then sqrt(value + {i} * (event_id % 7)) end as fe_{i}" for i in range(1, 21))}
+               {', '.join(f"case when event_id % {i + 10} <> 0 then sqrt(value * (1 + event_id * {i} % 11)) end as fe_{i}" for i in range(1, 21))}
         from events""",
     "flagged": """
         select Customer_ID from flagged_attributes where data_quality_issue = 1
