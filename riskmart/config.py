@@ -25,13 +25,11 @@ MODEL_PATH = "model_store"
 GRAINS = ("customer", "loan")
 HISTORY_ENDS = ("inclusive", "exclusive")
 
-# Session settings the plans are designed for. All are Spark defaults except the
-# skew setting: joins that feed an aggregation on the same key are split only with it.
+# Session settings the plans rely on, all of them Spark's defaults.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -74,17 +74,19 @@ def trainable_columns(
 ) -> tuple[list[str], list[str]]:
     """Columns a pipeline can be fitted on.
 
-    Numeric columns without any value have no median and are left out. With
+    Columns without any value have no median and no categories and are left out. With
     ``max_categories``, a categorical column with more distinct values is an error rather
     than an unlimited list of categories on the driver.
     """
-    present = {r.feature for r in feature_presence(train, [], numeric).collect() if r.n_present}
+    presence = feature_presence(train, categorical, numeric).collect()
+    present = {r.feature for r in presence if r.n_present}
+    categorical = [c for c in categorical if c in present]
     if max_categories is not None and categorical:
         widths = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
         wide = [c for c in categorical if widths[c] > max_categories]
         if wide:
             raise ValueError(f"more than {max_categories} categories, exclude them: {wide}")
-    return list(categorical), [c for c in numeric if c in present]
+    return categorical, [c for c in numeric if c in present]
 
 
 def create_pipeline(

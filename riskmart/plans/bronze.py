@@ -4,49 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from riskmart.operators.ingest import rejected_rows, valid_rows, with_calendar
 from riskmart.schemas import SOURCES
-from riskmart.sources import read_csv, write_partitions, write_table
+from riskmart.sources import is_complete, read_csv, write_partitions, write_table
 
 REJECTS = "rejects"
 
 
 def ingest_source(
     spark: SparkSession, name: str, path: str, bronze_path: str, multi_line: bool = False
-) -> dict[str, int]:
-    """Ingest one source: dated rows by month, the others into ``rejects/<name>``.
+) -> None:
+    """Ingest one source: dated rows by month, this batch's others into ``rejects/<name>``.
 
-    The rejects are counted while the dated rows are written, so the file is read a second
-    time only if there are any.
+    The rejects come last, so their finished write marks the source as ingested. (Replacing
+    single partitions leaves no success mark in the table itself.)
     """
     raw = read_csv(spark, path, SOURCES.get(name, T.StructType()), multi_line)
     calendar = with_calendar(raw)
-    seen = Observation(f"bronze {name}")
-    undated = F.count(F.when(F.col("snapshot_date").isNull(), 1))
-    counted = calendar.observe(seen, F.count(F.lit(1)).alias("rows"), undated.alias("rejected"))
-    write_partitions(valid_rows(counted), f"{bronze_path}/{name}")
-    counts = seen.get
-    if counts["rejected"]:
-        write_table(rejected_rows(calendar), f"{bronze_path}/{REJECTS}/{name}")
-    return counts
+    write_partitions(valid_rows(calendar), f"{bronze_path}/{name}")
+    write_table(rejected_rows(calendar), f"{bronze_path}/{REJECTS}/{name}")
+
+
+def is_ingested(spark: SparkSession, name: str, bronze_path: str) -> bool:
+    return is_complete(spark, f"{bronze_path}/{REJECTS}/{name}")
 
 
 def ingest_bronze(
     spark: SparkSession, raw_paths: Mapping[str, str], bronze_path: str, multi_line: bool = False
-) -> dict[str, dict[str, int]]:
+) -> None:
     """Ingest every source. One that fails does not stop the others; all failures are
     raised together at the end."""
-    counts, failures = {}, []
+    failures = []
     for name, path in raw_paths.items():
         try:
-            counts[name] = ingest_source(spark, name, path, bronze_path, multi_line)
+            ingest_source(spark, name, path, bronze_path, multi_line)
         except Exception as error:
             error.add_note(f"source {name!r} at {path}")
             failures.append(error)
     if failures:
         raise ExceptionGroup("bronze ingest failed for some sources", failures)
-    return counts

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from riskmart.config import Config
-from riskmart.plans.bronze import ingest_bronze
+from riskmart.plans.bronze import ingest_bronze, is_ingested
 from riskmart.plans.gold import build_gold
 from riskmart.plans.modelling import Modelling, train_models
 from riskmart.plans.silver import TABLES, build_silver
@@ -17,7 +17,7 @@ def run(spark: SparkSession, config: Config, split: str = "time", refresh: bool
     pending = {
         name: path
         for name, path in config.raw_paths.items()
-        if refresh or not is_complete(spark, f"{config.bronze_path}/{name}")
+        if refresh or not is_ingested(spark, name, config.bronze_path)
     }
     ingest_bronze(spark, pending, config.bronze_path)
     if refresh or not all(is_complete(spark, f"{config.silver_path}/{name}") for name in TABLES):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskmart.operators import asof, history, labels, quality
+from riskmart.operators import asof, features, history, labels, quality
 from riskmart.plans import catalog
 
 SMALL = {
@@ -12,14 +12,13 @@ SMALL = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
     "spark.sql.shuffle.partitions": "8",
 }
 
 
 @pytest.fixture
 def tiny_thresholds(spark):
-    """Skew handling as at scale, without the one setting that is not Spark's default."""
+    """Skew handling as at scale, on small data."""
     before = {key: spark.conf.get(key, None) for key in SMALL}
     for key, value in SMALL.items():
         spark.conf.set(key, value)
@@ -64,6 +63,24 @@ def test_removal_splits_a_hot_customer(spark, tiny_thresholds, hot):
     assert "skew=true" in final_plan(quality.remove_flagged(hot, flagged))
 
 
+def test_gold_join_splits_a_hot_customer(spark, tiny_thresholds, hot):
+    store = hot.select(
+        F.when(F.rand(9) < 0.4, 0).otherwise(F.col("Customer_ID")).alias("Customer_ID"),
+        F.monotonically_increasing_id().alias("loan_id"),
+        F.lit("2023-06-01").cast("date").alias("prediction_date"),
+        F.lit(0).alias("label"),
+    )
+    dated = hot.select("Customer_ID", "snapshot_date").dropDuplicates(["Customer_ID"])
+    attributes = dated.withColumns({"Age": F.lit(30), "year": F.lit(2023), "month": F.lit(1)})
+    financials = dated.withColumns(
+        {c: F.lit(1.0).cast("float") for c in quality.FINANCIAL_NUMBERS} | {"Credit_History_Age": F.lit("1 Years")}
+    )
+    clicks = dated.withColumns({c: F.lit(1.0) for c in history.CLICK_FEATURES})
+    gold = features.gold_features(store, attributes, financials, hot, clicks)
+    plan = final_plan(gold.select("Customer_ID", "loan_id", "Age", "DTI", "fe_1_mean", "hist_total_due"))
+    assert "SortMergeJoin(skew=true) [Customer_ID" in plan
+
+
 def test_asof_finds_dates_on_distinct_days_only(spark, tiny_thresholds, hot):
     store = labels.label_windows(labels.loan_info(hot))
     plan = final_plan(asof.asof_latest(hot, store))
