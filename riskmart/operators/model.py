@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskmart.sources.tables import is_complete
+from riskmart.sources.tables import is_complete, shared_dir, write_table
 
 # Columns that are never features, and the model parameters that differ
 # from Spark's defaults.
@@ -123,6 +123,20 @@ def feature_fingerprint(train: DataFrame, pipeline: Pipeline) -> str:
     return hashlib.sha256(json.dumps([stages, types], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def fit(spark: SparkSession, pipeline: Pipeline, train: DataFrame, vectors_path: str) -> PipelineModel:
+    """Fit the preparing stages, store the training vectors, fit the classifier on them.
+
+    The classifier reads its input many times. From a stored table of vectors its tasks
+    carry no preparation, and what a lost executor held is read again, not prepared again.
+    """
+    *preparing, classifier = pipeline.getStages()
+    prepared = Pipeline(stages=preparing).fit(train)
+    vectors = prepared.transform(train).select("features", "label")
+    write_table(vectors, vectors_path)
+    stored = spark.read.schema(vectors.schema).parquet(vectors_path)
+    return PipelineModel(stages=[*prepared.stages, classifier.fit(stored)])
+
+
 def fit_or_load(
     spark: SparkSession, pipeline: Pipeline, train: DataFrame, path: str, refresh: bool = False
 ) -> PipelineModel:
@@ -130,11 +144,12 @@ def fit_or_load(
 
     The fingerprint is written last, so a model without one is an unfinished save.
     """
+    name = hashlib.sha256(path.encode()).hexdigest()[:12]
     mark = f"{path}/fingerprint"
     fingerprint = feature_fingerprint(train, pipeline)
     if not refresh and is_complete(spark, mark) and spark.read.text(mark).first()[0] == fingerprint:
         return PipelineModel.load(path)
-    model = pipeline.fit(train)
+    model = fit(spark, pipeline, train, f"{shared_dir(spark)}/vectors-{name}")
     model.write().overwrite().save(path)
     spark.createDataFrame([(fingerprint,)], "value string").coalesce(1).write.text(mark)
     return model

@@ -131,21 +131,30 @@ def test_importances_belong_to_columns_and_add_up(spark, trained, gold):
     assert M.feature_importance(spark, result.models["logistic_regression"].model, gold) is None
 
 
-def test_saved_model_is_used_only_for_the_same_features(spark, gold, trained):
+def test_saved_model_is_used_only_for_the_same_features(spark, gold, trained, monkeypatch):
     path, result = trained
     saved = f"{path}/random_forest_pipeline"
 
-    class Unfitted(type(M.create_pipeline([], ["year"]))):
-        def fit(self, *_):
-            raise AssertionError("fitted again")
+    def unfitted(*_):
+        raise AssertionError("fitted again")
 
-    stages = M.create_pipeline(["Occupation"], ["income", "year"], "random_forest").getStages()
-    loaded = M.fit_or_load(spark, Unfitted(stages=stages), result.train, saved)
+    monkeypatch.setattr(M, "fit", unfitted)
+    pipeline = M.create_pipeline(["Occupation"], ["income", "year"], "random_forest")
+    loaded = M.fit_or_load(spark, pipeline, result.train, saved)
     same = M.score(loaded, result.test).select("loan_id", "default_probability")
     assert values(same) == values(M.score(result.models["random_forest"].model, result.test), "loan_id", "default_probability")
-    fewer = M.create_pipeline(["Occupation"], ["income"], "random_forest").getStages()
+    fewer = M.create_pipeline(["Occupation"], ["income"], "random_forest")
     with pytest.raises(AssertionError, match="fitted again"):
-        M.fit_or_load(spark, Unfitted(stages=fewer), result.train, saved)
+        M.fit_or_load(spark, fewer, result.train, saved)
+
+
+def test_fitting_on_stored_vectors_gives_the_pipelines_model(spark, gold, tmp_path):
+    pipeline = M.create_pipeline(["Occupation"], ["income", "year"])
+    ours = M.fit(spark, pipeline, gold, str(tmp_path / "vectors"))
+    theirs = pipeline.fit(gold)
+    assert [type(s) for s in ours.stages] == [type(s) for s in theirs.stages]
+    for a, b in zip(ours.stages[-1].coefficients, theirs.stages[-1].coefficients, strict=True):
+        assert math.isclose(a, b, rel_tol=1e-4, abs_tol=1e-6)
 
 
 def test_pipeline_without_categories(spark, gold):
