@@ -25,15 +25,12 @@ MODEL_PATH = "model_store"
 GRAINS = ("customer", "loan")
 HISTORY_ENDS = ("inclusive", "exclusive")
 
-# Session settings the plans rely on. The last is raised above Spark's default: the daily
-# statistics of 20 features have slightly more than 100 fields, above which Spark would not
-# generate code for them.
+# Session settings the plans rely on. Adaptive execution is on by default.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.codegen.maxFields": "300",
 }
 
 

@@ -19,7 +19,7 @@ from riskmart.schemas import CLICK_FEATURES
 
 CUSTOMER = "Customer_ID"
 WEIGHT = "n_predictions"
-CLICKS = "n_clicks"
+IS_CLICK_DAY = "is_click_day"
 
 
 def check_grain(grain: str) -> None:
@@ -115,7 +115,7 @@ def loan_agg(
 
 def _daily_moments(clicks: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, sum and squared deviations per customer and day, combined on the map side."""
-    parts = [F.expr(f"count(*) as {CLICKS}")]
+    parts = []
     for c in columns:
         parts += [
             F.expr(f"count({c}) as {c}_n"),
@@ -126,6 +126,7 @@ def _daily_moments(clicks: DataFrame, columns: Sequence[str]) -> DataFrame:
         clicks.filter(F.col(CUSTOMER).isNotNull() & F.col("snapshot_date").isNotNull())
         .groupBy(CUSTOMER, F.col("snapshot_date").alias("day"))
         .agg(*parts)
+        .withColumn(IS_CLICK_DAY, F.lit(1))
     )
 
 
@@ -155,7 +156,7 @@ def _customer_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
         Window.unboundedPreceding, Window.currentRow
     )
     weighted = days.withColumn(WEIGHT, F.sum(WEIGHT).over(later)).filter(
-        F.col(CLICKS).isNotNull() & (F.col(WEIGHT) > 0)
+        F.col(IS_CLICK_DAY).isNotNull() & (F.col(WEIGHT) > 0)
     )
     means = {
         f"{c}_mean": F.expr(
@@ -195,7 +196,7 @@ def _loan_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
         centres[f"{c}_c"] = F.expr(f"coalesce(try_divide({total}, {count}), 0d)")
         deviations[f"{c}_a"] = F.expr(f"{c}_n * {off}")
         deviations[f"{c}_q"] = F.expr(f"{c}_q + {c}_n * {off} * {off}")
-    running = [f"sum({CLICKS}) {so_far} as {CLICKS}"]
+    running = [f"sum({IS_CLICK_DAY}) {so_far} as {IS_CLICK_DAY}"]
     for c in columns:
         running += [f"{c}_c", *[f"sum({c}_{part}) {so_far} as {c}_{part}" for part in "naq"]]
     means = [f"{c}_c + {c}_a / nullif({c}_n, 0) as {c}_mean" for c in columns]
@@ -205,7 +206,7 @@ def _loan_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
         days.withColumns(centres)
         .withColumns(deviations)
         .selectExpr(CUSTOMER, "prediction_date", *running)
-        .filter(F.col("prediction_date").isNotNull() & (F.col(CLICKS) > 0))
+        .filter(F.col("prediction_date").isNotNull() & (F.col(IS_CLICK_DAY) > 0))
         .selectExpr(CUSTOMER, "prediction_date", *means, *deviation)
     )
 
