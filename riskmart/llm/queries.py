@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.llm import decontaminate, quality
+from riskmart.llm import bpe, decontaminate, quality, token_counts
 from riskmart.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(documents, benchmark))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
+def bpe_digest(documents: DataFrame) -> DataFrame:
+    """Encode, decode again, and digest both."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(documents, ranks), ranks)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -44,7 +66,7 @@ def _shipping(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {q.__name__: _shipping(q) for q in (op4_decontaminate, op10_quality)}
+QUERIES: dict[str, Query] = {q.__name__: _shipping(q) for q in (op4_decontaminate, op5_token_counts, op8_bpe, op10_quality)}
 
 WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
 
