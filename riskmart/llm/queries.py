@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.llm import bpe, decontaminate, quality, token_counts
+from riskmart.llm import bpe, decontaminate, fingerprint, pack, quality, token_counts, urls, warc
 from riskmart.llm.ship import ship
+from riskmart.sources import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pack.pack(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, urls.labelled_urls(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = f"{shared_dir(spark)}/warc-{uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), archive)
+    return warc_digest(warc.read(spark, archive, payload=False))
+
+
+def warc_digest(records: DataFrame) -> DataFrame:
+    """Records with the length of the payload that they stand for; a revisit has it from its response."""
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = records.withColumnRenamed("stated_bytes", "payload_bytes").select(*columns)
+    responses, revisits = (found.filter(F.col("record_type") == kind) for kind in ("response", "revisit"))
+    originals = responses.select(
+        F.col("page_id").alias("original"), F.col("payload_digest").alias("original_digest"), "payload_bytes"
+    ).drop_duplicates(["original", "original_digest"])
+    of_original = F.col("original").eqNullSafe(F.col("refers_to")) & (F.col("original_digest") == F.col("payload_digest"))
+    resolved = revisits.drop("payload_bytes").join(originals, of_original)
+    return responses.unionByName(resolved.select(*columns))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.scan(documents, benchmark))
@@ -45,6 +77,10 @@ def bpe_digest(documents: DataFrame) -> DataFrame:
     )
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -66,11 +102,34 @@ def _shipping(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {q.__name__: _shipping(q) for q in (op4_decontaminate, op5_token_counts, op8_bpe, op10_quality)}
+QUERIES: dict[str, Query] = {
+    q.__name__: _shipping(q)
+    for q in (
+        op1_pack,
+        op2_url_filter,
+        op3_warc,
+        op4_decontaminate,
+        op5_token_counts,
+        op8_bpe,
+        op9_fingerprint,
+        op10_quality,
+    )
+}
 
 WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
 
 ORACLES = {
+    "op3_warc": """
+        with page as (
+            select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as payload_bytes,
+                sha256(coalesce(html, '')) as payload_digest
+            from pages),
+        judged as (
+            select *, min(page_id) over (partition by payload_digest) as first_id from page)
+        select page_id, payload_bytes, payload_digest,
+            case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+        from judged""",
     "op4_decontaminate": f"""
         with item as (
             select item_id, {WORDS.format(text="coalesce(text, '')", pattern='[0-9a-z[:^ascii:]]+')} as w
