@@ -28,7 +28,7 @@ from riskmart.llm.pretokens import pretokens
 
 U64 = np.uint64
 #: Text of a chunk. More means fewer repeated words in the shuffle, and more memory in a task.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
