@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.llm import bpe, decontaminate, fingerprint, pack, quality, token_counts, urls, warc
+from riskmart.llm import bpe, decontaminate, fingerprint, jaccard, pack, quality, token_counts, urls, warc
 from riskmart.llm.ship import ship
 from riskmart.sources import shared_dir
 
@@ -61,6 +61,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -110,12 +115,17 @@ QUERIES: dict[str, Query] = {
         op3_warc,
         op4_decontaminate,
         op5_token_counts,
+        op7_jaccard_join,
         op8_bpe,
         op9_fingerprint,
         op10_quality,
     )
 }
 
+SHINGLES = """
+    list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i : i + 4], 'string_agg', ' ')) end)"""
+
 WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
 
 ORACLES = {
@@ -130,6 +140,25 @@ ORACLES = {
             case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
             case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
         from judged""",
+    "op7_jaccard_join": f"""
+        with recursive doc as (
+            select row_number() over () as row_id, doc_id,
+                {WORDS.format(text="coalesce(text, '')", pattern="[^\\x20\\x09-\\x0D]+")} as w
+            from documents),
+        sets as (select row_id, doc_id, {SHINGLES} as s from doc),
+        shingle as (select row_id, len(s) as n, unnest(s) as shingle from sets),
+        link as (
+            select a.row_id as x, b.row_id as y
+            from shingle a join shingle b on a.shingle = b.shingle and a.row_id <> b.row_id
+            group by a.row_id, b.row_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach as (
+            select row_id as x, row_id as y from sets
+            union
+            select r.x, l.y from reach r join link l on r.y = l.x)
+        select s.doc_id, len(s.s) as n_shingles, c.component_id
+        from sets s join (
+            select r.x, min(t.doc_id) as component_id from reach r join sets t on r.y = t.row_id group by r.x) c
+            on c.x = s.row_id""",
     "op4_decontaminate": f"""
         with item as (
             select item_id, {WORDS.format(text="coalesce(text, '')", pattern='[0-9a-z[:^ascii:]]+')} as w
