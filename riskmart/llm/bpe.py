@@ -232,24 +232,47 @@ def token_bytes(ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
 
 
+def _decoded(column: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes | None]:
+    data, offsets = table
+    for value in column:
+        if not value.is_valid:
+            yield None
+            continue
+        ids = np.frombuffer(value.as_buffer(), "<u4").astype(np.int64)
+        yield gather(data, offsets[ids], offsets[ids + 1] - offsets[ids]).tobytes()
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``encoded`` with one more column: the tokens' bytes. Null ids give null; an id out of the vocabulary is an error."""
     table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
     place = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, offsets = table.value
         for batch in batches:
-            decoded = []
-            for value in batch.column(place):
-                if not value.is_valid:
-                    decoded.append(None)
-                    continue
-                ids = np.frombuffer(value.as_buffer(), "<u4").astype(np.int64)
-                decoded.append(gather(data, offsets[ids], offsets[ids + 1] - offsets[ids]).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(decoded, pa.binary())], schema=batch.schema.append(pa.field(bytes_col, pa.binary()))
-            )
+            decoded = pa.array(list(_decoded(batch.column(place), table.value)), pa.binary())
+            schema = batch.schema.append(pa.field(bytes_col, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], schema=schema)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, `{bytes_col}` binary")
+
+
+def digest(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
+    """Of each row of ``encode``: id, number of tokens, and SHA-256 of the ids and of the bytes that they decode to.
+
+    The same as ``decode`` and digests of its columns, without sending the decoded texts back to the JVM.
+    """
+    table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            size = [len(x.as_buffer()) // 4 for x in ids]
+            ids_digest = [hashlib.sha256(x.as_buffer()).hexdigest() for x in ids]
+            decoded_digest = [hashlib.sha256(x).hexdigest() for x in _decoded(ids, table.value)]
+            columns = [batch.column(id_col), pa.array(size, pa.int64()), pa.array(ids_digest), pa.array(decoded_digest)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    key = encoded.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {key}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encoded.select(id_col, "ids").mapInArrow(run, schema)

@@ -73,13 +73,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digest(documents: DataFrame) -> DataFrame:
     """Encode, decode again, and digest both."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(documents, ranks), ranks)
-    return decoded.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.digest(bpe.encode(documents, ranks), ranks)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

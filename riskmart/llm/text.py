@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts of a batch are handled in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C53 | 3  # 3 modulo 8, so that base - 1 has one factor 2
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
