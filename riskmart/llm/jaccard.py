@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from riskmart.llm import text as T
 from riskmart.llm.bpe import pack, unpack
@@ -56,6 +57,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tup
     return (pairs >> U64(BITS)).astype(np.int64), pairs & U64((1 << BITS) - 1)
 
 
+def describe(text: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each text's set and its name, 128 bits of two sums of mixed shingles, which do not depend on their order."""
+    sizes = np.bincount(text, minlength=n)
+    ends, names = np.cumsum(sizes), []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(T.mix(keys ^ U64(salt)), dtype=U64)])
+        names.append(T.mix(total[ends] - total[ends - sizes] + sizes.astype(U64)))
+    return sizes, np.stack(names, axis=1)
+
+
 class Chunk:
     """Shingles of many documents, in their own order."""
 
@@ -66,15 +77,10 @@ class Chunk:
     def add(self, batch: pa.RecordBatch) -> None:
         data, offsets = T.flat(batch.column("text"))
         text, keys = shingles(data, offsets)
-        sizes = np.bincount(text, minlength=batch.num_rows)
-        ends = np.cumsum(sizes)
-        names = []
-        for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):  # the sum of mixed shingles does not depend on their order
-            total = np.concatenate([[0], np.cumsum(T.mix(keys ^ U64(salt)), dtype=U64)]).astype(U64)
-            names.append(T.mix(total[ends] - total[ends - sizes] + sizes.astype(U64)))
+        sizes, names = describe(text, keys, batch.num_rows)
         self.ids.append(batch.column("id"))
         self.sizes.append(sizes)
-        self.names.append(np.stack(names, axis=1))
+        self.names.append(names)
         self.docs.append((text + self.n).astype(np.uint32))
         self.keys.append(keys)
         self.size += len(data)
@@ -303,7 +309,7 @@ def _remaining_pairs(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``class`` (rows with equal sets share it) and ``component_id``.
+    """One row per row of ``docs``: id, ``n_shingles``, ``class`` (rows with equal sets share it), ``component`` and ``component_id``.
 
     ``component_id`` is the smallest id reachable by links, the row's own included; null ids count only where there is no other. Rows without
     words have no shingles and their own id. Repeated ids are rows of their own, of which each belongs to its set's class. Other columns are
@@ -328,11 +334,52 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes_ids = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = classes_ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = named.join(least, "component").select("node", "component_id")
+    of_node = named.join(least, "component").select("node", "component", "component_id")
     joined = rows.select("id", "n", "node").join(of_node, "node", "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.col("node").alias("class"),
+        "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+
+def _named(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with its texts' classes, as ``join`` has them, in a last column ``_class``."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            numbered = pa.RecordBatch.from_arrays(whole.columns, names=[str(i) for i in range(whole.num_columns)])
+            for batch in T.slices(numbered, str(place)):
+                for start in range(0, batch.num_rows, 50_000):
+                    part = batch.slice(start, 50_000)
+                    _, names = describe(*shingles(*T.flat(part.column(place))), part.num_rows)
+                    values = pa.array([x.tobytes() for x in names], pa.binary())
+                    schema = whole.schema.append(pa.field("_class", pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, values], schema=schema)
+
+    named = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_class", BinaryType())]))
+    return named.withColumn("_class", F.xxhash64("_class"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, of the smallest id and then of the lowest class; columns stay.
+
+    Rows without words are linked with nothing and all stay. Null ids are kept only where a component has no other. Of rows equal in id and
+    shingle set one stays.
+    """
+    joined = store(join(docs, id_col, text_col).withColumnRenamed(id_col, "_id"), "joined")
+    linked = joined.filter("n_shingles > 0").groupBy("component", "_id", "class").agg(F.count(F.lit(1)).alias("copies"))
+    order = F.struct(F.col("_id").isNull().alias("missing"), "_id", "class", "copies")
+    kept = linked.groupBy("component").agg(F.min(order).alias("first")).select("first._id", "first.class", "first.copies")
+    wordless = joined.filter("n_shingles = 0").select("_id", "class", F.lit(1).cast("long").alias("copies")).distinct()
+    kept = store(kept.unionByName(wordless), "kept")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("class"))
+    rows = _named(docs, text_col).join(kept, same)
+    once = rows.filter("copies = 1").select(*docs.columns)
+    if kept.filter("copies > 1").isEmpty():
+        return once
+    return once.unionByName(rows.filter("copies > 1").drop_duplicates(["_id", "_class"]).select(*docs.columns))

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.llm import bpe, decontaminate, fingerprint, jaccard, pack, quality, token_counts, urls, warc
+from riskmart.llm import bpe, decontaminate, fingerprint, jaccard, pack, quality, repeats, token_counts, urls, warc
 from riskmart.llm.ship import ship
 from riskmart.sources import shared_dir
 
@@ -61,6 +61,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.join(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "n_shingles", "component_id")
@@ -109,6 +120,7 @@ QUERIES: dict[str, Query] = {
         op3_warc,
         op4_decontaminate,
         op5_token_counts,
+        op6_repeats,
         op7_jaccard_join,
         op8_bpe,
         op9_fingerprint,
