@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmart.llm import bpe, decontaminate, fingerprint, jaccard, pack, quality, repeats, token_counts, urls, warc
+from riskmart.llm.components import store
 from riskmart.llm.ship import ship
 from riskmart.sources import shared_dir
 
@@ -41,7 +42,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_digest(records: DataFrame) -> DataFrame:
     """Records with the length of the payload that they stand for; a revisit has it from its response."""
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    found = records.withColumnRenamed("stated_bytes", "payload_bytes").select(*columns)
+    found = store(records.withColumnRenamed("stated_bytes", "payload_bytes").select(*columns), "records")
     responses, revisits = (found.filter(F.col("record_type") == kind) for kind in ("response", "revisit"))
     originals = responses.select(
         F.col("page_id").alias("original"), F.col("payload_digest").alias("original_digest"), "payload_bytes"
