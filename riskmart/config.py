@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 # Defaults that decide results or where data is found.
 PREDICTION_MONTHS = 1
@@ -21,6 +21,7 @@ SILVER_PATH = "datamart/silver"
 GOLD_PATH = "datamart/gold"
 LABEL_STORE_PATH = "datamart/label_store"
 MODEL_PATH = "model_store"
+WORK_PATH = "work"
 
 GRAINS = ("customer", "loan")
 HISTORY_ENDS = ("inclusive", "exclusive")
@@ -38,7 +39,9 @@ RECOMMENDED_CONF = {
 class Config:
     """Paths and parameters of the bronze → silver → gold → model run.
 
-    Paths may be any URI the cluster's Hadoop file systems understand.
+    Paths may be any URI the cluster's Hadoop file systems understand; all of them, ``work_path`` for intermediate
+    tables included, must be visible to every executor. ``multi_line`` names the sources whose fields hold line breaks, ``column_types``
+    declares columns by source and name that the schemas do not, and ``exclude`` keeps columns out of the features.
     """
 
     raw_paths: Mapping[str, str]
@@ -47,12 +50,17 @@ class Config:
     label_path: str = LABEL_STORE_PATH
     gold_path: str = GOLD_PATH
     model_path: str = MODEL_PATH
+    work_path: str = WORK_PATH
     prediction_months: int = PREDICTION_MONTHS
     label_window_months: int = LABEL_WINDOW_MONTHS
     max_loan_months: int = MAX_LOAN_MONTHS
     test_last_n_months: int = TEST_LAST_N_MONTHS
     grain: str = "customer"
     history_end: str = "inclusive"
+    plural_only: bool = True
+    exclude: tuple[str, ...] = ()
+    multi_line: Mapping[str, bool] = field(default_factory=dict)
+    column_types: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.grain not in GRAINS:
@@ -71,5 +79,6 @@ class Config:
             "label_path": f"{base}/{LABEL_STORE_PATH}",
             "gold_path": f"{base}/{GOLD_PATH}",
             "model_path": f"{base}/{MODEL_PATH}",
+            "work_path": f"{base}/{WORK_PATH}",
         }
         return cls(**{**paths, **changes})

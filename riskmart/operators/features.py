@@ -52,6 +52,7 @@ def gold_features(
     clickstream: DataFrame,
     grain: str = "customer",
     history_end: str = "inclusive",
+    plural_only: bool = True,
 ) -> DataFrame:
     """Label rows with everything known about the customer at prediction time.
 
@@ -63,9 +64,8 @@ def gold_features(
     check_grain(grain)
     keys = [CUSTOMER] if grain == "customer" else [CUSTOMER, "prediction_date"]
     attributes_now = asof_latest(attributes, labels, grain, history_end)
-    financials_now = financial_features(asof_latest(financials, labels, grain, history_end)).drop(
-        "snapshot_date", *PARTITION_KEYS
-    )
+    latest_financials = asof_latest(financials, labels, grain, history_end)
+    financials_now = financial_features(latest_financials, plural_only).drop("snapshot_date", *PARTITION_KEYS)
     loans = loan_agg(loan_daily, labels, grain, history_end)
     clicks = clickstream_agg(clickstream, labels, grain, history_end=history_end)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,10 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskmart.sources.tables import is_complete, shared_dir, write_table
+from riskmart.sources.tables import digest, is_complete, remove, shared_dir, write_table
 
-# Columns that are never features, and the model parameters that differ
-# from Spark's defaults.
+# Columns that are never features, and the forest's seed.
 IGNORED = (
     "Customer_ID",
     "Name",
@@ -33,10 +30,8 @@ IGNORED = (
 FOREST_SEED = 42
 
 MODELS = {
-    "logistic_regression": lambda: LogisticRegression(featuresCol="features", labelCol="label"),
-    "random_forest": lambda: RandomForestClassifier(
-        featuresCol="features", labelCol="label", seed=FOREST_SEED
-    ),
+    "logistic_regression": LogisticRegression,
+    "random_forest": lambda: RandomForestClassifier(seed=FOREST_SEED),
 }
 
 
@@ -67,26 +62,12 @@ def feature_presence(df: DataFrame, categorical: Sequence[str], numeric: Sequenc
 
 
 def trainable_columns(
-    train: DataFrame,
-    categorical: Sequence[str],
-    numeric: Sequence[str],
-    max_categories: int | None = None,
+    train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]
 ) -> tuple[list[str], list[str]]:
-    """Columns a pipeline can be fitted on.
-
-    Columns without any value have no median and no categories and are left out. With
-    ``max_categories``, a categorical column with more distinct values is an error rather
-    than an unlimited list of categories on the driver.
-    """
+    """Columns a pipeline can be fitted on: those without any value have no median and no categories and are left out."""
     presence = feature_presence(train, categorical, numeric).collect()
     present = {r.feature for r in presence if r.n_present}
-    categorical = [c for c in categorical if c in present]
-    if max_categories is not None and categorical:
-        widths = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-        wide = [c for c in categorical if widths[c] > max_categories]
-        if wide:
-            raise ValueError(f"more than {max_categories} categories, exclude them: {wide}")
-    return categorical, [c for c in numeric if c in present]
+    return [c for c in categorical if c in present], [c for c in numeric if c in present]
 
 
 def create_pipeline(
@@ -112,44 +93,52 @@ def create_pipeline(
     return Pipeline(stages=[*stages, MODELS[model_type]()])
 
 
-def feature_fingerprint(train: DataFrame, pipeline: Pipeline) -> str:
-    """Digest of the pipeline's stages and of the names and types of its inputs."""
+def feature_fingerprint(train: DataFrame, pipeline: Pipeline, data_key: str = "") -> str:
+    """Digest of the pipeline's stages, of the names and types of its inputs, and of the rows' ``data_key``."""
     stages, inputs = [], set()
     for stage in pipeline.getStages():
         params = {p.name: stage.getOrDefault(p) for p in stage.params if stage.isSet(p)}
         inputs |= set(params.get("inputCols") or ())
         stages.append([type(stage).__name__, params])
     types = sorted((f.name, f.dataType.simpleString()) for f in train.schema.fields if f.name in inputs)
-    return hashlib.sha256(json.dumps([stages, types], sort_keys=True, default=str).encode()).hexdigest()
+    return digest(stages, types, data_key)
 
 
 def fit(spark: SparkSession, pipeline: Pipeline, train: DataFrame, vectors_path: str) -> PipelineModel:
     """Fit the preparing stages, store the training vectors, fit the classifier on them.
 
     The classifier reads its input many times. From a stored table of vectors its tasks
-    carry no preparation, and what a lost executor held is read again, not prepared again.
+    carry no preparation, and what a lost executor held is read again, not prepared again. The table is removed after the fit.
     """
     *preparing, classifier = pipeline.getStages()
     prepared = Pipeline(stages=preparing).fit(train)
     vectors = prepared.transform(train).select("features", "label")
     write_table(vectors, vectors_path)
     stored = spark.read.schema(vectors.schema).parquet(vectors_path)
-    return PipelineModel(stages=[*prepared.stages, classifier.fit(stored)])
+    fitted = PipelineModel(stages=[*prepared.stages, classifier.fit(stored)])
+    remove(spark, vectors_path)
+    return fitted
 
 
 def fit_or_load(
-    spark: SparkSession, pipeline: Pipeline, train: DataFrame, path: str, refresh: bool = False
+    spark: SparkSession,
+    pipeline: Pipeline,
+    train: DataFrame,
+    path: str,
+    refresh: bool = False,
+    data_key: str = "",
+    work_path: str | None = None,
 ) -> PipelineModel:
-    """Load the model at ``path`` if it was fitted on the same features, else fit and save it.
+    """Load the model at ``path`` if it was fitted on the same features of the same rows, else fit and save it.
 
-    The fingerprint is written last, so a model without one is an unfinished save.
+    ``data_key`` names the training rows: the stored table's build and the split. Training vectors go below ``work_path``, or the
+    session's shared folder. The fingerprint is written last, so a model without one is an unfinished save.
     """
-    name = hashlib.sha256(path.encode()).hexdigest()[:12]
     mark = f"{path}/fingerprint"
-    fingerprint = feature_fingerprint(train, pipeline)
+    fingerprint = feature_fingerprint(train, pipeline, data_key)
     if not refresh and is_complete(spark, mark) and spark.read.text(mark).first()[0] == fingerprint:
         return PipelineModel.load(path)
-    model = fit(spark, pipeline, train, f"{shared_dir(spark)}/vectors-{name}")
+    model = fit(spark, pipeline, train, f"{work_path or shared_dir(spark)}/vectors-{digest(path)[:12]}")
     model.write().overwrite().save(path)
     spark.createDataFrame([(fingerprint,)], "value string").coalesce(1).write.text(mark)
     return model
@@ -166,11 +155,13 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
+def area_of_scores(scored: DataFrame) -> float:
+    """Area under the ROC curve of ``rawPrediction`` (a number, or a vector of both classes) against ``label``."""
+    return BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
+
+
 def area_under_roc(model: PipelineModel, test: DataFrame) -> float:
-    evaluator = BinaryClassificationEvaluator(
-        labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC"
-    )
-    return evaluator.evaluate(model.transform(test))
+    return area_of_scores(model.transform(test))
 
 
 def feature_importance(

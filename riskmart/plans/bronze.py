@@ -4,43 +4,136 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskmart.operators import metrics
 from riskmart.operators.ingest import rejected_rows, valid_rows, with_calendar
 from riskmart.schemas import SOURCES
-from riskmart.sources import is_complete, read_csv, write_partitions, write_table
+from riskmart.sources import (
+    digest,
+    exists,
+    infer_types,
+    list_files,
+    read_mark,
+    remove,
+    scan_csv,
+    shared_dir,
+    typed,
+    write_mark,
+    write_partitions,
+    write_table,
+)
+from riskmart.sources.csv_files import CORRUPT
 
 REJECTS = "rejects"
+DISTRIBUTION = "metrics/partition_distribution"
+
+
+def source_key(
+    spark: SparkSession, path: str, types: Mapping[str, str] | None = None, multi_line: bool = False
+) -> str:
+    """What a source is ingested from: its files with lengths and times, and how they are read."""
+    return digest(list_files(spark, path), dict(types or {}), multi_line)
+
+
+def _undeclared_types(
+    spark: SparkSession, staged: DataFrame, declared: Mapping[str, T.DataType], stored_path: str
+) -> dict[str, T.DataType]:
+    """Types of the columns that neither schema nor configuration declares, as all rows of the batch have them.
+
+    Earlier batches decide where there are some: numbers become the stored kind of number, and a column that is text on
+    one side and a number on the other is an error rather than a table that can't be read.
+    """
+    ours = [c for c in staged.columns if c not in declared and c not in ("year", "month", CORRUPT)]
+    found = infer_types(staged, ours)
+    if not exists(spark, stored_path):
+        return found
+    stored = {f.name: f.dataType for f in spark.read.parquet(stored_path).schema.fields}
+    for name, kind in found.items():
+        before = stored.get(name, kind)
+        if before == kind:
+            continue
+        if isinstance(before, T.LongType) or isinstance(before, T.StringType) or isinstance(kind, T.StringType):
+            raise ValueError(
+                f"column {name!r} is {kind.simpleString()} in this batch and {before.simpleString()} in the stored "
+                "table; declare its type"
+            )
+        found[name] = before
+    return found
 
 
 def ingest_source(
-    spark: SparkSession, name: str, path: str, bronze_path: str, multi_line: bool = False
+    spark: SparkSession,
+    name: str,
+    path: str,
+    bronze_path: str,
+    multi_line: bool = False,
+    types: Mapping[str, str] | None = None,
+    work_path: str | None = None,
 ) -> None:
     """Ingest one source: dated rows by month, this batch's others into ``rejects/<name>``.
 
-    The rejects come last, so their finished write marks the source as ingested. (Replacing
-    single partitions leaves no success mark in the table itself.)
+    The text is parsed once, into a staging table in ``work_path``; types, months and rejects come from there. ``types`` declares columns
+    that the schema does not, as SQL types. A record with more or fewer fields than the header fails the source. The mark beside the rejects
+    comes last and names what was ingested. (Replacing single partitions leaves no success mark in the table itself.)
     """
-    raw = read_csv(spark, path, SOURCES.get(name, T.StructType()), multi_line)
-    calendar = with_calendar(raw)
+    key = source_key(spark, path, types, multi_line)
+    staging = f"{work_path or shared_dir(spark)}/staging-{name}"
+    write_table(scan_csv(spark, path, multi_line), staging)
+    staged = spark.read.parquet(staging)
+    malformed = staged.filter(F.col(CORRUPT).isNotNull()).limit(1).collect()
+    if malformed:
+        raise ValueError(
+            f"a record of source {name!r} has not as many fields as the header: {malformed[0][CORRUPT][:200]!r}"
+            + ("" if multi_line else "; fields with line breaks need multi_line")
+        )
+    staged = staged.drop(CORRUPT)
+    declared = {f.name: f.dataType for f in SOURCES.get(name, T.StructType()).fields}
+    declared |= {c: T._parse_datatype_string(t) for c, t in (types or {}).items()}
+    undeclared = _undeclared_types(spark, staged, declared, f"{bronze_path}/{name}")
+    calendar = with_calendar(typed(staged, declared | undeclared))
     write_partitions(valid_rows(calendar), f"{bronze_path}/{name}")
-    write_table(rejected_rows(calendar), f"{bronze_path}/{REJECTS}/{name}")
+    write_table(metrics.partition_distribution(calendar), f"{bronze_path}/{DISTRIBUTION}/{name}")
+    rejects = f"{bronze_path}/{REJECTS}/{name}"
+    write_table(rejected_rows(calendar), rejects)
+    write_mark(spark, rejects, key)
+    remove(spark, staging)
+
+
+def is_ingested(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    bronze_path: str,
+    multi_line: bool = False,
+    types: Mapping[str, str] | None = None,
+) -> bool:
+    """Whether the files at ``path``, as they are now, have been ingested the same way."""
+    mark = read_mark(spark, f"{bronze_path}/{REJECTS}/{name}")
+    return bool(mark) and mark["key"] == source_key(spark, path, types, multi_line)
 
 
-def is_ingested(spark: SparkSession, name: str, bronze_path: str) -> bool:
-    return is_complete(spark, f"{bronze_path}/{REJECTS}/{name}")
+def source_builds(spark: SparkSession, names, bronze_path: str) -> list[tuple[str, str | None]]:
+    return [(n, read_mark(spark, f"{bronze_path}/{REJECTS}/{n}").get("build")) for n in sorted(names)]
 
 
 def ingest_bronze(
-    spark: SparkSession, raw_paths: Mapping[str, str], bronze_path: str, multi_line: bool = False
+    spark: SparkSession,
+    raw_paths: Mapping[str, str],
+    bronze_path: str,
+    multi_line: Mapping[str, bool] | bool = False,
+    types: Mapping[str, Mapping[str, str]] | None = None,
+    work_path: str | None = None,
 ) -> None:
     """Ingest every source. One that fails does not stop the others; all failures are
-    raised together at the end."""
+    raised together at the end. ``multi_line`` is one setting or one per source."""
     failures = []
     for name, path in raw_paths.items():
+        lines = multi_line if isinstance(multi_line, bool) else multi_line.get(name, False)
         try:
-            ingest_source(spark, name, path, bronze_path, multi_line)
+            ingest_source(spark, name, path, bronze_path, lines, (types or {}).get(name), work_path)
         except Exception as error:
             error.add_note(f"source {name!r} at {path}")
             failures.append(error)

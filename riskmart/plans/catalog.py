@@ -6,8 +6,8 @@ here, not in the operators, so that another engine's summation order gives the s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 from uuid import uuid4
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,12 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskmart.config import Config
 from riskmart.functions import parse_day_month_year
 from riskmart.operators import asof, features, history, ingest, labels, metrics, model, quality, splits
 from riskmart.plans import domain, modelling
+from riskmart.plans.bronze import ingest_source
+from riskmart.plans.gold import build_gold
 from riskmart.plans.silver import TABLES
 from riskmart.schemas import CLICK_FEATURES, FINANCIAL_NUMBERS, LOAN_AMOUNTS
 from riskmart.sources import (
+    digest,
+    list_files,
     materialize,
     read_csv,
     read_partitions,
@@ -39,7 +44,10 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def stored_dir(spark: SparkSession, sf_dir: str) -> str:
-    return f"{shared_dir(spark)}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
+    """A folder for what is derived from the tables of ``sf_dir`` as they are now."""
+    tables = sorted({"customer", "orders", "lineitem", "events"})
+    files = [list_files(spark, f"{sf_dir}/{t}.parquet") for t in tables]
+    return f"{shared_dir(spark)}/{digest(sf_dir, files)[:12]}"
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -116,6 +124,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 10 == 0, "NA")
         .when(key % 10 == 1, "null")
         .when(key % 10 == 2, 'say "NM", twice')
+        .when(key % 10 == 3, F.concat(F.lit("two\n"), "c_name"))
         .otherwise(F.concat(F.lit(" "), "c_name"))
     )
     path = scratch(spark, "customer-csv")
@@ -125,7 +134,24 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).csv(path)
     types = {"c_custkey": T.LongType(), "c_nationkey": T.IntegerType(), "c_acctbal": T.DoubleType()}
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in customer.columns])
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, multi_line=True)
+
+
+def csv_undeclared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders to CSV and through the ingest, with only the date declared: the rest comes back as what its texts are."""
+    path, bronze = scratch(spark, "orders-csv"), scratch(spark, "orders-bronze")
+    orders = domain.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("customer"),
+        "o_totalprice",
+        "o_orderpriority",
+        F.when(F.col("o_orderkey") % 5 == 0, "NA").otherwise(F.col("o_orderkey").cast("string")).alias("gaps"),
+        F.when(F.col("o_orderkey") == 1, "one").otherwise(F.col("o_custkey").cast("string")).alias("mostly_numbers"),
+        F.date_format("o_orderdate", "d/M/yyyy").alias("snapshot_date"),
+    )
+    orders.write.option("header", True).option("escape", '"').csv(path)
+    ingest_source(spark, "orders", path, bronze)
+    return read_partitions(spark, f"{bronze}/orders").drop("year", "month")
 
 
 def _dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +250,7 @@ def remove_flagged_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remove_flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.remove_flagged(domain.clickstream(spark, sf_dir), _flagged(spark, sf_dir))
-    return kept.select("event_id", "Customer_ID", "snapshot_date")
+    return rounded(kept, 6, *CLICK_FEATURES)
 
 
 def removal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +265,29 @@ def loan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(past, 4, *LOAN_AMOUNTS)
 
 
+def shared_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label windows of loans of which some belong to two customers and some have no id."""
+    loans = domain.loans(spark, sf_dir)
+    key = F.col("loan_id")
+    second = loans.filter(key % 7 == 0).withColumn("Customer_ID", F.col("Customer_ID") + 1)
+    mixed = loans.unionByName(second).withColumn("loan_id", F.when(key % 11 != 0, key))
+    return labels.label_windows(labels.loan_info(mixed))
+
+
+def shared_loans_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.shared_loans(shared_windows(spark, sf_dir).filter("loan_id is not null"))
+
+
+def loan_history_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of shared loans: a row counts once for each customer of its loan."""
+    past = history.loan_history(domain.loan_events(spark, sf_dir), shared_windows(spark, sf_dir))
+    return rounded(past, 4, *LOAN_AMOUNTS)
+
+
+def default_events_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.default_events(shared_windows(spark, sf_dir), domain.loan_events(spark, sf_dir))
+
+
 LOAN_SUMS = ("hist_total_paid", "hist_total_due", "hist_total_overdue_amount")
 
 
@@ -397,22 +446,12 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impute balances, and check the fill value's rank against the imputer's error bound."""
-    value = F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal"))
-    customers = domain.table(spark, sf_dir, "customer").select(value.alias("balance"))
-    imputer = Imputer(inputCols=["balance"], outputCols=["filled"], strategy="median")
-    fitted = imputer.fit(customers)
-    median, slack = fitted.surrogateDF.first()["balance"], imputer.getRelativeError()
-    balance, present = F.col("balance"), F.count("balance")
-    below, not_above = F.count(F.when(balance < median, 1)), F.count(F.when(balance <= median, 1))
-    return fitted.transform(customers).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(balance.isNull() & (F.col("filled") == median), 1)).alias("n_imputed"),
-        F.count(F.when(balance == F.col("filled"), 1)).alias("n_kept"),
-        ((below <= present * (0.5 + slack) + 1) & (not_above >= present * (0.5 - slack) - 1)).alias(
-            "median_within_bound"
-        ),
-    )
+    """Fill a column of three levels, whose median is clear within the imputer's error."""
+    last = F.col("c_custkey") % 10
+    level = F.when(last.isin(1, 2), 1.0).when(last.isin(3, 4, 5, 6), 2.5).when(last.isin(7, 8, 9), 4.0)
+    customers = domain.table(spark, sf_dir, "customer").select("c_custkey", level.alias("level"))
+    imputer = Imputer(inputCols=["level"], outputCols=["filled"], strategy="median")
+    return imputer.fit(customers).transform(customers)
 
 
 CATEGORIES = ("priority", "status")
@@ -458,10 +497,14 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The assembled vectors, one row per slot."""
+    """The assembled vectors: their width, and one row per slot that is not zero."""
     inputs = [*[f"{c}_ohe" for c in CATEGORIES], "o_totalprice"]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(_encoded(spark, sf_dir))
-    return vectors.select("o_orderkey", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    slots = vector_to_array("features")
+    return (
+        vectors.select("o_orderkey", F.size(slots).alias("width"), F.posexplode(slots).alias("slot", "value"))
+        .filter(F.col("value") != 0)
+    )
 
 
 def _model_data(
@@ -481,34 +524,74 @@ def _saved_model(
     return model.fit_or_load(spark, pipeline, train, path, refresh), train, test
 
 
-def _scores(spark: SparkSession, sf_dir: str, model_type: str) -> DataFrame:
-    """Fit, save and score; later queries of this application load the saved model."""
+def gold_scores(spark: SparkSession, sf_dir: str, model_type: str) -> DataFrame:
+    """Fit on the gold table, save and score."""
     fitted, _, test = _saved_model(spark, sf_dir, model_type, refresh=True)
-    scored = model.score(fitted, test)
-    return rounded(scored, 6, "default_probability").select(
-        "Customer_ID", "loan_id", "label", "default_probability", "prediction"
+    return model.score(fitted, test).select("Customer_ID", "loan_id", "label", "default_probability", "prediction")
+
+
+def _rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a label that one column of few values decides, beside columns that say nothing."""
+    level = F.col("o_orderkey") % 4
+    return domain.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        level.cast("double").alias("level"),
+        F.lit(1.0).alias("flat"),
+        F.lit("same").alias("kind"),
+        (level >= 2).cast("int").alias("label"),
     )
 
 
+def _rule_model(spark: SparkSession, sf_dir: str, model_type: str) -> tuple[PipelineModel, DataFrame]:
+    rows = stored(spark, sf_dir, "rule_rows", lambda: _rule_rows(spark, sf_dir))
+    columns = model.trainable_columns(rows, *model.feature_columns(rows, exclude=["o_orderkey"]))
+    pipeline = model.create_pipeline(*columns, model_type)
+    return model.fit_or_load(spark, pipeline, rows, f"{stored_dir(spark, sf_dir)}/rule-{model_type}"), rows
+
+
+def _rule_scores(spark: SparkSession, sf_dir: str, model_type: str) -> DataFrame:
+    fitted, rows = _rule_model(spark, sf_dir, model_type)
+    return model.score(fitted, rows).select("o_orderkey", "label", "prediction")
+
+
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, "logistic_regression")
+    return _rule_scores(spark, sf_dir, "logistic_regression")
 
 
 def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, "random_forest")
+    return _rule_scores(spark, sf_dir, "random_forest")
 
 
 def model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of both models on the rule, and of a score with few values that does not separate the classes."""
     areas = []
     for model_type in model.MODELS:
-        fitted, _, test = _saved_model(spark, sf_dir, model_type)
-        areas.append((model_type, model.area_under_roc(fitted, test)))
-    return spark.createDataFrame(areas, "model string, area_under_roc double")
+        fitted, rows = _rule_model(spark, sf_dir, model_type)
+        areas.append((model_type, model.area_under_roc(fitted, rows)))
+    key = F.col("o_orderkey")
+    scored = domain.table(spark, sf_dir, "orders").select(
+        (key * 7 % 10 + F.when(key % 3 == 0, 2).otherwise(0)).cast("double").alias("rawPrediction"),
+        (key % 3 == 0).cast("int").alias("label"),
+    )
+    areas.append(("derived_score", model.area_of_scores(scored)))
+    return rounded(spark.createDataFrame(areas, "model string, area_under_roc double"), 6, "area_under_roc")
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted, train, _ = _saved_model(spark, sf_dir, "random_forest")
-    return model.feature_importance(spark, fitted, train, top=10)
+    fitted, rows = _rule_model(spark, sf_dir, "random_forest")
+    return rounded(model.feature_importance(spark, fitted, rows), 6, "importance")
+
+
+def gold_rebuilt_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and features built twice at one place, the second time by loan and three months ahead: the second result."""
+    silver = {name: _silver_table(spark, sf_dir, name) for name in TABLES}
+    config = Config.under(scratch(spark, "rebuilt"))
+    for name, df in silver.items():
+        materialize(spark, lambda df=df: df, f"{config.silver_path}/{name}", key="silver")
+    build_gold(spark, config)
+    changed = replace(config, grain="loan", prediction_months=3)
+    rebuilt = build_gold(spark, changed)  # ties of financial snapshots repeat a loan
+    return rebuilt.select("Customer_ID", "loan_id", "prediction_date", "label", "Age", "snapshot_date").distinct()
 
 
 def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,11 +625,14 @@ QUERIES: dict[str, Query] = {
         default_events,
         label_distribution,
         shared_loans,
+        shared_loans_mapped,
+        default_events_shared,
         parse_dates,
         bronze_valid_rows,
         bronze_rejects,
         partition_distribution,
         csv_roundtrip,
+        csv_undeclared_columns,
         bronze_partitioned_roundtrip,
         bronze_partition_overwrite,
         bronze_months,
@@ -564,6 +650,7 @@ QUERIES: dict[str, Query] = {
         remove_flagged_events,
         removal_counts,
         loan_history,
+        loan_history_shared,
         loan_agg,
         loan_agg_loan_grain,
         loan_agg_before_prediction,
@@ -578,6 +665,7 @@ QUERIES: dict[str, Query] = {
         financial_ratios,
         gold_features,
         gold_features_loan_grain,
+        gold_rebuilt_on_change,
         feature_columns,
         prediction_months,
         oot_split,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.plans.silver import Cleaned, clean_tables, remove_flagged_customers
+from riskmart.plans.silver import Cleaned, clean_tables
 from riskmart.schemas import CLICK_FEATURES
 
 # Events lie in January 2024; moved back by this many days they lie in January 1997,
@@ -191,6 +191,3 @@ def cleaned(spark: SparkSession, sf_dir: str) -> Cleaned:
     return clean_tables(bronze(spark, sf_dir))
 
 
-def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    tables, flagged = cleaned(spark, sf_dir)
-    return remove_flagged_customers(tables, flagged)

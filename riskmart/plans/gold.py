@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskmart.config import Config
+from riskmart.operators import metrics
 from riskmart.operators.features import gold_features
 from riskmart.operators.labels import label_store
-from riskmart.plans.silver import read_silver
-from riskmart.sources import materialize
+from riskmart.plans.silver import read_silver, silver_builds
+from riskmart.sources import build_id, digest, materialize
 
 
 def build_label_store(spark: SparkSession, config: Config, refresh: bool = False) -> DataFrame:
+    """Label store of the silver loans, with its label balance and shared loans in ``metrics`` beside the gold table."""
+    months = (config.prediction_months, config.label_window_months, config.max_loan_months)
+
     def build() -> DataFrame:
-        return label_store(
-            read_silver(spark, config.silver_path)["loan_daily"],
-            config.prediction_months,
-            config.label_window_months,
-            config.max_loan_months,
+        return label_store(read_silver(spark, config.silver_path)["loan_daily"], *months)
+
+    key = digest(months, build_id(spark, f"{config.silver_path}/loan_daily"))
+    labels = materialize(spark, build, config.label_path, refresh, key)
+    below = digest(build_id(spark, config.label_path))
+    for name, measure in (
+        ("label_distribution", metrics.label_distribution),
+        ("shared_loans", metrics.shared_loans),
+    ):
+        materialize(
+            spark, lambda measure=measure: measure(labels), f"{config.label_path}_metrics/{name}", refresh, below
         )
-
-    return materialize(spark, build, config.label_path, refresh)
+    return labels
 
 
 def build_gold(spark: SparkSession, config: Config, refresh: bool = False) -> DataFrame:
@@ -29,6 +38,17 @@ def build_gold(spark: SparkSession, config: Config, refresh: bool = False) -> Da
 
     def build() -> DataFrame:
         tables = read_silver(spark, config.silver_path)
-        return gold_features(labels, **tables, grain=config.grain, history_end=config.history_end)
+        return gold_features(
+            labels,
+            **tables,
+            grain=config.grain,
+            history_end=config.history_end,
+            plural_only=config.plural_only,
+        )
 
-    return materialize(spark, build, config.gold_path, refresh)
+    key = digest(
+        [config.grain, config.history_end, config.plural_only],
+        build_id(spark, config.label_path),
+        silver_builds(spark, config.silver_path),
+    )
+    return materialize(spark, build, config.gold_path, refresh, key)

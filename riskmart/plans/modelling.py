@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskmart.config import TEST_LAST_N_MONTHS
 from riskmart.operators import model as M
 from riskmart.operators.splits import hash_split, oot_split, prediction_months
+from riskmart.sources import digest
 
 SPLITS = ("time", "random")
 
@@ -52,19 +53,20 @@ def train_models(
     by: str = "time",
     last_n_months: int = TEST_LAST_N_MONTHS,
     exclude: Sequence[str] = (),
-    max_categories: int | None = None,
     refresh: bool = False,
+    data_key: str = "",
+    work_path: str | None = None,
 ) -> Modelling:
-    """Fit (or load) and evaluate both models. ``gold`` should be a stored table: fitting
-    reads it several times."""
+    """Fit (or load) and evaluate both models. ``gold`` should be a stored table, since fitting
+    reads it several times, and ``data_key`` its build id."""
     train, test = split(gold, by, last_n_months)
-    categorical, numeric = M.trainable_columns(
-        train, *M.feature_columns(gold, exclude), max_categories=max_categories
-    )
+    categorical, numeric = M.trainable_columns(train, *M.feature_columns(gold, exclude))
+    rows = digest(data_key, by, last_n_months)
     models = {}
     for model_type in M.MODELS:
         pipeline = M.create_pipeline(categorical, numeric, model_type)
-        fitted = M.fit_or_load(spark, pipeline, train, f"{model_path}/{model_type}_pipeline", refresh)
+        path = f"{model_path}/{model_type}_pipeline"
+        fitted = M.fit_or_load(spark, pipeline, train, path, refresh, rows, work_path)
         models[model_type] = Trained(fitted, M.area_under_roc(fitted, test))
     importance = M.feature_importance(spark, models["random_forest"].model, train)
     return Modelling(models, importance, train, test)

@@ -6,6 +6,7 @@ operators avoid. The dialect is DuckDB's.
 
 from __future__ import annotations
 
+# Column names of the domain, as the operators have them.
 FE = [f"fe_{i}" for i in range(1, 21)]
 NUMBERS = [
     "Annual_Income",
@@ -297,6 +298,33 @@ CATEGORY_ROWS = {
         from rows_with_gaps r left join priority_order p using (priority) left join status_order s using (status)""",
 }
 
+SHARED = {
+    "shared_windows": """
+        select *, cast(prediction_date + interval 11 month as date) as label_window_end
+        from (select loan_id, Customer_ID, cast(min(loan_start_date) + interval 1 month as date) as prediction_date
+              from (select case when loan_id % 11 <> 0 then loan_id end as loan_id, Customer_ID, loan_start_date
+                    from (select * from loans
+                          union all select loan_id, Customer_ID + 1, loan_start_date from loans where loan_id % 7 = 0))
+              group by 1, 2)""",
+}
+RULE = """
+    select o_orderkey, cast(o_orderkey % 4 >= 2 as integer) as label, cast(o_orderkey % 4 >= 2 as integer)::double as prediction
+    from orders"""
+AHEAD = {
+    "ahead_windows": """
+        select *, cast(prediction_date + interval 9 month as date) as label_window_end
+        from (select loan_id, Customer_ID, cast(min(loan_start_date) + interval 3 month as date) as prediction_date
+              from loan_daily where Customer_ID not in (select Customer_ID from flagged) group by 1, 2)""",
+    "ahead_labels": """
+        select w.Customer_ID, w.loan_id, w.prediction_date,
+               case when exists (select 1 from loan_events e
+                                 where e.loan_id = w.loan_id and e.overdue_amt > 0
+                                   and e.snapshot_date between w.prediction_date and w.label_window_end)
+                    then 1 else 0 end as label
+        from ahead_windows w""",
+    "attributes_ahead": latest("attribute_snapshots", "ahead_labels", "loan"),
+}
+
 ORACLES: dict[str, str] = {
     "label_store": sql("select * from labels"),
     "label_store_domain": sql(
@@ -326,9 +354,15 @@ ORACLES: dict[str, str] = {
     ),
     "csv_roundtrip": """
         select c_custkey, case c_custkey % 10 when 0 then null when 1 then null
-                               when 2 then 'say "NM", twice' else ' ' || c_name end as c_name,
+                               when 2 then 'say "NM", twice' when 3 then 'two' || chr(10) || c_name else ' ' || c_name end as c_name,
                c_nationkey, c_acctbal, c_mktsegment
         from customer""",
+    "csv_undeclared_columns": """
+        select o_orderkey, case when o_orderkey % 3 <> 0 then o_custkey end as customer, o_totalprice, o_orderpriority,
+               case when o_orderkey % 5 <> 0 then o_orderkey end as gaps,
+               case when o_orderkey = 1 then 'one' else cast(o_custkey as varchar) end as mostly_numbers,
+               cast(o_orderdate as date) as snapshot_date
+        from orders""",
     "bronze_partitioned_roundtrip": DATED.format(price="o_totalprice"),
     "bronze_partition_overwrite": DATED.format(
         price="case when year(o_orderdate) = 1996 and month(o_orderdate) = 6 then -o_totalprice else o_totalprice end"
@@ -360,7 +394,7 @@ ORACLES: dict[str, str] = {
         "select * from clean_attributes where Customer_ID not in (select Customer_ID from flagged)"
     ),
     "remove_flagged_events": sql(
-        """select event_id, Customer_ID, snapshot_date from clicks
+        f"""select event_id, Customer_ID, snapshot_date, {rounded(FE, 6)} from clicks
            where Customer_ID not in (select Customer_ID from flagged)"""
     ),
     "removal_counts": sql(
@@ -373,6 +407,44 @@ ORACLES: dict[str, str] = {
         f"""select e.* replace ({AMOUNTS}), cast(1 as bigint) as n_predictions
             from loan_events e join windows w using (loan_id) where e.snapshot_date <= w.prediction_date"""
     ),
+    "loan_history_shared": sql(
+        f"""select e.* replace ({AMOUNTS}), count(*) as n_predictions
+            from loan_events e join shared_windows w using (loan_id) where e.snapshot_date <= w.prediction_date
+            group by all""",
+        SHARED,
+    ),
+    "shared_loans_mapped": sql(
+        """select count(*) as n_shared_loans
+           from (select loan_id from shared_windows where loan_id is not null
+                 group by loan_id having count(distinct Customer_ID) > 1)""",
+        SHARED,
+    ),
+    "default_events_shared": sql(
+        """select distinct w.loan_id from shared_windows w join loan_events e on w.loan_id = e.loan_id
+           where e.snapshot_date between w.prediction_date and w.label_window_end and e.overdue_amt > 0""",
+        SHARED,
+    ),
+    "lr_scores": RULE,
+    "rf_scores": RULE,
+    "model_auc": """
+        with scored as (
+            select o_orderkey * 7 % 10 + case when o_orderkey % 3 = 0 then 2 else 0 end as score,
+                   o_orderkey % 3 = 0 as positive from orders),
+        levels as (
+            select score, count(*) filter (positive) as p, count(*) filter (not positive) as n from scored group by score),
+        below as (select *, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as lower
+                  from levels)
+        select 'derived_score' as model, round(sum(p * (lower + n / 2.0)) / (sum(p) * sum(n)), 6)::double as area_under_roc
+        from below
+        union all select 'logistic_regression', 1.0 union all select 'random_forest', 1.0""",
+    "feature_importance": """
+        select feature, case when feature = 'level' and n > 1 then 1.0 else 0.0 end::double as importance
+        from (select unnest(['level', 'flat', 'kind']) as feature, (select count(distinct o_orderkey % 4) from orders) as n)""",
+    "gold_rebuilt_on_change": sql(
+        """select s.*, a.Age, a.snapshot_date from ahead_labels s join attributes_ahead a
+           on a.Customer_ID = s.Customer_ID and a.prediction_date = s.prediction_date""",
+        AHEAD,
+    ),
     "loan_agg": sql(LOAN_TOTALS, {"totals": history_sums("windows", "d.Customer_ID")}),
     "loan_agg_loan_grain": sql(LOAN_TOTALS, {"totals": history_sums("windows", "d.loan_id, d.Customer_ID")}),
     "loan_agg_before_prediction": sql(LOAN_TOTALS, {"totals": history_sums("windows", "d.Customer_ID", "<")}),
@@ -423,9 +495,13 @@ ORACLES: dict[str, str] = {
            from windows"""
     ),
     "impute_median": """
-        select count(*) as n_rows, count(*) filter (c_custkey % 10 = 0) as n_imputed,
-               count(*) filter (c_custkey % 10 <> 0) as n_kept, true as median_within_bound
-        from customer""",
+        with leveled as (
+            select c_custkey, case when c_custkey % 10 in (1, 2) then 1.0::double
+                                   when c_custkey % 10 in (3, 4, 5, 6) then 2.5::double
+                                   when c_custkey % 10 in (7, 8, 9) then 4.0::double end as level
+            from customer)
+        select c_custkey, level, coalesce(level, (select quantile_disc(level, 0.5) from leveled)) as filled
+        from leveled""",
     "string_index": sql(
         """select o_orderkey, priority, status, cast(coalesce(p, np) as double) as priority_idx,
                   cast(coalesce(s, ns) as double) as status_idx
@@ -439,10 +515,12 @@ ORACLES: dict[str, str] = {
         CATEGORY_ROWS,
     ),
     "assemble_features": sql(
-        """select o_orderkey, cast(slot as integer) as slot,
-                  case when slot = np + ns then o_totalprice
-                       when slot = p or slot = np + s then 1.0 else 0.0 end::double as value
-           from (select *, unnest(range(np + ns + 1)) as slot from positions)""",
+        """select * from (
+               select o_orderkey, cast(np + ns + 1 as integer) as width, cast(slot as integer) as slot,
+                      case when slot = np + ns then o_totalprice
+                           when slot = p or slot = np + s then 1.0 else 0.0 end::double as value
+               from (select *, unnest(range(np + ns + 1)) as slot from positions))
+           where value <> 0""",
         CATEGORY_ROWS,
     ),
     "model_save_load": sql(

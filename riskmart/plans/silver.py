@@ -7,9 +7,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.operators import quality
+from riskmart.operators import metrics, quality
 from riskmart.schemas import SOURCES
-from riskmart.sources import materialize, read_partitions
+from riskmart.sources import build_id, digest, materialize, read_partitions
 
 TABLES = tuple(SOURCES)
 
@@ -53,22 +53,35 @@ def read_silver(spark: SparkSession, silver_path: str) -> dict[str, DataFrame]:
 
 
 def build_silver(
-    spark: SparkSession, bronze_path: str, silver_path: str, refresh: bool = False
+    spark: SparkSession, bronze_path: str, silver_path: str, refresh: bool = False, key: str | None = None
 ) -> dict[str, DataFrame]:
-    """Clean, flag and remove; finished tables are kept unless ``refresh``.
+    """Clean, flag and remove; finished tables of the same ``key`` are kept unless ``refresh``.
 
     The flagged ids are written once and read back, so the rules run once rather than once
-    per table, and Spark knows the ids' size when it chooses the join.
+    per table, and Spark knows the ids' size when it chooses the join. Counts of flagged customers and removed rows are
+    written to ``metrics`` beside the tables.
     """
-    cleaned = clean_tables(read_bronze(spark, bronze_path))
-    flagged = materialize(spark, lambda: cleaned.flagged, f"{silver_path}/flagged", refresh)
+    bronze = read_bronze(spark, bronze_path)
+    cleaned = clean_tables(bronze)
+    flagged_path = f"{silver_path}/flagged"
+    flagged = materialize(spark, lambda: cleaned.flagged, flagged_path, refresh, key)
+    after = None if key is None else digest(key, build_id(spark, flagged_path))
     silver, failures = {}, []
     for name, df in remove_flagged_customers(cleaned.tables, flagged).items():
         try:
-            silver[name] = materialize(spark, lambda df=df: df, f"{silver_path}/{name}", refresh)
+            silver[name] = materialize(spark, lambda df=df: df, f"{silver_path}/{name}", refresh, after)
         except Exception as error:
             error.add_note(f"silver table {name!r}")
             failures.append(error)
     if failures:
         raise ExceptionGroup("some silver tables were not written", failures)
+    for name, build in {
+        "flag_summary": lambda: metrics.flag_summary(bronze, flagged),
+        "removal_counts": lambda: metrics.removal_counts(bronze, flagged),
+    }.items():
+        materialize(spark, build, f"{silver_path}/metrics/{name}", refresh, after)
     return silver
+
+
+def silver_builds(spark: SparkSession, silver_path: str) -> list[str | None]:
+    return [build_id(spark, f"{silver_path}/{name}") for name in sorted(TABLES)]

@@ -1,35 +1,89 @@
-"""CSV scan with declared types and the usual missing-value tokens."""
+"""CSV scan by column name, and the types of columns that nobody declared."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmart.functions import na_to_null
 
+#: Column of ``scan_csv`` that holds a record whose field count is not the header's.
+CORRUPT = "_corrupt_record"
 
-def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False
-) -> DataFrame:
-    """Read CSV files by column name; text that does not fit its declared type is NULL.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """All columns as text, missing-value tokens as NULL, and malformed records in ``_corrupt_record``.
 
-    Only the header line is looked at for the layout, so columns may come in any order,
-    declared ones may be absent, and undeclared ones pass through as strings. Files stay
-    splittable unless ``multi_line`` (line breaks inside quotes) is asked for.
+    Only the header line is looked at for the layout. Files stay splittable unless ``multi_line`` (line breaks inside quotes) is asked for;
+    without it, a quoted line break leaves records with a wrong number of fields.
     """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = (
-        spark.read.option("header", True)
+        reader.schema(schema)
         .option("enforceSchema", False)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    types = {field.name: field.dataType for field in schema.fields}
-    columns = []
-    for name in raw.columns:
-        text = na_to_null(F.col(f"`{name}`"))
-        wanted = types.get(name, T.StringType())
-        typed = text if isinstance(wanted, T.StringType) else text.try_cast(wanted)
-        columns.append(typed.alias(name))
-    return raw.select(columns)
+    return raw.select(*(na_to_null(F.col(f"`{n}`")).alias(n) for n in names), CORRUPT)
+
+
+def _try(text: Column, wanted: T.DataType) -> Column:
+    if isinstance(wanted, T.StringType):
+        return text
+    return text.try_cast(wanted)
+
+
+def typed(raw: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
+    """Text columns as the given types; text that does not fit is NULL, a column without a type stays text."""
+    return raw.select(*(_try(F.col(f"`{n}`"), types.get(n, T.StringType())).alias(n) for n in raw.columns))
+
+
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """Read CSV files by column name; text that does not fit its declared type is NULL.
+
+    Columns may come in any order, declared ones may be absent, and undeclared ones pass through as text. See ``scan_csv`` for line breaks.
+    """
+    raw = scan_csv(spark, path, multi_line).drop(CORRUPT)
+    return typed(raw, {field.name: field.dataType for field in schema.fields})
+
+
+def infer_types(raw: DataFrame, names: list[str]) -> dict[str, T.DataType]:
+    """Types of text columns by one aggregation over all rows.
+
+    Whole numbers that fit 64 bits are longs; other numbers, and columns without any value, are doubles; anything else stays text.
+    """
+    if not names:
+        return {}
+
+    def others(name: str, pattern: str, kind: T.DataType) -> Column:
+        text = F.col(f"`{name}`")
+        fits = text.rlike(pattern) & F.trim(text).try_cast(kind).isNotNull()
+        return F.count(F.when(text.isNotNull() & ~fits, 1))
+
+    counts = [
+        F.struct(
+            F.count(F.col(f"`{n}`")).alias("present"),
+            others(n, WHOLE, T.LongType()).alias("not_whole"),
+            others(n, NUMBER, T.DoubleType()).alias("not_number"),
+        ).alias(f"c{i}")
+        for i, n in enumerate(names)
+    ]
+    row = raw.agg(*counts).first()
+    types: dict[str, T.DataType] = {}
+    for name, found in zip(names, row, strict=True):
+        if found.not_number:
+            types[name] = T.StringType()
+        else:
+            types[name] = T.DoubleType() if found.not_whole or not found.present else T.LongType()
+    return types

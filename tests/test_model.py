@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskmart.operators import model as M
 from riskmart.operators.splits import hash_split, oot_split, prediction_months
 from riskmart.plans.modelling import split, train_models
+from riskmart.sources import digest
 
 
 def dated(spark, *dates):
@@ -72,12 +73,9 @@ def test_feature_columns_by_type(gold):
     assert M.feature_columns(gold, exclude=["year", "Occupation", "no_text"]) == ([], ["income", "empty", "not_a_number"])
 
 
-def test_columns_without_values_are_left_out_and_wide_ones_refused(gold):
+def test_columns_without_values_are_left_out(gold):
     columns = M.feature_columns(gold)
     assert M.trainable_columns(gold, *columns) == (["Occupation"], ["income", "year"])
-    assert M.trainable_columns(gold, *columns, max_categories=4)[0] == ["Occupation"]
-    with pytest.raises(ValueError, match="Occupation"):
-        M.trainable_columns(gold, *columns, max_categories=3)
     assert ("Occupation", "categorical", 540) in values(M.feature_presence(gold, *columns))
 
 
@@ -140,18 +138,22 @@ def test_saved_model_is_used_only_for_the_same_features(spark, gold, trained, mo
 
     monkeypatch.setattr(M, "fit", unfitted)
     pipeline = M.create_pipeline(["Occupation"], ["income", "year"], "random_forest")
-    loaded = M.fit_or_load(spark, pipeline, result.train, saved)
+    rows = digest("", "time", 3)
+    loaded = M.fit_or_load(spark, pipeline, result.train, saved, data_key=rows)
     same = M.score(loaded, result.test).select("loan_id", "default_probability")
     assert values(same) == values(M.score(result.models["random_forest"].model, result.test), "loan_id", "default_probability")
     fewer = M.create_pipeline(["Occupation"], ["income"], "random_forest")
     with pytest.raises(AssertionError, match="fitted again"):
-        M.fit_or_load(spark, fewer, result.train, saved)
+        M.fit_or_load(spark, fewer, result.train, saved, data_key=rows)
+    with pytest.raises(AssertionError, match="fitted again"):
+        M.fit_or_load(spark, pipeline, result.train, saved, data_key=digest("", "random", 3))
 
 
 def test_fitting_on_stored_vectors_gives_the_pipelines_model(spark, gold, tmp_path):
     pipeline = M.create_pipeline(["Occupation"], ["income", "year"])
     ours = M.fit(spark, pipeline, gold, str(tmp_path / "vectors"))
     theirs = pipeline.fit(gold)
+    assert not (tmp_path / "vectors").exists()
     assert [type(s) for s in ours.stages] == [type(s) for s in theirs.stages]
     for a, b in zip(ours.stages[-1].coefficients, theirs.stages[-1].coefficients, strict=True):
         assert math.isclose(a, b, rel_tol=1e-4, abs_tol=1e-6)

@@ -1,17 +1,23 @@
 """CSV files to models, checking each layer."""
 
+import dataclasses
 import datetime as dt
+import os
 import random
+import shutil
 
 import pytest
 from conftest import values
 
+from riskmart import __main__ as command
 from riskmart.config import Config
-from riskmart.operators import metrics
+from riskmart.operators import metrics, model
+from riskmart.plans import bronze
+from riskmart.plans import run as R
 from riskmart.plans.run import run
 from riskmart.plans.silver import read_bronze, read_silver
 from riskmart.schemas import CLICK_FEATURES, FINANCIAL_NUMBERS
-from riskmart.sources import is_complete
+from riskmart.sources import build_id, is_complete, tables
 
 CUSTOMERS, BAD = 60, {"C3", "C7", "C11"}
 
@@ -97,9 +103,67 @@ def test_models_are_saved_and_the_clicks_give_the_label_away(spark, config, resu
     assert is_complete(spark, f"{config.model_path}/random_forest_pipeline/fingerprint")
 
 
-def test_second_run_reads_what_is_there(spark, config, result):
-    again = run(spark, Config(**{**vars(config), "raw_paths": {n: "/nowhere.csv" for n in config.raw_paths}}))
+def test_counts_are_stored_beside_the_layers(spark, config, result):
+    stored = spark.read.parquet(f"{config.silver_path}/metrics/flag_summary").first()
+    assert (stored.n_flagged, stored.n_customers, stored.flagged_percent) == (3, CUSTOMERS, 5.0)
+    removed = spark.read.parquet(f"{config.silver_path}/metrics/removal_counts").collect()
+    assert {r.table_name: r.rows_removed for r in removed}["loan_daily"] == 15
+    months = spark.read.parquet(f"{config.bronze_path}/metrics/partition_distribution/attributes")
+    assert values(months)[0] == (2022, 12, 10)
+    labels = spark.read.parquet(f"{config.label_path}_metrics/label_distribution").collect()
+    assert sum(r.n_loans for r in labels) == CUSTOMERS - len(BAD)
+    assert spark.read.parquet(f"{config.label_path}_metrics/shared_loans").first()[0] == 0
+
+
+def test_unchanged_run_builds_nothing(spark, config, result, monkeypatch):
+    def built(*_):
+        raise AssertionError("built again")
+
+    monkeypatch.setattr(tables, "write_table", built)
+    monkeypatch.setattr(bronze, "write_table", built)
+    monkeypatch.setattr(model, "fit", built)
+    again = run(spark, config)
     assert {n: t.auc for n, t in again.models.items()} == {n: t.auc for n, t in result.models.items()}
+    with pytest.raises(AssertionError, match="built again"):
+        run(spark, config, split="random")  # other training rows
+
+
+def test_changed_parameters_and_files_are_built_again(spark, config, result, tmp_path):
+    root = str(tmp_path)
+    shutil.copytree(os.path.dirname(os.path.dirname(config.raw_paths["attributes"])), root, dirs_exist_ok=True)
+    own = Config.under(root)
+    R.run_bronze(spark, own)
+    R.run_silver(spark, own)
+    R.run_gold(spark, own)
+    first = build_id(spark, own.gold_path)
+    R.run_gold(spark, own)
+    assert build_id(spark, own.gold_path) == first
+    changed = dataclasses.replace(own, grain="loan", prediction_months=3)
+    R.run_gold(spark, changed)
+    labels = spark.read.parquet(own.label_path)
+    assert build_id(spark, own.gold_path) != first
+    assert {r.prediction_date.month for r in labels.select("prediction_date").distinct().collect()} == {4, 5, 6, 7, 8, 9}
+    with open(own.raw_paths["clickstream"], "a") as file:
+        file.write("C1," + "1," * len(CLICK_FEATURES) + "2/1/2023\n")
+    before = spark.read.parquet(f"{own.silver_path}/clickstream").count()
+    R.run_bronze(spark, changed)
+    R.run_silver(spark, changed)
+    assert spark.read.parquet(f"{own.silver_path}/clickstream").count() == before + 1
+
+
+def test_command_line_reaches_every_parameter(spark, config, result):
+    root = os.path.dirname(os.path.dirname(config.raw_paths["attributes"]))
+    line = "--stage gold --grain loan --history-end exclusive --prediction-months 2 --label-window-months 6"
+    line += " --max-loan-months 9 --test-last-n-months 1 --any-unit-form --exclude year month --multi-line attributes"
+    args = command.parser().parse_args([root, *line.split(), "--column-type", "financials", "Rate", "double"])
+    own = command.config_of(args)
+    assert (own.grain, own.history_end, own.plural_only, own.exclude) == ("loan", "exclusive", False, ("year", "month"))
+    assert (own.prediction_months, own.label_window_months, own.max_loan_months, own.test_last_n_months) == (2, 6, 9, 1)
+    assert own.multi_line == {"attributes": True} and own.column_types == {"financials": {"Rate": "double"}}
+    for stage in ("bronze", "silver", "gold"):
+        assert command.start(spark, command.parser().parse_args([root, "--stage", stage])) is None
+    found = command.start(spark, command.parser().parse_args([root, "--stage", "model"]))
+    assert found.models.keys() == result.models.keys()
 
 
 def test_config_checks_its_options():
