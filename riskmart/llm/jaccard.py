@@ -8,7 +8,7 @@ document frequencies. A class can only link if at least 75 % of its shingles occ
 of the rest only the shared shingles go on.
 
 *Candidates.* Shingles are ordered by frequency, then hash. Linked sets share a shingle of their prefixes in this order, so the documents of a block, those with
-the same prefix shingle, are candidates. Not all pairs of a block are compared: in each of ``ROUNDS`` rounds every class meets only one hub of each of its blocks, and pairs
+the same prefix shingle, are candidates. A shingle's place in the order bounds the overlap, which excludes most pairs. Of the others not all are compared: in each of ``ROUNDS`` rounds a class meets only one hub of each of its blocks, and pairs
 inside one component are skipped as their outcome can't change any component. What then remains between different components of a block is compared in full, so the
 components are exact, while a group of n near copies costs about n comparisons a round.
 
@@ -38,7 +38,7 @@ PERCENT = 75
 BITS = 48
 CHUNK_BYTES = 12_000_000
 FRAGMENTS = 4
-ROUNDS = 2
+ROUNDS = 1
 #: Partners of a hub that one task compares.
 PARTNERS = 2000
 
@@ -167,7 +167,7 @@ def needed(n: np.ndarray) -> np.ndarray:
     return (PERCENT * n + 99) // 100
 
 
-_SET = "n long, name binary, keys binary, prefix array<long>"
+_SET = "n long, name binary, shared long, keys binary, prefix array<long>"
 
 
 def _collect(rows: pa.Table) -> pa.Table:
@@ -207,6 +207,7 @@ def _collect(rows: pa.Table) -> pa.Table:
             "id": head["id"],
             "n": head["size"].cast(pa.int64()),
             "name": head["name"],
+            "shared": pa.array(n_shared, pa.int64()),
             "keys": pa.array(packed, pa.binary()),
             "prefix": pa.array(prefixes, pa.list_(pa.int64())),
         }
@@ -223,9 +224,23 @@ def sets(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_B
     return counted.groupBy("chunk").applyInArrow(_collect, f"id {key}, {_SET}")
 
 
-def _similar_size(a: str, b: str):
-    """Sets whose sizes differ more can't link."""
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
+def _blocks(classes: DataFrame) -> DataFrame:
+    """(token, node, n, place, reach) of the prefix shingles that several classes have.
+
+    ``place`` is the shingle's place in the class's set by frequency and hash; shingles of no other document stand first. If it is the first that
+    two classes share, they share at most n - place, so of n and m shingles together they can link only if 7 * (n - place) >= 3 * (n + m): m is
+    ``reach`` at most.
+    """
+    first = F.col("n") - F.col("shared")
+    rows = classes.select("node", "n", first.alias("first"), F.posexplode("prefix").alias("i", "token"))
+    placed = rows.select("token", "node", "n", (F.col("first") + F.col("i")).alias("place"))
+    return placed.withColumn("reach", F.floor((4 * F.col("n") - 7 * F.col("place")) / 3))
+
+
+def _may_link():
+    """Each of the two classes is within the other's reach, and of similar size."""
+    sizes = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
+    return sizes & (F.col("n") <= F.col("hub_reach")) & (F.col("hub_n") <= F.col("reach"))
 
 
 def _fragments(classes: DataFrame, fragments: int) -> DataFrame:
@@ -282,30 +297,52 @@ def links(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     return summed.join(sizes, ["a", "b"]).filter(reached).select("a", "b")
 
 
-def _hub_pairs(blocks: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
-    """Each class with the hub of each of its blocks, unless both are in one component or of too different size."""
+def _open_blocks(blocks: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows with their components, and what is known of each block with several components."""
     rows = blocks.withColumn("component", F.col("node"))
     if labels is not None:
         rows = blocks.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    choice = F.struct(F.xxhash64(F.lit(round_), "node").alias("order"), "node", "n", "component")
-    hubs = rows.groupBy("token").agg(F.min(choice).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    hubs = hubs.filter("lo <> hi").select(
-        "token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component")
+    central = F.struct((1000 * F.col("place") / F.col("n")).cast("int").alias("order"), "node", "n", "reach", "component")
+    of_block = rows.groupBy("token").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.min("n").alias("least_n"),
+        F.max("reach").alias("most_reach"),
+        F.min(central).alias("hub"),
     )
-    met = rows.join(hubs, "token").filter(F.col("component") != F.col("hub_component")).filter(_similar_size("n", "hub_n"))
+    return rows, of_block.filter("lo <> hi and least_n <= most_reach")
+
+
+def _hub_pairs(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Each class with the hub of each of its blocks, unless both are in one component or can't link.
+
+    The hub is the class with the fewest shingles of its own, the likeliest origin of the others.
+    """
+    rows, of_block = _open_blocks(blocks, labels)
+    hubs = of_block.select(
+        "token",
+        F.col("hub.node").alias("hub"),
+        F.col("hub.n").alias("hub_n"),
+        F.col("hub.reach").alias("hub_reach"),
+        F.col("hub.component").alias("hub_component"),
+    )
+    met = rows.join(hubs, "token").filter((F.col("component") != F.col("hub_component")) & _may_link())
     return met.select("hub", "node", "hub_n", F.col("n").alias("node_n")).distinct()
 
 
 def _remaining_pairs(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """All pairs of classes of one block and different components."""
-    rows = blocks.withColumn("component", F.col("node"))
-    if labels is not None:
-        rows = blocks.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    left = rows.join(mixed.select("token"), "token")
-    right = left.select("token", *(F.col(c).alias(f"hub{s}") for c, s in (("node", ""), ("n", "_n"), ("component", "_component"))))
-    apart = (F.col("hub") < F.col("node")) & (F.col("component") != F.col("hub_component")) & _similar_size("n", "hub_n")
-    return left.join(right, "token").filter(apart).select("hub", "node", "hub_n", F.col("n").alias("node_n")).distinct()
+    """All pairs of classes of one block and different components that may link.
+
+    A class that no other of its block can reach, or that reaches none, leaves the block first.
+    """
+    rows, of_block = _open_blocks(blocks, labels)
+    limits = of_block.select("token", "least_n", "most_reach")
+    left = rows.join(limits, "token").filter("reach >= least_n and n <= most_reach").drop("least_n", "most_reach")
+    names = {"node": "hub", "n": "hub_n", "reach": "hub_reach", "component": "hub_component"}
+    right = left.select("token", *(F.col(c).alias(name) for c, name in names.items()))
+    apart = (F.col("hub") < F.col("node")) & (F.col("component") != F.col("hub_component"))
+    met = left.join(right, "token").filter(apart & _may_link())
+    return met.select("hub", "node", "hub_n", F.col("n").alias("node_n")).distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,15 +356,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = store(sets(docs, id_col, text_col), "sets")
     node = F.xxhash64("name")
     rows = rows.withColumn("node", node)
-    candidates = rows.filter("keys is not null").select("node", "n", "keys", "prefix").drop_duplicates(["node"])
+    candidates = rows.filter("keys is not null").select("node", "n", "shared", "keys", "prefix").drop_duplicates(["node"])
     classes = store(candidates, "classes")
-    blocks = classes.select("node", "n", F.explode("prefix").alias("token"))
+    blocks = _blocks(classes)
     several = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("token")
     blocks = store(blocks.join(several, "token"), "blocks")
     pieces = _fragments(classes, FRAGMENTS)
     labels = None
     for round_ in range(ROUNDS + 1):
-        pairs = _hub_pairs(blocks, labels, round_) if round_ < ROUNDS else _remaining_pairs(blocks, labels)
+        pairs = _hub_pairs(blocks, labels) if round_ < ROUNDS else _remaining_pairs(blocks, labels)
         pairs = store(pairs, "pairs")
         found = store(links(pairs, pieces), "links")
         labels = components(spark, found, labels)
