@@ -158,6 +158,7 @@ def encode(
                 yield _rows(REQUEST, [chunk.name], [bucket], [lengths], [words])
 
     def answer(requests: pa.Table) -> pa.Table:
+        T.release()
         encoding = _encoding("bpe", tuple(vocabulary.value.items()))
         known: dict[bytes, list[int]] = {}
         out, seen = [], set()
@@ -189,6 +190,7 @@ def encode(
             yield _rows(PLACES, [chunk.name], [rows], [pack(chunk.positions())])
 
     def join(placed: pa.Table, answers: pa.Table) -> pa.Table:
+        T.release()
         order = np.argsort(answers["bucket"].to_numpy())
         counts = [unpack(answers["counts"][i].as_py(), np.uint32) for i in order.tolist()]
         ids = [unpack(answers["ids"][i].as_py(), np.uint32) for i in order.tolist()]

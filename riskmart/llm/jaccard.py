@@ -149,6 +149,7 @@ def _send(batches: Iterator[pa.RecordBatch], fragments: int, size: int) -> Itera
 
 def _count(requests: pa.Table) -> pa.Table:
     """Frequencies of the shingles of one fragment, to each chunk for its own; and the shingles of frequency over one."""
+    T.release()
     if requests["part"][0].as_py() < 0:
         return requests
     asked = [np.cumsum(unpack(x.as_py(), U64), dtype=U64) for x in requests["a"]]
@@ -172,6 +173,7 @@ _SET = "n long, name binary, shared long, keys binary, prefix array<long>"
 
 def _collect(rows: pa.Table) -> pa.Table:
     """Sets of one chunk: size and class of each row; shared shingles and their prefix of those that may link."""
+    T.release()
     parts = np.array(rows["part"].to_pylist())
     own = int(np.flatnonzero(parts < 0)[0])
     head = pa.ipc.open_stream(rows["a"][own].as_py()).read_all()

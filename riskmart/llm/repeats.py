@@ -182,6 +182,7 @@ def _ask(batches: Iterator[pa.RecordBatch], routes: int, size: int, length: int)
 
 def _answer(asked: pa.Table) -> pa.Table:
     """What each chunk needs to know of its stretches: flags, and over how many routes the anchor is spread."""
+    T.release()
     chunk = asked["chunk"].to_pylist()
     parts = [[unpack(asked[c][i].as_py(), t) for i in range(len(chunk))] for c, t in zip("abcd", (U64, U64, np.uint8, np.int64), strict=True)]
     sizes = [len(x) for x in parts[0]]
@@ -225,6 +226,7 @@ def _chunk_flags(answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _send_texts(held: pa.Table, answers: pa.Table, routes: int, length: int) -> pa.Table:
     """The chunk with its flags, and the texts of its mixed stretches by route."""
+    T.release()
     out = []
     for i in range(min(held.num_rows, 1)):  # chunks with one name are equal; each row is kept below
         batches = _read(held["a"][i].as_py())
@@ -288,7 +290,8 @@ def longest_previous(position: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def _resolve(texts: pa.Table, length: int, earlier_only: bool) -> pa.Table:
     """For each mixed stretch of one route, the strings of it that occur in another one too (or earlier)."""
-    names, blobs = texts["chunk"].to_pylist(), {}
+    T.release()
+    names = texts["chunk"].to_pylist()
     types = {"b": np.uint32, "c": np.uint32, "d": U64, "e": np.uint32, "f": np.int64}
     columns = {c: [unpack(x.as_py(), t) for x in texts[c]] for c, t in types.items()}
     n_of = [len(x) for x in columns["b"]]
@@ -303,7 +306,6 @@ def _resolve(texts: pa.Table, length: int, earlier_only: bool) -> pa.Table:
     place = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     data = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8) for x in texts["a"]])
     sums = T.running_bytes(data)
-    bits: dict[int, np.ndarray] = {}
     count = size[chosen].astype(np.int64) - (length - 1)
     owner = np.repeat(np.arange(len(chosen)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -349,6 +351,7 @@ def gather_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _covered(held: pa.Table, answers: pa.Table, length: int, earlier_only: bool):
     """Of each batch of the chunk: its rows, bytes, offsets, and whether each byte is covered."""
+    T.release()
     for i in range(held.num_rows):
         batches = _read(held["a"][i].as_py())
         found = Stretches(batches, length)

@@ -7,6 +7,7 @@ difference of two sums, shifted back by a power of B's inverse, depends on the s
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts of a batch are handled in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C53 | 3  # 3 modulo 8, so that base - 1 has one factor 2
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
@@ -46,6 +47,15 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
     edges = np.flatnonzero(np.diff(part)) + 1
     for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
         yield batch.slice(int(start), int(end - start))
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that waiting workers hold little of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
