@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskmart.llm import quality as Q
 
-SETTINGS = Q.Settings(max_rows=300, steps=2000)
+SETTINGS = Q.Settings(max_rows=500, steps=8000)
 
 
 def labelled_texts(n):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskmart.llm import repeats as R
 
-COLUMNS = ("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256))
+COLUMNS = ("doc_id", "n_bytes", "n_bytes - octet_length(kept)", "size(spans)", "sha2(kept, 256)")
 
 
 def short(rows):
@@ -22,17 +22,17 @@ def some(docs):
 @pytest.mark.parametrize("length", [200, 64])
 def test_bytes_removed_are_those_of_brute_force(some, rows, keep, length):
     if keep == "first":  # rows that repeat an id are told apart by no order that both know
-        some, rows = some.filter("doc_id is not null").drop_duplicates(["doc_id"]), dict.fromkeys(r for r in rows if r[0] is not None)
-        rows = list(dict(rows).items())
-    found = by_row(R.repeated_spans(some, keep, length, chunk_bytes=9000).select(*COLUMNS))
+        some = some.filter("doc_id is not null").drop_duplicates(["doc_id"])
+        rows = [(d, t) for d, t in dict(rows).items() if d is not None]
+    found = by_row(R.repeated_spans(some, keep, length, chunk_bytes=9000).selectExpr(*COLUMNS))
     assert found == in_order(brute.repeats(short(rows), length, keep))
     assert any(r[2] for r in found)
 
 
 def test_spread_anchors_change_nothing(some, rows, monkeypatch):
-    want = by_row(R.repeated_spans(some, "first", chunk_bytes=9000).select(*COLUMNS))
+    want = by_row(R.repeated_spans(some, "first", chunk_bytes=9000).selectExpr(*COLUMNS))
     monkeypatch.setattr(R, "ANCHOR_STRETCHES", 2)
-    assert by_row(R.repeated_spans(some, "first", chunk_bytes=9000).select(*COLUMNS)) == want
+    assert by_row(R.repeated_spans(some, "first", chunk_bytes=9000).selectExpr(*COLUMNS)) == want
 
 
 def test_texts_stay_texts_and_rows_stay(docs, no_docs):

@@ -1,6 +1,7 @@
 """Token counts, byte-level BPE and packing against the libraries."""
 
 import base64
+import os
 
 import numpy as np
 import public_tokenizers
@@ -82,7 +83,12 @@ def test_ids_are_the_librarys_and_decode_to_the_texts(docs, rows, library, no_do
 
 
 def test_an_input_that_changes_between_the_passes_is_an_error(docs):
-    moving = docs.select("doc_id", F.concat("text", F.uuid()).alias("text"))
+    def change(batches):
+        for batch in batches:
+            texts = [f"{t} {os.urandom(4).hex()}" for t in batch.column("text").to_pylist()]
+            yield text.pa.RecordBatch.from_arrays([batch.column("doc_id"), text.pa.array(texts)], names=["doc_id", "text"])
+
+    moving = docs.select("doc_id", "text").mapInArrow(change, "doc_id long, text string")
     with pytest.raises(Exception, match="other chunks"):
         bpe.encode(moving, RANKS).collect()
 
