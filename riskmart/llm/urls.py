@@ -28,6 +28,9 @@ https://ads-server.example/banner http://track-ads.example/pixel https://click-t
 https://www.adult-cams.example/live http://adult-dating.example/meet https://hot-adult.example/x http://xxx-adult.example/tube
 https://spam-host.example/mail http://link-farm.example/links https://spamlinks.example/page http://seo-farm.example/spam
 https://content-farm.example/top10 http://www.farm-links.example/a https://x-videos.example/watch http://payday-loans.example/now
+http://diet-pills.example/order https://pillstore.example/pills http://adult-chat.example/room https://adultvideo.example/new
+http://betting-tips.example/win https://casino-slots.example/spin http://spammers.example/lists https://cheapest-pills.example/en/7
+http://adult-shop.example/fr/12 https://free-spins.example/de/9 http://ad-tracker.example/es/3 https://lottery-win.example/en/5
 https://replica-bags.example/sale http://crack-warez.example/keygen https://poker-win.example/table http://bet-track.example/ads
 """.split()
 ALLOWED_URLS = """
@@ -40,6 +43,9 @@ https://mountain.example/hiking/9 http://m.river.example/fr/210 https://history.
 https://www.nation.example/en/6021?ref=x http://orchestra.example/concerts https://science.example/en/3310#top
 https://m.thinking.example/en/95 http://www.author.example/books/7 https://blog.lantern.example/es/431 https://parliament.example/acts/12
 http://school.example/en/871/ https://www.heritage.example/sites/5 http://insects.example/beetles.html https://ocean.example/en/2745
+http://violins.example/en/40 https://www.geology.example/en/8 http://m.bakery.example/fr/77 https://zoology.example/en/311
+http://www.botany.example/de/12 https://blog.chess.example/en/64 http://lighthouse.example/es/15 https://m.vineyard.example/fr/903
+http://furniture.example/en/21.html https://www.painting.example/en/1450 http://zone.example/en/6 https://best-essays.example/en/33
 http://www.engineering.example/notes/14 https://archive.example/item/90210 http://festival.example/fr/1201?utm_source=feed
 """.split()
 
@@ -104,7 +110,7 @@ def fit(labelled: DataFrame, n_buckets: int = BUCKETS, ngrams=NGRAMS) -> tuple[l
     )
     rows = labelled.filter(F.col("label").isNotNull()).select("label", present.alias("present")).coalesce(1)
     vectors = rows.select("label", array_to_vector(dense).alias("features"))
-    model = LogisticRegression(regParam=0.02, standardization=False, maxIter=50).fit(vectors)
+    model = LogisticRegression(regParam=0.01, standardization=False, maxIter=50).fit(vectors)
     return [round(float(c), 6) for c in model.coefficients], float(model.intercept)
 
 
