@@ -35,7 +35,9 @@ from riskmart.llm.components import store
 U64 = np.uint64
 LENGTH = 200
 GRAM = 32
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 6_000_000
+#: Routes of stretches with texts per shuffle partition; more of them make the groups that a task orders smaller.
+TEXT_ROUTES = 4
 #: Stretches of one anchor that one route takes.
 ANCHOR_STRETCHES = 20_000
 COPIED, MIXED, FIRST = 1, 2, 4
@@ -307,13 +309,18 @@ def _resolve(texts: pa.Table, length: int, earlier_only: bool) -> pa.Table:
     data = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8) for x in texts["a"]])
     sums = T.running_bytes(data)
     count = size[chosen].astype(np.int64) - (length - 1)
-    owner = np.repeat(np.arange(len(chosen)), count)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    owner = np.repeat(np.arange(len(chosen), dtype=np.int32), count)
+    inner = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
     begin = place[chosen][owner] + inner
     hashes = T.stretch(sums, begin, begin + length)
-    mine = hashes % salt[chosen, 1].astype(U64)[owner] == salt[chosen, 0].astype(U64)[owner]
-    _, inverse, copies = np.unique(hashes, return_inverse=True, return_counts=True)
-    keep = np.flatnonzero(mine & (copies[inverse] > 1))  # a string that occurs once ends no search
+    del sums
+    keep = hashes % salt[chosen, 1].astype(U64)[owner] == salt[chosen, 0].astype(U64)[owner]
+    by_hash = np.sort(hashes)
+    same = by_hash[1:][by_hash[1:] == by_hash[:-1]]
+    if len(same):  # a string that occurs once ends no search
+        keep &= same[np.minimum(np.searchsorted(same, hashes), len(same) - 1)] == hashes
+    else:
+        keep[:] = False
     owner, inner, begin, hashes = owner[keep], inner[keep], begin[keep], hashes[keep]
     head = np.zeros(len(begin), U64)
     for i in range(8):  # first eight bytes in their order, then the string as a whole
@@ -406,7 +413,7 @@ def _resolved(source: DataFrame, length: int, earlier_only: bool, chunk_bytes: i
     answers = asked.groupBy("route").applyInArrow(_answer, _PACKED_DDL)
     held = source.mapInArrow(lambda b: _hold(b, chunk_bytes), _PACKED_DDL)
     sent = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda h, a: _send_texts(h, a, routes, length), _PACKED_DDL
+        lambda h, a: _send_texts(h, a, TEXT_ROUTES * routes, length), _PACKED_DDL
     )
     sent = store(sent, "stretches")
     texts = sent.filter("route >= 0").groupBy("route")
