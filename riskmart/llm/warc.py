@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
+from riskmart.llm.components import store
+
 MIN_REVISIT = 100
 #: Payload of one task's range of ids, and compressed size at which a file is closed.
 SHARD_BYTES = 24_000_000
@@ -92,22 +94,23 @@ def ranges(sizes: DataFrame, shard_bytes: int, bins: int = 1024) -> list[int]:
 
     Each round counts the bytes of equal bins of the ranges that are still too heavy; ranges and bins, not ids, reach the driver.
     """
-    ends = sizes.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.col("n_bytes") + 500).alias("n")).first()
+    ends = sizes.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
     if ends.lo is None:
         return []
-    done, heavy = [], [(ends.lo, ends.hi + 1, ends.n)] if ends.n > shard_bytes else []
-    while heavy:
-        spark = sizes.sparkSession
-        cut = spark.createDataFrame([(lo, hi, max(1, -(-(hi - lo) // bins))) for lo, hi, _ in heavy], "lo long, hi long, step long")
-        inside = sizes.join(F.broadcast(cut), (sizes["id"] >= cut["lo"]) & (sizes["id"] < cut["hi"]))
-        start = (F.col("lo") + F.floor((F.col("id") - F.col("lo")) / F.col("step")) * F.col("step")).cast("long")
-        counted = inside.groupBy(start.alias("start"), "step", "hi").agg(F.sum(F.col("n_bytes") + 500).alias("n")).collect()
-        heavy = []
-        for row in counted:
-            if row.n > shard_bytes and row.step > 1:
-                heavy.append((row.start, min(row.start + row.step, row.hi), row.n))
-            else:
-                done.append((row.start, row.n))
+    from_zero = max(ends.lo, 0)  # below zero and above apart, so that no difference leaves 64 bits
+    rows = sizes.withColumn("start", F.when(F.col("id") < 0, F.lit(ends.lo)).otherwise(F.lit(from_zero)))
+    done, width = [], max(min(ends.hi, -1) - ends.lo, ends.hi - from_zero) + 1
+    while True:
+        step = -(-width // bins)
+        rows = rows.withColumn("start", F.expr(f"start + ((id - start) div {step}L) * {step}L"))
+        counted = rows.groupBy("start").agg(F.sum(F.col("n_bytes") + 500).alias("n")).collect()
+        heavy = [(r.start,) for r in counted if r.n > shard_bytes and step > 1]
+        done += [(r.start, r.n) for r in counted if r.n <= shard_bytes or step == 1]
+        if not heavy:
+            break
+        starts = sizes.sparkSession.createDataFrame(heavy, "start long")
+        rows = store(rows.join(starts, "start", "left_semi"), "heavy")
+        width = step
     firsts, held = [], 0
     for start, n in sorted(done):
         if held and held + n > shard_bytes:

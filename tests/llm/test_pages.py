@@ -105,6 +105,17 @@ def test_same_pages_give_the_same_files(spark, pages, tmp_path):
     assert one == two
 
 
+def test_ranges_hold_about_equal_bytes_whatever_the_ids(spark):
+    ids = [-(2**63), -5, -4, 0, 7, 2**63 - 1, *range(10**6, 10**6 + 3000)]
+    sizes = spark.createDataFrame([(i, 500) for i in ids], "id long, n_bytes long")
+    firsts = warc.ranges(sizes, 100_000, bins=256)
+    assert firsts == sorted(firsts) and firsts == warc.ranges(sizes.repartition(5), 100_000, bins=256)
+    shares = [sum(a <= i < b for i in ids) for a, b in zip([-(2**63), *firsts], [*firsts, 2**63], strict=True)]
+    assert sum(shares) == len(ids) and max(shares) <= 100 and sum(n < 40 for n in shares) <= 3
+    one = spark.createDataFrame([(3, 10**9)] * 2, "id long, n_bytes long")
+    assert warc.ranges(one, 1000) == [] == warc.ranges(one.limit(0), 1000)
+
+
 def test_damage_and_emptiness(spark, pages, tmp_path):
     out = f"file://{tmp_path}/archive"
     warc.write(pages.limit(0), out)
