@@ -176,11 +176,12 @@ def _collect(rows: pa.Table) -> pa.Table:
     T.release()
     parts = np.array(rows["part"].to_pylist())
     own = int(np.flatnonzero(parts < 0)[0])
+    equal = int((parts < 0).sum())  # chunks of equal content, each with its own requests and answers
     head = pa.ipc.open_stream(rows["a"][own].as_py()).read_all()
     sizes = head["size"].to_numpy()
     docs = unpack(rows["b"][own].as_py(), np.uint32)
     new = np.unpackbits(unpack(rows["c"][own].as_py(), np.uint8), count=len(docs)).astype(bool)
-    order = [i for i in np.argsort(parts, kind="stable").tolist() if parts[i] >= 0]
+    order = [i for i in np.unique(parts, return_index=True)[1].tolist() if parts[i] >= 0]
     frequency = np.concatenate([unpack(rows["a"][i].as_py(), np.uint32) for i in order] or [np.empty(0, np.uint32)])
     shared = np.concatenate([unpack(rows["b"][i].as_py(), U64) for i in order] or [np.empty(0, U64)])
     keys = np.zeros(len(frequency), U64)
@@ -204,7 +205,7 @@ def _collect(rows: pa.Table) -> pa.Table:
         packed.append(pack(np.diff(keys[key[by_key[part]]], prepend=U64(0))))
         length = sizes[d] - needed(sizes[d]) + 1 - (sizes[d] - n_shared[d])
         prefixes.append(keys[key[by_rank[part]]][:length].astype(np.int64).tolist())
-    return pa.table(
+    found = pa.table(
         {
             "id": head["id"],
             "n": head["size"].cast(pa.int64()),
@@ -214,6 +215,7 @@ def _collect(rows: pa.Table) -> pa.Table:
             "prefix": pa.array(prefixes, pa.list_(pa.int64())),
         }
     )
+    return pa.concat_tables([found] * equal)
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

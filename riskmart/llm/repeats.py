@@ -218,12 +218,17 @@ def _read(blob: bytes) -> list[pa.RecordBatch]:
 
 
 def _chunk_flags(answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(answers["route"].to_numpy(), kind="stable").tolist()
-    flags = np.concatenate([unpack(answers["a"][i].as_py(), np.uint8) for i in order] or [np.empty(0, np.uint8)])
-    spread = np.concatenate([unpack(answers["b"][i].as_py(), np.uint32) for i in order] or [np.empty(0, np.uint32)])
-    if len(flags) != n:
+    """Flags and spread of a chunk's distinct stretches. Chunks of equal content are answered each; the first of them may be any."""
+    flags, spread = {}, {}
+    for i, route in enumerate(answers["route"].to_pylist()):
+        found = unpack(answers["a"][i].as_py(), np.uint8)
+        flags[route] = flags[route] | found if route in flags else found
+        spread[route] = unpack(answers["b"][i].as_py(), np.uint32)
+    order = sorted(flags)
+    all_flags = np.concatenate([np.empty(0, np.uint8), *(flags[r] for r in order)])
+    if len(all_flags) != n:
         raise ValueError("the input was read in other chunks the second time; store it first")
-    return flags, spread
+    return all_flags, np.concatenate([np.empty(0, np.uint32), *(spread[r] for r in order)])
 
 
 def _send_texts(held: pa.Table, answers: pa.Table, routes: int, length: int) -> pa.Table:
@@ -234,8 +239,9 @@ def _send_texts(held: pa.Table, answers: pa.Table, routes: int, length: int) ->
         batches = _read(held["a"][i].as_py())
         found = Stretches(batches, length)
         flags, spread = _chunk_flags(answers, len(found.first))
-        for j in range(held.num_rows):
-            out.append(_packed(-1, held["chunk"][j].as_py(), held["a"][j].as_py(), pack(flags)))
+        for j in range(held.num_rows):  # of equal chunks only one has first copies
+            own_flags = flags if j == 0 else flags & np.uint8(255 - FIRST)
+            out.append(_packed(-1, held["chunk"][j].as_py(), held["a"][j].as_py(), pack(own_flags)))
         mixed = np.flatnonzero(flags & MIXED)
         own = found.first[mixed]
         data, offsets, row = [], [], 0

@@ -18,6 +18,11 @@ def test_components_are_those_of_brute_force(docs, rows):
     assert len({r[2] for r in found}) < len({r[0] for r in found})
 
 
+def test_a_table_twice(docs, rows):
+    one = docs.coalesce(1)
+    assert shown(J.join(one.union(one))) == in_order(brute.jaccard_components(rows * 2))
+
+
 def near_copies(seed, n):
     """Chains and stars of texts around the threshold, with a passage that many share."""
     rng, passage, texts = random.Random(seed), prose(random.Random(1), 12), []

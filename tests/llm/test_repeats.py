@@ -35,6 +35,18 @@ def test_spread_anchors_change_nothing(some, rows, monkeypatch):
     assert by_row(R.repeated_spans(some, "first", chunk_bytes=9000).selectExpr(*COLUMNS)) == want
 
 
+def test_a_table_twice_is_all_copies(some, rows):
+    one = some.coalesce(1)
+    twice = short(rows) * 2
+    for keep in ("none", "first"):
+        found = by_row(R.repeated_spans(one.union(one), keep).selectExpr(*COLUMNS))
+        if keep == "none":
+            assert found == in_order(brute.repeats(twice))
+        else:  # the later of two equal rows loses all that the first keeps of its repeated strings
+            want = brute.repeats(twice, keep="first")
+            assert sum(r[2] for r in found) == sum(r[2] for r in want)
+
+
 def test_texts_stay_texts_and_rows_stay(docs, no_docs):
     cut = R.remove_repeats(docs, "none")
     assert cut.columns == docs.columns and cut.count() == docs.count()
