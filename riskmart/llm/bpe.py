@@ -156,6 +156,7 @@ def encode(
         for chunk in chunks(batches, chunk_bytes):
             for bucket, lengths, words in chunk.requests(buckets):
                 yield _rows(REQUEST, [chunk.name], [bucket], [lengths], [words])
+            T.release()
 
     def answer(requests: pa.Table) -> pa.Table:
         T.release()
@@ -188,6 +189,7 @@ def encode(
                     w.write_table(table)
                 rows = sink.getvalue().to_pybytes()
             yield _rows(PLACES, [chunk.name], [rows], [pack(chunk.positions())])
+            T.release()
 
     def join(placed: pa.Table, answers: pa.Table) -> pa.Table:
         T.release()
@@ -274,6 +276,7 @@ def digest(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
             decoded_digest = [hashlib.sha256(x).hexdigest() for x in _decoded(ids, table.value)]
             columns = [batch.column(id_col), pa.array(size, pa.int64()), pa.array(ids_digest), pa.array(decoded_digest)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            T.release()
 
     key = encoded.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {key}, n_tokens long, ids_sha256 string, decoded_sha256 string"

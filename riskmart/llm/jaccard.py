@@ -36,7 +36,7 @@ SHINGLE = 5
 #: Similarity of at least 75 / 100.
 PERCENT = 75
 BITS = 48
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 FRAGMENTS = 4
 ROUNDS = 1
 #: Partners of a hub that one task compares.
@@ -145,6 +145,7 @@ def _send(batches: Iterator[pa.RecordBatch], fragments: int, size: int) -> Itera
             rows = sink.getvalue().to_pybytes()
         own = -1 - (int.from_bytes(chunk.name[:7]) >> 1)  # a route of its own, passed through
         yield _packed(own, chunk.name, -1, rows, pack(chunk.docs), pack(np.packbits(chunk.new)))
+        T.release()
 
 
 def _count(requests: pa.Table) -> pa.Table:

@@ -180,6 +180,8 @@ def _ask(batches: Iterator[pa.RecordBatch], routes: int, size: int, length: int)
             yield _packed(
                 r, name, pack(anchor[part]), pack(found.name[own]), pack(copies), pack(found.order[own].astype(np.int64))
             )
+        del found
+        T.release()
 
 
 def _answer(asked: pa.Table) -> pa.Table:
@@ -211,6 +213,7 @@ def _answer(asked: pa.Table) -> pa.Table:
 def _hold(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for chunk in chunks(batches, size):
         yield _packed(0, chunk.name(), chunk.rows())
+        T.release()
 
 
 def _read(blob: bytes) -> list[pa.RecordBatch]:
