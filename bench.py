@@ -3,7 +3,7 @@
 Each query is run once to warm up and then three times; its median counts. Results go to a
 sink that discards them. The silver tables, label store and feature matrix that later stages
 start from are stored first, as in a run, and timed once and cold as ``stored_*``. ``hot_*`` have a third of the rows on
-one customer or loan with several hundred label rows. ``paired_*`` are the same results as joins of rows with label rows.
+one customer or loan with some sixty label rows. ``paired_*`` are the same results as joins of rows with label rows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ PAIRED = {
         on x.Customer_ID = l.Customer_ID and x.snapshot_date = l.latest""",
 }
 
-HOT_LABELS = 500
+HOT_LABELS = 60
 HOT = {
     "paired_hot_clickstream_agg": PAIRED["paired_clickstream_agg"].replace("clicks c", "hot_clicks c").replace("spine s", "hot_customer s"),
     "paired_hot_loan_agg": PAIRED["paired_loan_agg"].replace("loan_daily d", "hot_loan_daily d").replace("spine s", "hot_loan s"),
