@@ -29,6 +29,7 @@ from riskmart.llm.pretokens import pretokens
 U64 = np.uint64
 #: Text of a chunk. More means fewer repeated words in the shuffle, and more memory in a task.
 CHUNK_BYTES = 8_000_000
+CHANGED = "the input was read in other chunks the second time; store it before encoding"
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -193,6 +194,8 @@ def encode(
 
     def join(placed: pa.Table, answers: pa.Table) -> pa.Table:
         T.release()
+        if not placed.num_rows:
+            raise ValueError(CHANGED)
         order = np.argsort(answers["bucket"].to_numpy())
         counts = [unpack(answers["counts"][i].as_py(), np.uint32) for i in order.tolist()]
         ids = [unpack(answers["ids"][i].as_py(), np.uint32) for i in order.tolist()]
@@ -203,7 +206,7 @@ def encode(
             rows = pa.ipc.open_stream(placed["rows"][r].as_py()).read_all().combine_chunks()
             words = unpack(placed["positions"][r].as_py(), np.uint32)
             if len(words) and words.max() >= len(counts):
-                raise ValueError("the input was read in other chunks the second time; store it before encoding")
+                raise ValueError(CHANGED)
             ends = np.cumsum(rows["n"].to_numpy(), dtype=np.int64)
             for lo in range(0, rows.num_rows, 200):
                 hi = min(lo + 200, rows.num_rows)
