@@ -8,12 +8,16 @@ document frequencies. A class can only link if at least 75 % of its shingles occ
 of the rest only the shared shingles go on.
 
 *Candidates.* Shingles are ordered by frequency, then hash. Linked sets share a shingle of their prefixes in this order, so the documents of a block, those with
-the same prefix shingle, are candidates. A shingle's place in the order bounds the overlap, which excludes most pairs. Of the others not all are compared: in each of ``ROUNDS`` rounds a class meets only one hub of each of its blocks, and pairs
+the same prefix shingle, are candidates. A shingle's place in the order bounds the overlap, which excludes most pairs.
+
+*Components.* Not all candidates are needed for them: in each of ``ROUNDS`` rounds a class meets only one hub of each of its blocks, and pairs
 inside one component are skipped as their outcome can't change any component. What then remains between different components of a block is compared in full, so the
-components are exact, while a group of n near copies costs about n comparisons a round.
+components are exact, while a group of n near copies costs about n comparisons a round. The sets of the candidates are cut into fragments again; fragments of a pair
+meet by hub, partial overlaps are counted per fragment, and summed per pair. A hub with many partners is salted. ``components_only`` ends here.
 
-*Overlaps.* The sets of the candidates are cut into fragments again; fragments of a pair meet by hub, partial overlaps are counted per
-fragment, and summed per pair. A hub with many partners is salted.
+*Links.* Linked classes are in one component, so all links are found by counting every pair of classes inside each component whose sizes allow a link. Its
+classes are dealt by size into bands and by hash into tiles. Two tiles meet once per fragment and give a matrix of partial overlaps, and the matrices are summed
+over the fragments. Links stay packed, one row per two tiles, until they are counted or listed.
 """
 
 from __future__ import annotations
@@ -41,6 +45,13 @@ FRAGMENTS = 4
 ROUNDS = 1
 #: Partners of a hub that one task compares.
 PARTNERS = 2000
+#: Classes, and their shingles, of one tile.
+TILE = 1000
+TILE_SHINGLES = 2_000_000
+#: A little over 100 / PERCENT, so that linked sets lie in one band of sizes or in neighbouring ones.
+BAND = 1.34
+#: Shingles that two tiles compare at once.
+COLUMNS = 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -350,13 +361,182 @@ def _remaining_pairs(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.select("hub", "node", "hub_n", F.col("n").alias("node_n")).distinct()
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``class`` (rows with equal sets share it), ``component`` and ``component_id``.
+def _tiles(classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of components with their tiles, and (tile, pair, second): the tiles of each pair of tiles that may hold links.
 
-    ``component_id`` is the smallest id reachable by links, the row's own included; null ids count only where there is no other. Rows without
-    words have no shingles and their own id. Repeated ids are rows of their own, of which each belongs to its set's class. Other columns are
-    ignored. An empty table gives an empty result.
+    A tile is (component, band, part). It meets itself, the others of its band and those of the next.
     """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
+    linked = classes.join(labels, "node").select("node", "n", "component", band.alias("band"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    bands = store(linked.groupBy("component", "band").agg(F.count(F.lit(1)).alias("classes"), parts.alias("parts")), "bands")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = linked.join(bands, ["component", "band"]).select("node", "n", F.xxhash64("component", "band", part).alias("tile"))
+
+    low = bands.select("component", "band", "parts", "classes", F.explode(F.array("band", F.col("band") + 1)).alias("next"))
+    high = bands.select("component", F.col("band").alias("next"), F.col("parts").alias("next_parts"))
+    met = low.join(high, ["component", "next"]).filter("next > band or classes > 1")
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("next_parts") - 1))).filter("next > band or i <= j")
+    first, second = F.xxhash64("component", "band", "i"), F.xxhash64("component", "next", "j")
+    sides = met.select(first.alias("first"), second.alias("second"), F.xxhash64(first, second).alias("pair"))
+    both = F.array(F.struct(F.col("first").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("second").alias("tile"), F.lit(1).alias("side")))
+    alone = F.array(F.struct(F.col("first").alias("tile"), F.lit(2).alias("side")))
+    members = sides.select("pair", F.explode(F.when(F.col("first") == F.col("second"), alone).otherwise(both)).alias("member"))
+    return placed, members.select("pair", "member.tile", "member.side")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each value of ``keys``, which are next to each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = held != [] and tuple(c[0] for c in columns) != last
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and new[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of each set of ``a`` with each of ``b``."""
+    keys_a, keys_b = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(keys_a, keys_b)
+    out = np.zeros((len(a), len(b)), np.uint32)
+    sides = []
+    for keys, sets_ in ((keys_a, a), (keys_b, b)):
+        row = np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
+        column = np.searchsorted(common, keys)
+        known = np.zeros(len(keys), bool)
+        inside = column < len(common)
+        known[inside] = common[column[inside]] == keys[inside]
+        row, column = row[known], column[known]
+        order = np.argsort(column, kind="stable")
+        sides.append((len(sets_), row[order], column[order]))
+    for start in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - start)
+        dense = []
+        for n, row, column in sides:
+            lo, hi = np.searchsorted(column, [start, start + width])
+            matrix = np.zeros((n, width), np.float32)
+            matrix[row[lo:hi], column[lo:hi] - start] = 1
+            dense.append(matrix)
+        out += (dense[0] @ dense[1].T).astype(np.uint32)
+    return out
+
+
+_TILED = pa.schema([("pair", pa.int64()), ("same", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("found", pa.binary())])
+_TILED_DDL = "pair long, same boolean, a binary, b binary, found binary"
+
+
+def _tile_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of tiles and fragment, a matrix of partial overlaps between their classes (node, n)."""
+    for rows in _groups(batches, ("pair", "fragment")):
+        side = rows["side"].to_numpy()
+        node_n = np.stack([rows["node"].to_numpy(), rows["n"].to_numpy()], axis=1)
+        sets_ = [np.cumsum(unpack(x.as_py(), U64), dtype=U64) for x in rows["keys"]]
+        same = bool(side[0] == 2)
+        at_a, at_b = (np.flatnonzero((side == s) | (side == 2)) for s in (0, 1))
+        if not len(at_a) or not len(at_b):
+            continue
+        found = overlaps([sets_[i] for i in at_a], [sets_[i] for i in at_b])
+        row = (rows["pair"][0].as_py(), same, pack(node_n[at_a].reshape(-1)), pack(node_n[at_b].reshape(-1)), pack(found.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _TILED, strict=True)], schema=_TILED)
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the fragments' matrices, and which classes reach the similarity, as bits."""
+    for rows in _groups(batches, ("pair",)):
+        same = rows["same"][0].as_py()
+        sides = [[unpack(x.as_py(), np.int64).reshape(-1, 2) for x in rows[c]] for c in ("a", "b")]
+        (a, at_a), (b, at_b) = (_distinct(x) for x in sides)
+        total = np.zeros((len(a), len(b)), np.int64)
+        start_a = start_b = 0
+        for i, blob in enumerate(rows["found"]):
+            n_a, n_b = len(sides[0][i]), len(sides[1][i])
+            part = unpack(blob.as_py(), np.uint32).reshape(n_a, n_b)
+            total[np.ix_(at_a[start_a : start_a + n_a], at_b[start_b : start_b + n_b])] += part
+            start_a, start_b = start_a + n_a, start_b + n_b
+        linked = (total > 0) & (100 * total >= PERCENT * (a[:, 1][:, None] + b[:, 1][None, :] - total))
+        if same:
+            np.fill_diagonal(linked, False)
+        if linked.any():
+            row = (rows["pair"][0].as_py(), same, pack(a[:, 0].copy()), pack(b[:, 0].copy()), pack(np.packbits(linked)))
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _TILED, strict=True)], schema=_TILED)
+
+
+def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The classes (node, n) of several fragments by node, and the place of each."""
+    rows = np.concatenate(parts)
+    _, first, place = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+    return rows[first], place
+
+
+def _packed_links(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """All links, stored: for each two tiles with any, their classes and a matrix of bits."""
+    placed, members = _tiles(classes, labels)
+    pieces = _fragments(classes, FRAGMENTS).select("node", "fragment", "keys")
+    dealt = placed.join(members, "tile").join(pieces, "node").select("pair", "fragment", "side", "node", "n", "keys")
+    dealt = dealt.repartition("pair", "fragment").sortWithinPartitions("pair", "fragment")
+    partial = dealt.mapInArrow(_tile_overlaps, _TILED_DDL)
+    summed = partial.repartition("pair").sortWithinPartitions("pair")
+    return store(summed.mapInArrow(_tile_links, _TILED_DDL), "all_links")
+
+
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    for same, a, b, found in zip(*(batch.column(c).to_pylist() for c in ("same", "a", "b", "found")), strict=True):
+        a, b = unpack(a, np.int64), unpack(b, np.int64)
+        bits = np.unpackbits(unpack(found, np.uint8), count=len(a) * len(b))
+        yield same, a, b, bits.reshape(len(a), len(b)).astype(bool)
+
+
+def _link_counts(packed: DataFrame) -> DataFrame:
+    """(node, n_links): to how many other classes each class with links is linked."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for same, a, b, linked in _matrices(batch):
+                nodes.append(a)
+                counts.append(linked.sum(axis=1))
+                if not same:
+                    nodes.append(b)
+                    counts.append(linked.sum(axis=0))
+            distinct, place = np.unique(np.concatenate(nodes), return_inverse=True)
+            total = np.bincount(place, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(total)], names=["node", "n_links"])
+
+    counted = packed.select("same", "a", "b", "found").mapInArrow(count, "node long, n_links long")
+    return counted.groupBy("node").agg(F.sum("n_links").alias("n_links")).filter("n_links > 0")
+
+
+def _listed(packed: DataFrame) -> DataFrame:
+    """(class_a, class_b), the lesser first, of every link."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, a, b, linked in _matrices(batch):
+                i, j = np.nonzero(np.triu(linked) if same else linked)
+                lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["class_a", "class_b"])
+
+    return packed.select("same", "a", "b", "found").mapInArrow(unfold, "class_a long, class_b long")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their classes, the classes that may link, and the components of those that do; all stored."""
     spark = docs.sparkSession
     rows = store(sets(docs, id_col, text_col), "sets")
     node = F.xxhash64("name")
@@ -373,20 +553,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         pairs = store(pairs, "pairs")
         found = store(links(pairs, pieces), "links")
         labels = components(spark, found, labels)
+    return rows, classes, labels
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components_only: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``class`` (rows with equal sets share it), ``n_links``, ``component`` and ``component_id``.
+
+    ``n_links`` is the exact number of other classes that the row's class is linked to; with ``components_only`` the links are not counted and the column is
+    left out. ``component_id`` is the smallest id reachable by links, the row's own included; null ids count only where there is no other. Rows without
+    words have no shingles and their own id. Repeated ids are rows of their own, of which each belongs to its set's class. Other columns are
+    ignored. An empty table gives an empty result.
+    """
+    rows, classes, labels = _classes(docs, id_col, text_col)
+    rows = rows.drop("keys", "prefix")
+    if not components_only:
+        counts = store(_link_counts(_packed_links(classes, labels)), "link_counts")
+        rows = rows.join(counts, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     classes_ids = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = classes_ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component", "component_id")
-    joined = rows.select("id", "n", "node").join(of_node, "node", "left")
+    shown = [] if components_only else ["n_links"]
+    joined = rows.select("id", "n", "node", *shown).join(of_node, "node", "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.col("node").alias("class"),
+        *shown,
         "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
+def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(class_a, class_b) of every two linked classes, once, ``class`` as ``join`` has it. A group of n near copies has up to n * (n - 1) / 2 of them."""
+    _, classes, labels = _classes(docs, id_col, text_col)
+    return _listed(_packed_links(classes, labels))
+
 
 def _named(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with its texts' classes, as ``join`` has them, in a last column ``_class``."""
@@ -413,7 +616,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without words are linked with nothing and all stay. Null ids are kept only where a component has no other. Of rows equal in id and
     shingle set one stays.
     """
-    joined = store(join(docs, id_col, text_col).withColumnRenamed(id_col, "_id"), "joined")
+    joined = store(join(docs, id_col, text_col, components_only=True).withColumnRenamed(id_col, "_id"), "joined")
     linked = joined.filter("n_shingles > 0").groupBy("component", "_id", "class").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("_id").isNull().alias("missing"), "_id", "class", "copies")
     kept = linked.groupBy("component").agg(F.min(order).alias("first")).select("first._id", "first.class", "first.copies")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from llm import brute
@@ -62,3 +63,39 @@ def test_long_chains_of_links(spark):
     more = spark.createDataFrame([(5, 102), (200, 201)], "a long, b long")
     again = {r.node: r.component for r in components(spark, more, components(spark, links)).collect()}
     assert again == {**{i: 0 for i in found}, 200: 200, 201: 200}
+
+
+def links_of(rows):
+    """Linked pairs of different sets."""
+    sets = list({s for _, t in rows if (s := brute.shingle_set(t))})
+    pairs = ((a, b, len(a & b)) for i, a in enumerate(sets) for b in sets[:i] if a & b)
+    return [(a, b) for a, b, both in pairs if 100 * both >= 75 * (len(a) + len(b) - both)]
+
+
+def link_counts(rows):
+    linked = Counter(s for pair in links_of(rows) for s in pair)
+    return in_order([(d, linked[brute.shingle_set(t)]) for d, t in rows])
+
+
+@pytest.mark.parametrize("tile", [2, 7, 1000])
+def test_every_link_of_a_group_is_counted(spark, tile, monkeypatch):
+    monkeypatch.setattr(J, "TILE", tile)
+    monkeypatch.setattr(J, "COLUMNS", 16)
+    rng, base = random.Random(9), prose(random.Random(9), 120).split()
+    group = [" ".join([*base[:i], "new" + str(i), *base[i + 1 :]][: rng.randrange(95, 121)]) for i in range(40)]
+    rows = [*near_copies(5, 40), *enumerate([*group, *group[:3]], 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    joined = J.join(df)
+    assert by_row(joined, "doc_id", "n_links") == link_counts(rows)
+    assert shown(joined) == in_order(brute.jaccard_components(rows))
+    pairs = [tuple(r) for r in J.linked_classes(df).collect()]
+    assert len(pairs) == len(set(pairs)) == len(links_of(rows)) > 2 * len(group)
+    listed = Counter(c for pair in pairs for c in pair)
+    assert all(r.n_links == listed[r["class"]] for r in joined.collect())
+
+
+def test_links_of_awkward_texts(docs, rows, no_docs):
+    assert by_row(J.join(docs), "doc_id", "n_links") == link_counts(rows)
+    assert "n_links" not in J.join(docs, components_only=True).columns
+    assert shown(J.join(docs, components_only=True)) == shown(J.join(docs))
+    assert J.linked_classes(no_docs).count() == 0
