@@ -5,8 +5,9 @@ the k-mer alone, not on what stands around it, so the same passage has the same
 ``anchors`` smallest distinct anchor hashes of a text with the place of each one's first occurrence, in order of place. A text too short for a k-mer
 is an anchor as a whole.
 
-Two fingerprints are compared by the share of the anchors common to both among the smallest of their union. Common anchors count as far as they
-stand in the same order in both, so shuffled passages count once. From this estimate J of overlap to union the likeness is 2J / (1 + J), the overlap to the mean size.
+Two texts are compared by the share of the anchors common to both among all of their union. Common anchors count as far as they
+stand in the same order in both, so shuffled passages count once. From this share J of overlap to union the likeness is 2J / (1 + J), the overlap to the mean size.
+Where only fingerprints are at hand, ``likeness`` estimates J from the smallest anchors of the union.
 """
 
 from __future__ import annotations
@@ -44,27 +45,45 @@ def syncmers(data: np.ndarray, k: int = K, s: int = S) -> np.ndarray:
     return np.flatnonzero((least == inner[:n]) | (least == inner[width - 1 : width - 1 + n]))
 
 
-def fingerprints(texts: list[bytes], k: int = K, s: int = S, anchors: int = ANCHORS) -> list[str]:
-    """``hash.place`` of each anchor in hexadecimal digits, joined by colons; the empty text has none."""
+def all_anchors(texts: list[bytes], k: int = K, s: int = S) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct syncmer hashes of each text in their order, and the place of each one's first occurrence; the empty text has none."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     places = syncmers(data, k, s)
     inside = np.searchsorted(offsets, places, "right") == np.searchsorted(offsets, places + k, "left")
     places = places[inside]
-    hashes = T.stretch(T.running_bytes(data), places, places + k) >> T.U64(32)
+    hashes = T.stretch(T.running_bytes(data), places, places + k)
     edges, out = np.searchsorted(places, offsets), []
     for i, text in enumerate(texts):
         a, b = edges[i], edges[i + 1]
         if a == b:
-            out.append(f"{int.from_bytes(hashlib.sha256(text).digest()[:4]):08x}.0" if text else "")
+            whole = [int.from_bytes(hashlib.sha256(text).digest()[:4]) << 32] if text else []
+            out.append((np.array(whole, T.U64), np.zeros(len(whole), np.int64)))
             continue
         distinct, first = np.unique(hashes[a:b], return_index=True)
-        first = np.sort(first[:anchors])
-        pairs = zip(hashes[a:b][first].tolist(), (places[a:b][first] - offsets[i]).tolist(), strict=True)
-        out.append(":".join(f"{h:08x}.{p:x}" for h, p in pairs))
+        out.append((distinct, places[a:b][first] - offsets[i]))
     return out
 
 
+def shown(hashes: np.ndarray, places: np.ndarray, anchors: int = ANCHORS) -> str:
+    """The fingerprint of a text with these anchors: 32 bits of the smallest hashes."""
+    head = slice(0, anchors + 16)
+    short, first = np.unique(hashes[head] >> T.U64(32), return_index=True)
+    if len(short) <= anchors:
+        head = slice(None)
+        short, first = np.unique(hashes >> T.U64(32), return_index=True)
+    if not len(short):
+        return ""
+    places = np.minimum.reduceat(places[head], first)[:anchors]
+    order = np.argsort(places)
+    return ":".join(f"{h:08x}.{p:x}" for h, p in zip(short[:anchors][order].tolist(), places[order].tolist(), strict=True))
+
+
+def fingerprints(texts: list[bytes], k: int = K, s: int = S, anchors: int = ANCHORS) -> list[str]:
+    """``hash.place`` of each anchor in hexadecimal digits, joined by colons; the empty text has none."""
+    return [shown(*found, anchors) for found in all_anchors(texts, k, s)]
+
+
 def parse(fingerprint: str) -> dict[int, int]:
     """Place by anchor hash, in order of place."""
     return {int(h, 16): int(p, 16) for h, p in (x.split(".") for x in fingerprint.split(":") if x)}
@@ -74,12 +93,27 @@ def likeness(a: dict[int, int], b: dict[int, int], anchors: int = ANCHORS) -> fl
     if a.keys() == b.keys():
         return 1.0
     sample = set(sorted(a.keys() | b.keys())[:anchors])
-    tails: list[int] = []  # longest rising run of places in b, in the order of a
-    for h in a:
-        if h in sample and h in b:
-            at = bisect_left(tails, b[h])
-            tails[at : at + 1] = [b[h]]
-    j = len(tails) / len(sample)
+    j = rising([b[h] for h in a if h in sample and h in b]) / len(sample)
+    return 2 * j / (1 + j)
+
+
+def rising(places: list[int]) -> int:
+    """Length of the longest rising subsequence."""
+    tails: list[int] = []
+    for p in places:
+        at = bisect_left(tails, p)
+        tails[at : at + 1] = [p]
+    return len(tails)
+
+
+def full_likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Likeness of two texts from all of their anchors, as ``all_anchors`` has them; two empty texts are alike."""
+    if not len(a[0]) and not len(b[0]):
+        return 1.0
+    common, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    places = b[1][at_b][np.argsort(a[1][at_a])]
+    in_order = len(common) if (places[1:] > places[:-1]).all() else rising(places.tolist())
+    j = in_order / (len(a[0]) + len(b[0]) - len(common))
     return 2 * j / (1 + j)
 
 
@@ -93,17 +127,16 @@ def _judge(rows: list[tuple], following: list[str]) -> list[dict]:
     """Results of ``rows`` (id, text), each with the text that follows it."""
     changed = [edited(t, f) for (_, t), f in zip(rows, following, strict=True)]
     n = len(rows)
-    marks = fingerprints([t.encode() for t in [t for _, t in rows] + changed + following])
-    parsed = [parse(m) for m in marks]
+    found = all_anchors([t.encode() for t in [t for _, t in rows] + changed + following])
     return [
         {
             "id": rows[i][0],
             "n_chars": len(rows[i][1]),
             "edited_sha256": hashlib.sha256(changed[i].encode()).hexdigest(),
-            "fingerprint": marks[i],
-            "edited_fingerprint": marks[n + i],
-            "near_edited": likeness(parsed[i], parsed[n + i]),
-            "near_next": likeness(parsed[i], parsed[2 * n + i]),
+            "fingerprint": shown(*found[i]),
+            "edited_fingerprint": shown(*found[n + i]),
+            "near_edited": full_likeness(found[i], found[n + i]),
+            "near_next": full_likeness(found[i], found[2 * n + i]),
         }
         for i in range(n)
     ]
@@ -131,7 +164,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text's.
+    """Fingerprints of every text and of its edited text, and the likeness of the text to its edited one and to the next, from all anchors.
 
     The next row is the one that follows by id, after the last the first; rows of one id go by a hash of the text, null ids come
     first, and a row alone follows itself. Null texts count as empty; two empty texts are alike, an empty one is unlike any other.

@@ -51,3 +51,25 @@ def test_likeness():
     assert P.likeness(a, a) == 1 and P.likeness(e, e) == 1 and P.likeness(a, e) == 0
     assert P.likeness(a, b) < 0.1 < 0.3 < P.likeness(a, c) < 0.9
     assert P.likeness(a, c) == P.likeness(c, a) or abs(P.likeness(a, c) - P.likeness(c, a)) < 0.1
+
+
+def test_long_texts_are_compared_by_all_anchors(spark):
+    """A passage of two long texts counts by its length, and a small edit shows."""
+    words = [f"word{i * 7919 % 100003}" for i in range(60_000)]
+    base, passage = " ".join(words[:20_000]), " ".join(words[20_000:20_100])
+    other, edit = " ".join(words[30_000:50_000]), base.replace(words[9], "changed")
+    a, b = f"{base} {passage}", f"{passage} {other}"
+    rows = [(0, a), (1, b), (2, edit), (3, base)]
+    found = {r.doc_id: r for r in P.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def exact(x, y):
+        sets = [{t[i : i + P.K] for i in P.syncmers(np.frombuffer(t, np.uint8)).tolist()} for t in (x.encode(), y.encode())]
+        return 2 * len(sets[0] & sets[1]) / (len(sets[0]) + len(sets[1]))
+
+    assert 0 < found[0].near_next < 0.02
+    assert 0.99 < found[2].near_next < 1 and abs(found[2].near_next - exact(edit, base)) < 1e-4
+    half = len(base) // 2
+    edited = base[: len(base) - half] + a[:half]
+    assert found[3].near_edited <= exact(base, edited) + 1e-12
+    assert abs(found[2].near_edited - exact(edit, P.edited(edit, base))) < 0.02
+    assert [found[i].fingerprint for i in range(4)] == P.fingerprints([t.encode() for _, t in rows])
