@@ -10,7 +10,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.llm import bpe, decontaminate, fingerprint, jaccard, pack, quality, repeats, token_counts, urls, warc
+from riskmart.llm import (
+    bpe,
+    decontaminate,
+    filter_audit,
+    fingerprint,
+    jaccard,
+    pack,
+    quality,
+    repeats,
+    token_counts,
+    urls,
+    warc,
+)
 from riskmart.llm.components import store
 from riskmart.llm.ship import ship
 from riskmart.sources import shared_dir
@@ -104,6 +116,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipping(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +142,7 @@ QUERIES: dict[str, Query] = {
         op8_bpe,
         op9_fingerprint,
         op10_quality,
+        op12_filter_audit,
     )
 }
 
@@ -136,6 +153,55 @@ SHINGLES = """
 WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
 
 ORACLES = {
+    "op12_filter_audit": """
+        with doc as (
+            select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+                regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+            from documents),
+        failed as (
+            select doc_id, part,
+                (len(w) < 100)::int
+                + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+                + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::int
+                + 8 * regexp_matches(text, '[#$%&*|]')::int
+                + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask
+            from doc),
+        mark as (
+            select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic
+            from labels where doc_id is not null group by doc_id),
+        cell as (
+            select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+            from failed left join mark using (doc_id) group by part, mask),
+        subset as (select unnest(range(32)) as s),
+        alive as (
+            select part, s, sum(case when mask & s = 0 then n else 0 end) as n,
+                sum(case when mask & s = 0 then good else 0 end) as good,
+                sum(case when mask & s = 0 then toxic else 0 end) as toxic
+            from cell, subset group by part, s),
+        letter as (select unnest(range(5)) as i),
+        ordering as (
+            select [a.i, b.i, c.i, d.i, e.i] as o
+            from letter a, letter b, letter c, letter d, letter e
+            where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        place as (
+            select o, k as step, o[k] as f,
+                list_sum(list_transform(o[1 : k], lambda x: 1 << x))::int as after_s
+            from ordering, (select unnest(range(1, 6)) as k)),
+        change as (
+            select t.part, p.o, p.step, p.f, t.n as kept, b.n - t.n as removed, b.good - t.good as good_lost,
+                b.toxic - t.toxic as toxic_lost, z.n - one.n as failing, rest.n - whole.n as unique_fails
+            from place p
+            join alive t on t.s = p.after_s
+            join alive b on b.s = p.after_s - (1 << p.f) and b.part = t.part
+            join alive z on z.s = 0 and z.part = t.part
+            join alive one on one.s = (1 << p.f) and one.part = t.part
+            join alive rest on rest.s = 31 - (1 << p.f) and rest.part = t.part
+            join alive whole on whole.s = 31 and whole.part = t.part)
+        select part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x + 1]), '') as filter_order, step::int as step,
+            kept::bigint as kept, removed::bigint as removed, (failing - removed)::bigint as redundant,
+            unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+            (sum(removed) over (partition by part, f))::bigint as shapley
+        from change""",
     "op3_warc": """
         with page as (
             select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as payload_bytes,
