@@ -17,6 +17,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def groups_for(df: DataFrame, group_bytes: int) -> int:
+    """How many groups of about ``group_bytes`` the input makes, by Spark's own estimate of its size; the shuffle partitions where it has none.
+
+    It sizes groups only; results do not depend on it.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # Spark's mark for unknown
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // group_bytes))
+
+
 def components(spark: SparkSession, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``links`` (a, b) and of ``known``, an earlier result; a component is its least node.
 

@@ -17,6 +17,7 @@ from riskmart.llm import (
     fingerprint,
     jaccard,
     pack,
+    phrases,
     quality,
     repeats,
     token_counts,
@@ -120,6 +121,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def _shipping(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +148,7 @@ QUERIES: dict[str, Query] = {
         op9_fingerprint,
         op10_quality,
         op12_filter_audit,
+        op13_collocations,
     )
 }
 
@@ -153,6 +159,43 @@ SHINGLES = """
 WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
 
 ORACLES = {
+    "op13_collocations": """
+        with doc as (
+            select row_number() over () as d, coalesce(lang, 'und') as lang,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+            from documents),
+        piece as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) as piece from doc),
+        worded as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from piece),
+        total as (select lang, sum(len(w))::bigint as n from worded group by lang),
+        word as (select lang, unnest(w) as w1, unnest(list_concat(w[2:], [null])) as w2,
+            unnest(list_concat(w[3:], [null, null])) as w3, unnest(list_concat(w[4:], [null, null, null])) as w4
+            from worded where len(w) > 0),
+        f as (
+            select lang, 1 as length, w1 as phrase, count(*) as f from word where w1 is not null group by lang, w1
+            union all
+            select lang, 2, w1 || ' ' || w2, count(*) from word where w2 is not null group by lang, w1, w2
+            union all
+            select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from word where w3 is not null group by lang, w1, w2, w3
+            union all
+            select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*)
+            from word where w4 is not null group by lang, w1, w2, w3, w4),
+        candidate as (select lang, length, phrase, f as a, string_split(phrase, ' ') as w from f where length > 1 and f >= 30),
+        cut as (
+            select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, (2000000::hugeint * c.a) // (x.f::hugeint + y.f) as score
+            from (select *, unnest(range(1, length)) as k from candidate) c
+            join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : c.k], ' ')
+            join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1 :], ' ')),
+        lowest as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        inner_phrase as (
+            select lang, array_to_string(w[i : i + size - 1], ' ') as phrase, max(a) as longer
+            from (select *, unnest(range(1, length - size + 2)) as i
+                from (select *, unnest(range(2, length)) as size from candidate where length > 2))
+            group by all),
+        best as (
+            select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank
+            from lowest s left join inner_phrase i on i.lang = s.lang and i.phrase = s.phrase
+            where coalesce(100::hugeint * i.longer < 80::hugeint * s.a, true))
+        select lang, rank, phrase, a, l, r, n, score::bigint as score from best join total using (lang) where rank <= 2000""",
     "op12_filter_audit": """
         with doc as (
             select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
