@@ -16,6 +16,7 @@ from riskmart.llm import (
     filter_audit,
     fingerprint,
     jaccard,
+    language_model,
     pack,
     phrases,
     quality,
@@ -117,6 +118,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = language_model.fit(documents.filter(~language_model.is_held_out("doc_id")))
+    scored = language_model.score(documents, model)
+    return scored.select(
+        "doc_id",
+        language_model.is_held_out("doc_id").alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -147,6 +163,7 @@ QUERIES: dict[str, Query] = {
         op8_bpe,
         op9_fingerprint,
         op10_quality,
+        op11_language_model,
         op12_filter_audit,
         op13_collocations,
     )
