@@ -28,7 +28,7 @@ from riskmart.llm.components import groups_for, store
 U64 = np.uint64
 #: Text of a chunk that is packed together, and of the windows that one receiving group should hold.
 CHUNK_BYTES = 8_000_000
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 12_000_000
 LONGEST = 4
 #: Where pieces end, the least count of a candidate, how many are returned, and the share of a phrase's count that a longer one must have to stand for it.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
