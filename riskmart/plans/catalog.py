@@ -21,7 +21,7 @@ from riskmart.config import Config
 from riskmart.functions import parse_day_month_year
 from riskmart.operators import asof, features, history, ingest, labels, metrics, model, quality, splits
 from riskmart.plans import domain, modelling
-from riskmart.plans.bronze import ingest_source
+from riskmart.plans.bronze import ingest_source, mirror_source, read_source
 from riskmart.plans.gold import build_gold
 from riskmart.plans.silver import TABLES
 from riskmart.schemas import CLICK_FEATURES, FINANCIAL_NUMBERS, LOAN_AMOUNTS
@@ -31,6 +31,7 @@ from riskmart.sources import (
     materialize,
     read_csv,
     read_partitions,
+    remove,
     shared_dir,
     write_partitions,
     write_table,
@@ -151,7 +152,60 @@ def csv_undeclared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders.write.option("header", True).option("escape", '"').csv(path)
     ingest_source(spark, "orders", path, bronze)
-    return read_partitions(spark, f"{bronze}/orders").drop("year", "month")
+    return read_source(spark, bronze, "orders").drop("year", "month")
+
+
+def _order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts with columns that no schema knows, some of them different from part to part."""
+    key = F.col("o_orderkey")
+    return domain.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_custkey").alias("customer"),
+        F.col("o_totalprice").alias("price"),
+        F.when(F.col("o_totalprice") > 150000, "True").otherwise("False").alias("large"),
+        F.col("o_orderpriority").alias("priority"),
+        F.date_format("o_orderdate", "d/M/yyyy").alias("snapshot_date"),
+        F.year("o_orderdate").alias("y"),
+        (key % 7).alias("lot"),
+    )
+
+
+def _write_csv(df: DataFrame, path: str) -> str:
+    df.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def csv_types_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in three batches by year: a column is empty in the first, whole in the second and decimal in the third; others come late."""
+    bronze = scratch(spark, "orders-batches")
+    orders = _order_texts(spark, sf_dir)
+    shown = ["o_orderkey", "customer", "snapshot_date"]
+    whole, half = F.col("lot"), (F.col("lot") / 2).cast("string")
+    none = F.lit(None).cast("string")
+    batches = [
+        orders.filter("y <= 1994").select(*shown, none.alias("measure"), none.alias("priority"), "large"),
+        orders.filter("y between 1995 and 1996").select(*shown, whole.alias("measure"), "priority", none.alias("large")),
+        orders.filter("y > 1996").select(*shown, half.alias("measure"), none.alias("priority"), "large", F.col("price").alias("late")),
+    ]
+    for i, batch in enumerate(batches):
+        ingest_source(spark, "orders", _write_csv(batch, scratch(spark, f"orders-batch-{i}")), bronze)
+    return read_source(spark, bronze, "orders").drop("year", "month")
+
+
+def bronze_mirrors_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in seven files; then one file changes, one goes and one is added: what bronze holds after the second ingest."""
+    raw, bronze = scratch(spark, "orders-files"), scratch(spark, "orders-mirror")
+    orders = _order_texts(spark, sf_dir).select("o_orderkey", "customer", "price", "priority", "snapshot_date", "lot")
+    for lot in range(6):
+        _write_csv(orders.filter(F.col("lot") == lot).drop("lot"), f"{raw}/{lot}")
+    mirror_source(spark, "orders", f"{raw}/*/*.csv", bronze)
+    remove(spark, f"{raw}/0")
+    remove(spark, f"{raw}/1")
+    corrected = orders.filter("lot = 1 and snapshot_date like '%/1995'").withColumn("price", -F.col("price"))
+    _write_csv(corrected.drop("lot"), f"{raw}/1")
+    _write_csv(orders.filter("lot = 6").drop("lot").withColumn("note", F.lit("late")), f"{raw}/6")
+    mirror_source(spark, "orders", f"{raw}/*/*.csv", bronze)
+    return read_source(spark, bronze, "orders")
 
 
 def _dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -633,6 +687,8 @@ QUERIES: dict[str, Query] = {
         partition_distribution,
         csv_roundtrip,
         csv_undeclared_columns,
+        csv_types_over_batches,
+        bronze_mirrors_files,
         bronze_partitioned_roundtrip,
         bronze_partition_overwrite,
         bronze_months,

@@ -363,6 +363,21 @@ ORACLES: dict[str, str] = {
                case when o_orderkey = 1 then 'one' else cast(o_custkey as varchar) end as mostly_numbers,
                cast(o_orderdate as date) as snapshot_date
         from orders""",
+    "csv_types_over_batches": """
+        select o_orderkey, o_custkey as customer, cast(o_orderdate as date) as snapshot_date,
+            case when year(o_orderdate) between 1995 and 1996 then cast(o_orderkey % 7 as double)
+                when year(o_orderdate) > 1996 then (o_orderkey % 7) / 2 end as measure,
+            case when year(o_orderdate) between 1995 and 1996 then o_orderpriority end as priority,
+            case when year(o_orderdate) not between 1995 and 1996 then o_totalprice > 150000 end as large,
+            case when year(o_orderdate) > 1996 then o_totalprice end as late
+        from orders""",
+    "bronze_mirrors_files": """
+        select o_orderkey, o_custkey as customer, case when o_orderkey % 7 = 1 then -o_totalprice else o_totalprice end as price,
+            o_orderpriority as priority, cast(o_orderdate as date) as snapshot_date,
+            case when o_orderkey % 7 = 6 then 'late' end as note,
+            cast(year(o_orderdate) as int) as year, cast(month(o_orderdate) as int) as month
+        from orders
+        where o_orderkey % 7 > 1 or (o_orderkey % 7 = 1 and year(o_orderdate) = 1995)""",
     "bronze_partitioned_roundtrip": DATED.format(price="o_totalprice"),
     "bronze_partition_overwrite": DATED.format(
         price="case when year(o_orderdate) = 1996 and month(o_orderdate) = 6 then -o_totalprice else o_totalprice end"

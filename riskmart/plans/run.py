@@ -23,7 +23,14 @@ def run_bronze(spark: SparkSession, config: Config, refresh: bool = False) -> No
 
     pending = {n: p for n, p in config.raw_paths.items() if refresh or not done(n, p)}
     ingest_bronze(
-        spark, pending, config.bronze_path, config.multi_line, config.column_types, config.work_path
+        spark,
+        pending,
+        config.bronze_path,
+        config.multi_line,
+        config.column_types,
+        config.work_path,
+        config.raw_mode,
+        refresh,
     )
 
 

@@ -8,8 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from riskmart.operators import metrics, quality
+from riskmart.plans.bronze import read_source
 from riskmart.schemas import SOURCES
-from riskmart.sources import build_id, digest, materialize, read_partitions
+from riskmart.sources import build_id, digest, materialize
 
 TABLES = tuple(SOURCES)
 
@@ -45,7 +46,7 @@ def read_bronze(
     spark: SparkSession, bronze_path: str, months: Iterable[tuple[int, int]] | None = None
 ) -> dict[str, DataFrame]:
     wanted = None if months is None else list(months)
-    return {name: read_partitions(spark, f"{bronze_path}/{name}", wanted) for name in TABLES}
+    return {name: read_source(spark, bronze_path, name, wanted) for name in TABLES}
 
 
 def read_silver(spark: SparkSession, silver_path: str) -> dict[str, DataFrame]:

@@ -1,6 +1,8 @@
 """Readers and writers: CSV in, Parquet out."""
 
-from riskmart.sources.csv_files import infer_types, read_csv, scan_csv, typed
+from riskmart.sources.column_types import infer_types
+from riskmart.sources.csv_files import read_csv, scan_csv, typed
+from riskmart.sources.ledger import Ledger, read_months
 from riskmart.sources.partitions import read_partitions, write_partitions
 from riskmart.sources.tables import (
     build_id,
@@ -18,6 +20,7 @@ from riskmart.sources.tables import (
 )
 
 __all__ = [
+    "Ledger",
     "build_id",
     "digest",
     "exists",
@@ -28,6 +31,7 @@ __all__ = [
     "materialize",
     "read_csv",
     "read_mark",
+    "read_months",
     "read_partitions",
     "remove",
     "scan_csv",

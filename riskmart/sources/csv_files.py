@@ -1,4 +1,4 @@
-"""CSV scan by column name, and the types of columns that nobody declared."""
+"""CSV scan by column name."""
 
 from __future__ import annotations
 
@@ -12,19 +12,24 @@ from riskmart.functions import na_to_null
 
 #: Column of ``scan_csv`` that holds a record whose field count is not the header's.
 CORRUPT = "_corrupt_record"
+#: Column with the file that a record is from, where asked for.
+FILE = "_file"
 
-WHOLE = r"^\s*[+-]?[0-9]+\s*$"
-NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
+def header(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> list[str]:
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path).columns
 
-def scan_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+
+def scan_csv(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, with_file: bool = False
+) -> DataFrame:
     """All columns as text, missing-value tokens as NULL, and malformed records in ``_corrupt_record``.
 
     Only the header line is looked at for the layout. Files stay splittable unless ``multi_line`` (line breaks inside quotes) is asked for;
-    without it, a quoted line break leaves records with a wrong number of fields.
+    without it, a quoted line break leaves records with a wrong number of fields. ``with_file`` adds the file of each record as ``_file``.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    names = reader.csv(path).columns
+    names = header(spark, path, multi_line)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = (
         reader.schema(schema)
@@ -33,7 +38,8 @@ def scan_csv(spark: SparkSession, path: str | list[str], multi_line: bool = Fals
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    return raw.select(*(na_to_null(F.col(f"`{n}`")).alias(n) for n in names), CORRUPT)
+    file = [F.col("_metadata.file_path").alias(FILE)] if with_file else []
+    return raw.select(*(na_to_null(F.col(f"`{n}`")).alias(n) for n in names), CORRUPT, *file)
 
 
 def _try(text: Column, wanted: T.DataType) -> Column:
@@ -56,34 +62,3 @@ def read_csv(
     """
     raw = scan_csv(spark, path, multi_line).drop(CORRUPT)
     return typed(raw, {field.name: field.dataType for field in schema.fields})
-
-
-def infer_types(raw: DataFrame, names: list[str]) -> dict[str, T.DataType]:
-    """Types of text columns by one aggregation over all rows.
-
-    Whole numbers that fit 64 bits are longs; other numbers, and columns without any value, are doubles; anything else stays text.
-    """
-    if not names:
-        return {}
-
-    def others(name: str, pattern: str, kind: T.DataType) -> Column:
-        text = F.col(f"`{name}`")
-        fits = text.rlike(pattern) & F.trim(text).try_cast(kind).isNotNull()
-        return F.count(F.when(text.isNotNull() & ~fits, 1))
-
-    counts = [
-        F.struct(
-            F.count(F.col(f"`{n}`")).alias("present"),
-            others(n, WHOLE, T.LongType()).alias("not_whole"),
-            others(n, NUMBER, T.DoubleType()).alias("not_number"),
-        ).alias(f"c{i}")
-        for i, n in enumerate(names)
-    ]
-    row = raw.agg(*counts).first()
-    types: dict[str, T.DataType] = {}
-    for name, found in zip(names, row, strict=True):
-        if found.not_number:
-            types[name] = T.StringType()
-        else:
-            types[name] = T.DoubleType() if found.not_whole or not found.present else T.LongType()
-    return types

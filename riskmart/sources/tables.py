@@ -75,24 +75,38 @@ def digest(*parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def read_mark(spark: SparkSession, path: str) -> dict:
-    """Build id and key of the layer at ``path``; empty if it has none or is unfinished."""
-    place, system = _path(spark, f"{path}/{BUILD_MARK}")
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, None if there is none."""
+    place, system = _path(spark, path)
     if not system.exists(place):
-        return {}
+        return None
     stream = system.open(place)
     text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
-    return json.loads(text)
+    return text
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file under another name first, so that readers never see half of it."""
+    place, system = _path(spark, path)
+    fresh, _ = _path(spark, f"{path}.{uuid4().hex}")
+    stream = system.create(fresh, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    system.delete(place, False)
+    system.rename(fresh, place)
+
+
+def read_mark(spark: SparkSession, path: str) -> dict:
+    """Build id and key of the layer at ``path``; empty if it has none or is unfinished."""
+    text = read_text(spark, f"{path}/{BUILD_MARK}")
+    return {} if text is None else json.loads(text)
 
 
 def write_mark(spark: SparkSession, path: str, key: str) -> str:
     """Mark the layer at ``path`` as finished under a new build id."""
     build = uuid4().hex
-    place, system = _path(spark, f"{path}/{BUILD_MARK}")
-    stream = system.create(place, True)
-    stream.write(bytearray(json.dumps({"build": build, "key": key}).encode()))
-    stream.close()
+    write_text(spark, f"{path}/{BUILD_MARK}", json.dumps({"build": build, "key": key}))
     return build
 
 
