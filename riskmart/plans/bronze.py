@@ -171,6 +171,22 @@ def ingest_source(
         remove(spark, staging)
 
 
+def ingest_rows(spark: SparkSession, name: str, rows: DataFrame, bronze_path: str) -> None:
+    """Ingest a batch of rows that are typed already; they replace the months that they have. Rows without ``snapshot_date`` are left out."""
+    table, ledger_path = f"{bronze_path}/{name}", f"{bronze_path}/{LEDGERS}/{name}"
+    day = F.col("snapshot_date")
+    dated = rows.drop(*PARTITION_KEYS).filter(day.isNotNull()).withColumns({"year": F.year(day), "month": F.month(day)})
+    columns = [F.col(f"`{c}`") for c in dated.columns]
+    checks = [F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)")).cast("string").alias(f"check{salt}") for salt in (1, 2)]
+    measured = dated.groupBy(*PARTITION_KEYS).agg(F.count("*").alias("rows"), *checks).collect()
+    ledger = _batch_ledger(spark, table, ledger_path)
+    ledger.declared |= {f.name: f.dataType.simpleString() for f in dated.schema.fields if f.name not in PARTITION_KEYS}
+    ledger.add_columns(dated.columns)
+    facts = {month_name((r.year, r.month)): {"rows": r.rows, "digest": f"{r.rows} {r.check1} {r.check2}", "kinds": {}} for r in measured}
+    changed = {n: f for n, f in facts.items() if ledger.months.get(n, {}).get("digest") != f["digest"]}
+    _write_months(spark, dated.filter(_in_months(changed)), table, ledger, ledger_path, changed)
+
+
 def _in_months(names: Iterable[str]) -> Column:
     return (F.col("year") * 12 + F.col("month")).isin([y * 12 + m for y, m in map(month_of, names)])
 

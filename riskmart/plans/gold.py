@@ -21,6 +21,12 @@ def build_label_store(spark: SparkSession, config: Config, refresh: bool = False
 
     key = digest(months, build_id(spark, f"{config.silver_path}/loan_daily"))
     labels = materialize(spark, build, config.label_path, refresh, key)
+    label_metrics(spark, config, labels, refresh)
+    return labels
+
+
+def label_metrics(spark: SparkSession, config: Config, labels: DataFrame, refresh: bool = False) -> None:
+    """Label balance and shared loans, stored beside the labels."""
     below = digest(build_id(spark, config.label_path))
     for name, measure in (
         ("label_distribution", metrics.label_distribution),
@@ -29,7 +35,6 @@ def build_label_store(spark: SparkSession, config: Config, refresh: bool = False
         materialize(
             spark, lambda measure=measure: measure(labels), f"{config.label_path}_metrics/{name}", refresh, below
         )
-    return labels
 
 
 def build_gold(spark: SparkSession, config: Config, refresh: bool = False) -> DataFrame:

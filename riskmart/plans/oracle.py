@@ -489,6 +489,7 @@ ORACLES: dict[str, str] = {
             from financial_features"""
     ),
     "gold_features": sql(GOLD_OUTPUT, GOLD),
+    "rebuilt_after_new_months": sql(GOLD_OUTPUT, GOLD),
     "gold_features_loan_grain": sql(GOLD_OUTPUT, gold("loan")),
     "feature_columns": sql(
         f"""select feature, case when feature in ({', '.join(f"'{c}'" for c in CATEGORICAL)})

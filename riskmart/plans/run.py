@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from riskmart.config import Config
 from riskmart.plans.bronze import ingest_bronze, is_ingested, source_builds
 from riskmart.plans.gold import build_gold
+from riskmart.plans.increment import has_ledgers, update_gold, update_silver
 from riskmart.plans.modelling import Modelling, train_models
 from riskmart.plans.silver import build_silver
 from riskmart.sources import build_id, digest
@@ -35,12 +36,20 @@ def run_bronze(spark: SparkSession, config: Config, refresh: bool = False) -> No
 
 
 def run_silver(spark: SparkSession, config: Config, refresh: bool = False) -> None:
+    """Month by month where bronze has ledgers, whole where it was written by other means."""
+    if has_ledgers(spark, config.bronze_path):
+        update_silver(spark, config.bronze_path, config.silver_path, refresh)
+        return
     key = digest(source_builds(spark, config.raw_paths, config.bronze_path))
     build_silver(spark, config.bronze_path, config.silver_path, refresh, key)
 
 
 def run_gold(spark: SparkSession, config: Config, refresh: bool = False) -> None:
-    build_gold(spark, config, refresh)
+    """Customer by customer where silver was built month by month."""
+    if has_ledgers(spark, config.silver_path):
+        update_gold(spark, config, refresh)
+    else:
+        build_gold(spark, config, refresh)
 
 
 def run_model(

@@ -8,9 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from riskmart.operators import metrics, quality
-from riskmart.plans.bronze import read_source
+from riskmart.plans.bronze import LEDGERS, read_source
 from riskmart.schemas import SOURCES
-from riskmart.sources import build_id, digest, materialize
+from riskmart.sources import Ledger, build_id, digest, materialize, read_months, remove
 
 TABLES = tuple(SOURCES)
 
@@ -22,11 +22,18 @@ class Cleaned(NamedTuple):
     flagged: DataFrame
 
 
+def flag_tables(bronze: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables that rules judge, cleaned, with a flag per row."""
+    return {
+        "attributes": quality.flag_attributes(quality.clean_attributes(bronze["attributes"])),
+        "financials": quality.flag_financials(quality.clean_financials(bronze["financials"])),
+        "loan_daily": quality.flag_loans(bronze["loan_daily"]),
+    }
+
+
 def clean_tables(bronze: Mapping[str, DataFrame]) -> Cleaned:
     """Apply the cleaning and quality rules. Clickstream is neither cleaned nor flagged."""
-    attributes = quality.flag_attributes(quality.clean_attributes(bronze["attributes"]))
-    financials = quality.flag_financials(quality.clean_financials(bronze["financials"]))
-    loan_daily = quality.flag_loans(bronze["loan_daily"])
+    attributes, financials, loan_daily = flag_tables(bronze).values()
     tables = {
         "attributes": attributes.drop("age_flag", "ssn_flag", quality.ISSUE),
         "financials": financials.drop(quality.ISSUE),
@@ -50,7 +57,13 @@ def read_bronze(
 
 
 def read_silver(spark: SparkSession, silver_path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{silver_path}/{name}") for name in TABLES}
+    """The silver tables, whether they were built whole or month by month."""
+    tables = {}
+    for name in TABLES:
+        path = f"{silver_path}/{name}"
+        ledger = Ledger.read(spark, f"{silver_path}/{LEDGERS}/{name}")
+        tables[name] = spark.read.parquet(path) if ledger is None else read_months(spark, path, ledger)
+    return tables
 
 
 def build_silver(
@@ -62,6 +75,7 @@ def build_silver(
     per table, and Spark knows the ids' size when it chooses the join. Counts of flagged customers and removed rows are
     written to ``metrics`` beside the tables.
     """
+    remove(spark, f"{silver_path}/{LEDGERS}")  # from here on the tables are whole ones
     bronze = read_bronze(spark, bronze_path)
     cleaned = clean_tables(bronze)
     flagged_path = f"{silver_path}/flagged"

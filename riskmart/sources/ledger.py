@@ -109,6 +109,8 @@ def read_months(spark: SparkSession, path: str, ledger: Ledger, months: Iterable
     wanted = sorted(ledger.months) if months is None else sorted({month_name(m) for m in months} & set(ledger.months))
     groups: dict[tuple, list[str]] = {}
     for name in wanted:
+        if ledger.months[name].get("rows") == 0:  # no folder
+            continue
         stored = ledger.months[name]["stored"]
         groups.setdefault(tuple((c, stored[c]) for c in ledger.columns if c in stored), []).append(name)
     types = ledger.types()

@@ -61,6 +61,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(found, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder the name of one that is gone."""
+    found, system = _path(spark, path)
+    if not system.rename(found, _path(spark, to)[0]):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Path, length and modification time of the files that ``path`` (a file, folder or pattern) stands for."""
     pattern, system = _path(spark, path)
