@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from riskmart.config import GRAINS, HISTORY_ENDS, RAW_MODES, RECOMMENDED_CONF, Config
+from riskmart.config import GRAINS, HISTORY_ENDS, MEDIANS, RAW_MODES, RECOMMENDED_CONF, Config
 from riskmart.plans import run as R
 from riskmart.plans.modelling import SPLITS, Modelling
 
@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--grain", choices=GRAINS, default="customer")
     p.add_argument("--history-end", choices=HISTORY_ENDS, default="inclusive")
     p.add_argument("--raw-mode", choices=RAW_MODES, default="batch", help="whether bronze keeps months that the raw files no longer have")
+    p.add_argument("--median", choices=MEDIANS, default="approximate", help="how missing numbers are filled")
     for name in COUNTS:
         p.add_argument(f"--{name.replace('_', '-')}", type=int, metavar="N")
     p.add_argument("--any-unit-form", action="store_true", help="read 1 Year and 1 Month like Years and Months")
@@ -49,6 +50,7 @@ def config_of(args: argparse.Namespace) -> Config:
         multi_line={name: True for name in args.multi_line},
         column_types=types,
         raw_mode=args.raw_mode,
+        median=args.median,
         **counts,
     )
 

@@ -26,6 +26,7 @@ WORK_PATH = "work"
 GRAINS = ("customer", "loan")
 HISTORY_ENDS = ("inclusive", "exclusive")
 RAW_MODES = ("batch", "mirror")
+MEDIANS = ("approximate", "exact")
 
 # Session settings the plans rely on. Adaptive execution is on by default.
 RECOMMENDED_CONF = {
@@ -43,7 +44,7 @@ class Config:
     Paths may be any URI the cluster's Hadoop file systems understand; all of them, ``work_path`` for intermediate
     tables included, must be visible to every executor. ``multi_line`` names the sources whose fields hold line breaks, ``column_types``
     declares columns by source and name that the schemas do not, and ``exclude`` keeps columns out of the features. With ``raw_mode`` batch a raw file
-    replaces the months that it has; as mirror, bronze follows the raw files, also when they change or go.
+    replaces the months that it has; as mirror, bronze follows the raw files, also when they change or go. ``median`` says how missing numbers are filled.
     """
 
     raw_paths: Mapping[str, str]
@@ -64,12 +65,15 @@ class Config:
     multi_line: Mapping[str, bool] = field(default_factory=dict)
     column_types: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
     raw_mode: str = "batch"
+    median: str = "approximate"
 
     def __post_init__(self) -> None:
         if self.grain not in GRAINS:
             raise ValueError(f"grain must be one of {GRAINS}, not {self.grain!r}")
         if self.history_end not in HISTORY_ENDS:
             raise ValueError(f"history_end must be one of {HISTORY_ENDS}, not {self.history_end!r}")
+        if self.median not in MEDIANS:
+            raise ValueError(f"median must be one of {MEDIANS}, not {self.median!r}")
         if self.raw_mode not in RAW_MODES:
             raise ValueError(f"raw_mode must be one of {RAW_MODES}, not {self.raw_mode!r}")
 

@@ -306,7 +306,11 @@ def collocations(
     Other columns are not read. An empty table gives no rows.
     """
     windows = store(frequent_windows(docs, least, text_col, lang_col, groups, chunk_bytes), "windows")
-    counts = store(phrase_counts(windows), "phrases")
+    return best_phrases(store(phrase_counts(windows), "phrases"), least, top)
+
+
+def best_phrases(counts: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
+    """The collocations among counted phrases, from ``(lang, length, phrase, f)``. Counts are 64-bit, their products exact decimals."""
     candidates = counts.filter((F.col("length") >= 2) & (F.col("f") >= least)).withColumnRenamed("f", "a")
     words = F.split("phrase", " ")
     part = lambda start, size: F.array_join(F.slice(words, start, size), " ")

@@ -7,10 +7,16 @@ all snapshots of a customer in one task; the pairs never exceed the calendar day
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmart.operators.history import CUSTOMER, check_grain, history_cut
+from riskmart.operators.skew import splittable
+from riskmart.sources.ledger import Month
+from riskmart.sources.tables import shared_dir, write_table
 
 
 def _snapshot_days(snapshots: DataFrame) -> DataFrame:
@@ -95,3 +101,37 @@ def asof_max_rejoin(snapshots: DataFrame, labels: DataFrame, history_end: str =
     """Customer grain by maximum and rejoin."""
     picks = latest_day_by_max(_snapshot_days(snapshots), _last_cuts(labels, history_end))
     return snapshots.join(picks, [CUSTOMER, "snapshot_date"], "left_semi").select(*snapshots.columns)
+
+
+def asof_newest_first(
+    read: Callable[[list[Month]], DataFrame],
+    months: Iterable[Month],
+    labels: DataFrame,
+    history_end: str = "inclusive",
+) -> DataFrame | None:
+    """Customer grain over a month-partitioned table, reading no month older than some customer needs.
+
+    ``read`` gives the rows of some months. Months after the last cut are skipped. From there one month is read, then the two before it, then four and
+    so on; customers with a snapshot are answered by it and don't meet older months. Answers and open customers are written tables, so each step's plan
+    is short. None if there is no snapshot at all.
+    """
+    spark = labels.sparkSession
+    folder = f"{shared_dir(spark)}/asof-{uuid4().hex}"
+    write_table(_last_cuts(labels, history_end).filter(F.col("cut").isNotNull()), f"{folder}/open0")
+    waiting = spark.read.parquet(f"{folder}/open0")
+    last = waiting.agg(F.max("cut")).first()[0]
+    left = sorted((m for m in months if last is not None and m <= (last.year, last.month)), reverse=True)
+    answers: DataFrame | None = None
+    for step in range(len(left)):
+        some = left[(1 << step) - 1 : (2 << step) - 1]
+        if not some or waiting.isEmpty():
+            break
+        rows = read(some).filter(F.col(CUSTOMER).isNotNull() & F.col("snapshot_date").isNotNull())
+        picks = latest_day_by_max(_snapshot_days(rows), waiting)
+        write_table(rows.join(picks, [CUSTOMER, "snapshot_date"], "left_semi").select(*rows.columns), f"{folder}/answer{step}")
+        answer = spark.read.parquet(f"{folder}/answer{step}")
+        answers = answer if answers is None else answers.unionByName(answer, allowMissingColumns=True)
+        answered = answer.select(CUSTOMER).distinct()
+        write_table(waiting.join(splittable(answered), CUSTOMER, "left_anti"), f"{folder}/open{step + 1}")
+        waiting = spark.read.parquet(f"{folder}/open{step + 1}")
+    return answers

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskmart.functions import ratio
 from riskmart.operators.asof import asof_latest
-from riskmart.operators.history import CUSTOMER, check_grain, clickstream_agg, loan_agg
+from riskmart.operators.history import CUSTOMER, check_grain, clickstream_agg, clickstream_agg_of_days, loan_agg
 from riskmart.operators.skew import splittable
 from riskmart.sources.partitions import PARTITION_KEYS
 
@@ -53,9 +53,12 @@ def gold_features(
     grain: str = "customer",
     history_end: str = "inclusive",
     plural_only: bool = True,
+    click_days: DataFrame | None = None,
 ) -> DataFrame:
     """Label rows with everything known about the customer at prediction time.
 
+    ``loan_daily`` may be stored ``loan_days``, and ``click_days`` stored moments that stand for the clickstream.
+
     Label rows without an attributes snapshot drop out; other missing features are NULL.
     The feature tables share their key and are joined to each other first, a few rows per
     key and without a further shuffle, so the label table is shuffled once and its hot
@@ -67,7 +70,10 @@ def gold_features(
     latest_financials = asof_latest(financials, labels, grain, history_end)
     financials_now = financial_features(latest_financials, plural_only).drop("snapshot_date", *PARTITION_KEYS)
     loans = loan_agg(loan_daily, labels, grain, history_end)
-    clicks = clickstream_agg(clickstream, labels, grain, history_end=history_end)
+    if click_days is None:
+        clicks = clickstream_agg(clickstream, labels, grain, history_end=history_end)
+    else:
+        clicks = clickstream_agg_of_days(click_days, labels, grain, history_end=history_end)
 
     per_key = [financials_now, loans, clicks] if grain == "customer" else [financials_now, clicks]
     known = reduce(lambda left, right: left.join(right, keys, "left"), per_key, attributes_now)

@@ -93,10 +93,10 @@ def loan_agg(
     """Sums of paid, due and overdue amounts, and the payment ratio.
 
     ``customer``: over all loans of the customer, each up to its own prediction date.
-    ``loan``: per label row, over the loan's own rows.
+    ``loan``: per label row, over the loan's own rows. ``loan_daily`` may be rows of ``loan_days``.
     """
     check_grain(grain)
-    amounts = {"hist_total_paid": "paid_amt", "hist_total_due": "due_amt", "hist_total_overdue_amount": "overdue_amt"}
+    amounts = AMOUNTS
     daily = loan_daily.select("loan_id", CUSTOMER, "snapshot_date", *amounts.values())
     if grain == "customer":
         weighted = loan_history(daily, labels, history_end)
@@ -104,16 +104,41 @@ def loan_agg(
         return _with_payment_ratio(weighted.groupBy(CUSTOMER).agg(*sums))
     # One row per loan and day first: the join below is on the grouping key, where AQE
     # does not split a hot loan by default.
-    days = daily.groupBy("loan_id", CUSTOMER, "snapshot_date").agg(
-        *[F.sum(c).alias(c) for c in amounts.values()]
-    )
+    days = loan_days(daily)
     cuts = labels.select("loan_id", CUSTOMER, history_cut(history_end).alias("cut"))
     own = days.join(cuts, ["loan_id", CUSTOMER]).filter(F.col("snapshot_date") <= F.col("cut"))
     sums = [F.sum(c).alias(name) for name, c in amounts.items()]
     return _with_payment_ratio(own.groupBy("loan_id", CUSTOMER).agg(*sums))
 
 
-def _daily_moments(clicks: DataFrame, columns: Sequence[str]) -> DataFrame:
+AMOUNTS = {"hist_total_paid": "paid_amt", "hist_total_due": "due_amt", "hist_total_overdue_amount": "overdue_amt"}
+
+
+def loan_days(loan_daily: DataFrame) -> DataFrame:
+    """Amounts per loan, customer and day. Sums of sums are sums, so days of several batches merge by the same function."""
+    sums = [F.sum(c).alias(c) for c in AMOUNTS.values()]
+    return loan_daily.groupBy("loan_id", CUSTOMER, "snapshot_date").agg(*sums)
+
+
+def merged_click_days(days: DataFrame, columns: Sequence[str] = CLICK_FEATURES) -> DataFrame:
+    """Moments of days that came in parts: counts and sums add up, squared deviations are taken around the common mean."""
+    merged = []
+    for c in columns:
+        whole = f"(sum({c}_s) over day_of / nullif(sum({c}_n) over day_of, 0))"
+        off = f"({c}_s / nullif({c}_n, 0) - {c}_m)"
+        merged.append((f"{c}_m", F.expr(whole.replace("over day_of", f"over (partition by {CUSTOMER}, day)")), off))
+    centred = days.withColumns({name: mean for name, mean, _ in merged})
+    parts = []
+    for c, (_, _, off) in zip(columns, merged, strict=True):
+        parts += [
+            F.sum(f"{c}_n").alias(f"{c}_n"),
+            F.sum(f"{c}_s").alias(f"{c}_s"),
+            F.expr(f"sum({c}_q + {c}_n * {off} * {off}) as {c}_q"),
+        ]
+    return centred.groupBy(CUSTOMER, "day").agg(*parts).withColumn(IS_CLICK_DAY, F.lit(1))
+
+
+def click_days(clicks: DataFrame, columns: Sequence[str] = CLICK_FEATURES) -> DataFrame:
     """Count, sum and squared deviations per customer and day, combined on the map side."""
     parts = []
     for c in columns:
@@ -130,9 +155,7 @@ def _daily_moments(clicks: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _days_and_predictions(
-    clicks: DataFrame, labels: DataFrame, columns: Sequence[str], history_end: str
-) -> DataFrame:
+def _days_and_predictions(days: DataFrame, labels: DataFrame, history_end: str) -> DataFrame:
     """Click days and prediction dates of each customer as rows of one table.
 
     Both are grouped by day, so a customer brings at most two rows per calendar day into a
@@ -144,7 +167,7 @@ def _days_and_predictions(
         .agg(F.count(F.lit(1)).alias(WEIGHT))
         .withColumn("day", history_cut(history_end))
     )
-    return _daily_moments(clicks, columns).unionByName(predictions, allowMissingColumns=True)
+    return days.unionByName(predictions, allowMissingColumns=True)
 
 
 OF_CUSTOMER = f"over (partition by {CUSTOMER})"
@@ -224,6 +247,17 @@ def clickstream_agg(
     ``loan``: one row per (Customer_ID, prediction_date) over the rows up to that date.
     Customers and dates without any history have no row.
     """
+    return clickstream_agg_of_days(click_days(clicks, columns), labels, grain, columns, history_end)
+
+
+def clickstream_agg_of_days(
+    days: DataFrame,
+    labels: DataFrame,
+    grain: str = "customer",
+    columns: Sequence[str] = CLICK_FEATURES,
+    history_end: str = "inclusive",
+) -> DataFrame:
+    """The same from ``click_days``, such as a stored table of them, with one row per customer and day."""
     check_grain(grain)
-    days = _days_and_predictions(clicks, labels, columns, history_end)
+    days = _days_and_predictions(days, labels, history_end)
     return _customer_statistics(days, columns) if grain == "customer" else _loan_statistics(days, columns)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskmart.operators.running import totals_before
 from riskmart.sources.tables import digest, is_complete, remove, shared_dir, write_table
 
 # Columns that are never features, and the forest's seed.
@@ -70,11 +71,23 @@ def trainable_columns(
     return [c for c in categorical if c in present], [c for c in numeric if c in present]
 
 
+def exact_imputer(medians: Mapping[str, float]) -> SQLTransformer:
+    """Missing values and NaN as the given numbers."""
+    filled = [f"coalesce(nullif(cast(`{c}` as double), double('NaN')), double('{m!r}')) as `{c}`" for c, m in medians.items()]
+    names = ", ".join(f"`{c}`" for c in medians)
+    return SQLTransformer(statement=f"select * except ({names}), {', '.join(filled)} from __THIS__")
+
+
 def create_pipeline(
-    categorical: Sequence[str], numeric: Sequence[str], model_type: str = "logistic_regression"
+    categorical: Sequence[str],
+    numeric: Sequence[str],
+    model_type: str = "logistic_regression",
+    medians: Mapping[str, float] | None = None,
 ) -> Pipeline:
     """Index, one-hot encode, impute by median, assemble, classify.
 
+    The imputer's medians are approximate, unless ``medians`` (such as ``exact_quantiles`` of the training rows) are given.
+
     All categorical columns share one indexer, so their categories are counted in one job.
     """
     if model_type not in MODELS:
@@ -87,7 +100,9 @@ def create_pipeline(
             StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"),
             OneHotEncoder(inputCols=indexed, outputCols=encoded),
         ]
-    if numeric:
+    if numeric and medians is not None:
+        stages.append(exact_imputer({c: medians[c] for c in numeric}))
+    elif numeric:
         stages.append(Imputer(inputCols=list(numeric), outputCols=list(numeric), strategy="median"))
     stages.append(VectorAssembler(inputCols=encoded + list(numeric), outputCol="features"))
     return Pipeline(stages=[*stages, MODELS[model_type]()])
@@ -160,6 +175,30 @@ def area_of_scores(scored: DataFrame) -> float:
     return BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
 
 
+def exact_area_of_scores(scored: DataFrame, score_col: str = "score", label_col: str = "label") -> DataFrame:
+    """``(area_under_roc, positives, negatives)`` with one threshold per score, pairs of equal scores counting one half.
+
+    Scores are counted first, then ordered by ranges; each adds its positives times the negatives below it. Products are exact decimals. With one class only the area
+    is null. Rows without score or label are left out.
+    """
+    known = scored.select(F.col(score_col).alias("score"), F.col(label_col).alias("label")).filter("score is not null and label is not null")
+    wide = lambda c: c.cast("decimal(19,0)")
+    levels = known.groupBy("score").agg(
+        wide(F.count(F.when(F.col("label") == 1, 1))).alias("p"), wide(F.count(F.when(F.col("label") != 1, 1))).alias("n")
+    )
+    below = totals_before(levels, [F.asc("score")], ["n"])
+    twice = F.col("p").cast("decimal(38,0)") * (F.col("n_before").cast("decimal(38,0)") * 2 + F.col("n"))
+    total = below.agg(F.sum(twice.cast("decimal(38,0)")).alias("twice"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    area = F.try_divide(F.col("twice").cast("double"), 2 * F.col("p").cast("double") * F.col("n").cast("double"))
+    none = F.lit(0).cast("long")
+    return total.select(area.alias("area_under_roc"), F.coalesce(F.col("p").cast("long"), none).alias("positives"), F.coalesce(F.col("n").cast("long"), none).alias("negatives"))
+
+
+def numbers_of_truth_values(df: DataFrame) -> DataFrame:
+    """Boolean columns as 0 and 1, which imputing and assembling can take."""
+    return df.withColumns({f.name: F.col(f"`{f.name}`").cast("double") for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)})
+
+
 def area_under_roc(model: PipelineModel, test: DataFrame) -> float:
     return area_of_scores(model.transform(test))
 

@@ -88,3 +88,43 @@ def remove_flagged(df: DataFrame, flagged: DataFrame) -> DataFrame:
     anti join whose large partitions AQE splits.
     """
     return df.join(splittable(flagged), CUSTOMER, "left_anti")
+
+
+# One word of a filter holds 64 bits; a table of so many words is broadcast at most.
+WORD_BITS, MOST_WORDS = 64, 1 << 20
+
+
+def filter_words(n_flagged: int) -> int:
+    """Words of a Bloom filter with about eight bits per flagged customer, a power of two up to ``MOST_WORDS``."""
+    return min(MOST_WORDS, 1 << max(6, (n_flagged * 8 // WORD_BITS).bit_length()))
+
+
+def _place(customer: Column, n_words: int) -> tuple[Column, Column]:
+    """Word of a customer, and the four bits of it that a member has set."""
+    word = F.pmod(F.xxhash64(customer), F.lit(n_words))
+    bits = F.xxhash64(customer, F.lit(1))
+    one = F.lit(1).cast("long")
+    single = [F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+    return word, reduce(lambda a, b: a.bitwiseOR(b), single)
+
+
+def flagged_filter(flagged: DataFrame, n_words: int) -> DataFrame:
+    """``(word, bits)``: a Bloom filter of the flagged customers as a table of at most ``n_words`` rows."""
+    word, bits = _place(F.col(CUSTOMER), n_words)
+    return flagged.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def remove_flagged_split(df: DataFrame, flagged: DataFrame, n_flagged: int) -> DataFrame:
+    """As ``remove_flagged`` for a set too large to broadcast: rows of surely clean customers stay where they are.
+
+    The filter is broadcast, its size bounded by ``MOST_WORDS``. Rows of possible members, the flagged and a few per cent more, are shuffled and
+    meet the exact anti join. A larger set sends more rows there and changes nothing else.
+    """
+    n_words = filter_words(n_flagged)
+    members = flagged.select(F.col(CUSTOMER).cast(df.schema[CUSTOMER].dataType).alias(CUSTOMER))
+    word, bits = _place(F.col(CUSTOMER), n_words)
+    known = F.broadcast(flagged_filter(members, n_words).select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    judged = df.withColumn("_own", bits).join(known, word == F.col("_word"), "left")
+    possible = F.coalesce(F.col("_bits").bitwiseAND(F.col("_own")) == F.col("_own"), F.lit(False))
+    clean, suspect = (judged.filter(c).select(*df.columns) for c in (~possible, possible))
+    return clean.unionByName(suspect.join(splittable(members), CUSTOMER, "left_anti").select(*df.columns))

@@ -6,12 +6,11 @@ here, not in the operators, so that another engine's summation order gives the s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from uuid import uuid4
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,20 @@ from pyspark.sql import types as T
 
 from riskmart.config import Config
 from riskmart.functions import parse_day_month_year
-from riskmart.operators import asof, features, history, ingest, labels, metrics, model, quality, splits
-from riskmart.plans import domain, modelling
+from riskmart.operators import (
+    asof,
+    dictionary,
+    features,
+    history,
+    ingest,
+    labels,
+    metrics,
+    model,
+    quality,
+    selection,
+    splits,
+)
+from riskmart.plans import domain, modelling, stored_history
 from riskmart.plans.bronze import ingest_rows, ingest_source, mirror_source, read_source
 from riskmart.plans.gold import build_gold
 from riskmart.plans.increment import update_gold, update_silver
@@ -57,6 +68,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return materialize(spark, build, f"{stored_dir(spark, sf_dir)}/{name}")
 
 
+def stored_here(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a new path and read back."""
+    path = scratch(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for one round trip."""
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
@@ -299,6 +317,13 @@ def remove_flagged_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kept, 4, *LOAN_AMOUNTS)
 
 
+def remove_flagged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily loans without the flagged customers, of which only possible members meet the exact anti join."""
+    flagged = _flagged(spark, sf_dir)
+    kept = quality.remove_flagged_split(domain.loan_daily(spark, sf_dir), flagged, flagged.count())
+    return rounded(kept, 4, *LOAN_AMOUNTS)
+
+
 def remove_flagged_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.remove_flagged(clean_attributes(spark, sf_dir), _flagged(spark, sf_dir))
 
@@ -384,6 +409,27 @@ def clickstream_agg_loan_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clickstream_agg(spark, sf_dir, "loan")
 
 
+def loan_agg_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan sums from day tables that two batches were added to, the second of them twice; the batches share most days."""
+    path = scratch(spark, "loan-days")
+    daily = domain.loan_daily(spark, sf_dir)
+    odd = F.pmod(F.xxhash64("loan_amt", "due_amt"), F.lit(2)) == 1
+    for batch, part in (("1", daily.filter(odd)), ("2", daily.filter(~odd)), ("2", daily.filter(~odd))):
+        stored_history.add_loan_days(spark, path, part, batch)
+    totals = history.loan_agg(stored_history.read_days(spark, path), label_window(spark, sf_dir))
+    return rounded(rounded(totals, 4, *LOAN_SUMS), 8, "hist_Loan_Payment_Ratio")
+
+
+def clickstream_agg_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click statistics from stored moments of days whose clicks came in two batches."""
+    path = scratch(spark, "click-days")
+    clicks = domain.clickstream(spark, sf_dir)
+    for batch in (0, 1):
+        stored_history.add_click_days(spark, path, clicks.filter(F.col("event_id") % 2 == batch), str(batch))
+    statistics = history.clickstream_agg_of_days(stored_history.read_days(spark, path), label_window(spark, sf_dir))
+    return rounded(statistics, 6, *CLICK_STATISTICS)
+
+
 def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("Customer_ID"),
@@ -397,6 +443,20 @@ def asof_customer_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_latest(order_snapshots(spark, sf_dir), label_window(spark, sf_dir))
 
 
+def asof_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a month-partitioned table, from the newest months back."""
+
+    def build() -> DataFrame:
+        snapshots = order_snapshots(spark, sf_dir)
+        return snapshots.withColumns({"year": F.year("snapshot_date"), "month": F.month("snapshot_date")})
+
+    path = scratch(spark, "snapshots-by-month")
+    write_partitions(build(), path)
+    months = [(r.year, r.month) for r in spark.read.parquet(path).select("year", "month").distinct().collect()]
+    read = lambda some: read_partitions(spark, path, some).drop("year", "month")
+    return asof.asof_newest_first(read, months, label_window(spark, sf_dir))
+
+
 def asof_max_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_max_rejoin(order_snapshots(spark, sf_dir), label_window(spark, sf_dir))
 
@@ -500,13 +560,19 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sides(*splits.hash_split(label_window(spark, sf_dir), "Customer_ID", "loan_id"))
 
 
+def _stages(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], n: int) -> DataFrame:
+    """``df`` after the first ``n`` stages of the library's pipeline."""
+    for stage in model.create_pipeline(categorical, numeric).getStages()[:n]:
+        df = (stage.fit(df) if hasattr(stage, "fit") else stage).transform(df)
+    return df
+
+
 def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill a column of three levels, whose median is clear within the imputer's error."""
     last = F.col("c_custkey") % 10
     level = F.when(last.isin(1, 2), 1.0).when(last.isin(3, 4, 5, 6), 2.5).when(last.isin(7, 8, 9), 4.0)
-    customers = domain.table(spark, sf_dir, "customer").select("c_custkey", level.alias("level"))
-    imputer = Imputer(inputCols=["level"], outputCols=["filled"], strategy="median")
-    return imputer.fit(customers).transform(customers)
+    customers = domain.table(spark, sf_dir, "customer").select("c_custkey", level.alias("level"), level.alias("filled"))
+    return _stages(customers, [], ["filled"], 1)
 
 
 CATEGORIES = ("priority", "status")
@@ -523,18 +589,51 @@ def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _categories(spark, sf_dir)
-    indexed = [f"{c}_idx" for c in CATEGORIES]
-    indexer = StringIndexer(inputCols=list(CATEGORIES), outputCols=indexed, handleInvalid="keep")
-    return indexer.fit(rows).transform(rows)
+    return _stages(_categories(spark, sf_dir), CATEGORIES, ["o_totalprice"], 1)
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _indexed(spark, sf_dir)
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_idx" for c in CATEGORIES], outputCols=[f"{c}_ohe" for c in CATEGORIES]
+    return _stages(_categories(spark, sf_dir), CATEGORIES, ["o_totalprice"], 2)
+
+
+def string_index_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices by a joined dictionary; a third column has another category in each row, as numerals of equal length."""
+    rows = _categories(spark, sf_dir).withColumn("own", F.format_string("%012d", F.col("o_orderkey")))
+    columns = [*CATEGORIES, "own"]
+    found = dictionary.category_dictionary(rows, columns)
+    return dictionary.indexed(rows, stored_here(found, "dictionary"), columns).drop("o_totalprice")
+
+
+def sparse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero slots of vectors with a slot for every order."""
+    rows = _categories(spark, sf_dir).withColumn("own", F.format_string("%012d", F.col("o_orderkey")))
+    columns = [*CATEGORIES, "own"]
+    found = stored_here(dictionary.category_dictionary(rows, columns), "dictionary")
+    sizes = dictionary.dictionary_sizes(found, columns)
+    return dictionary.sparse_slots(dictionary.indexed(rows, found, columns), ["o_orderkey"], sizes, ["o_totalprice"])
+
+
+def exact_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians and ninth deciles of columns with many values, some missing, one with few."""
+    prices = domain.table(spark, sf_dir, "orders").select(
+        "o_totalprice",
+        F.when(F.col("o_orderkey") % 3 != 0, -F.col("o_totalprice") * F.col("o_totalprice")).alias("squared"),
+        F.col("o_orderkey").alias("key"),
+        (F.col("o_orderkey") % 4).cast("double").alias("level"),
+    )
+    rows = []
+    for q in (0.5, 0.9):
+        rows += [(c, q, v) for c, v in selection.exact_quantiles(prices, prices.columns, q).items()]
+    return spark.createDataFrame(rows, "feature string, q double, value double")
+
+
+def auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of a score with about as many values as rows, and ties."""
+    scored = domain.table(spark, sf_dir, "lineitem").select(
+        (F.floor("l_extendedprice") + F.when(F.col("l_returnflag") == "R", 500).otherwise(0)).alias("score"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
     )
-    return encoder.fit(rows).transform(rows)
+    return rounded(model.exact_area_of_scores(scored), 9, "area_under_roc")
 
 
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,12 +652,12 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assembled vectors: their width, and one row per slot that is not zero."""
-    inputs = [*[f"{c}_ohe" for c in CATEGORIES], "o_totalprice"]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(_encoded(spark, sf_dir))
-    slots = vector_to_array("features")
+    vectors = _stages(_categories(spark, sf_dir), CATEGORIES, ["o_totalprice"], 4)
+    entries = F.col("entries")
     return (
-        vectors.select("o_orderkey", F.size(slots).alias("width"), F.posexplode(slots).alias("slot", "value"))
-        .filter(F.col("value") != 0)
+        vectors.select("o_orderkey", F.size(vector_to_array("features")).alias("width"), F.filter(F.transform(vector_to_array("features"), lambda v, i: F.struct(i.alias("slot"), v.alias("value"))), lambda e: e["value"] != 0).alias("entries"))
+        .select("o_orderkey", "width", F.explode(entries).alias("entry"))
+        .select("o_orderkey", "width", "entry.slot", "entry.value")
     )
 
 
@@ -723,6 +822,7 @@ QUERIES: dict[str, Query] = {
         flag_summary,
         remove_flagged_orders,
         remove_flagged_lineitem,
+        remove_flagged_split,
         remove_flagged_customer,
         remove_flagged_events,
         removal_counts,
@@ -734,7 +834,10 @@ QUERIES: dict[str, Query] = {
         clickstream_history,
         clickstream_agg,
         clickstream_agg_loan_grain,
+        loan_agg_stored,
+        clickstream_agg_stored,
         asof_customer_grain,
+        asof_newest_first,
         asof_max_rejoin,
         asof_running_max,
         asof_loan_grain,
@@ -750,6 +853,10 @@ QUERIES: dict[str, Query] = {
         hash_split,
         impute_median,
         string_index,
+        string_index_distributed,
+        sparse_features,
+        exact_medians,
+        auc_exact,
         one_hot,
         assemble_features,
         lr_scores,

@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from riskmart.config import Config
 from riskmart.operators import metrics
+from riskmart.operators.asof import asof_newest_first
 from riskmart.operators.features import gold_features
 from riskmart.operators.labels import label_store
-from riskmart.operators.quality import CUSTOMER, ISSUE, remove_flagged
+from riskmart.operators.quality import CUSTOMER, ISSUE
 from riskmart.operators.skew import splittable
 from riskmart.plans.bronze import LEDGERS, read_source
 from riskmart.plans.gold import build_gold, label_metrics
-from riskmart.plans.silver import TABLES, clean_tables, flag_tables
+from riskmart.plans.silver import TABLES, clean_tables, flag_tables, remove_by_size
+from riskmart.plans.stored_history import read_history, update_history
 from riskmart.sources import Ledger, digest, exists, read_months, remove, shared_dir, write_mark, write_partitions, write_table
 from riskmart.sources.ledger import Month, month_dir, month_name, month_of
 from riskmart.sources.partitions import PARTITION_KEYS
@@ -178,7 +180,7 @@ def _rebuild_months(
 ) -> None:
     path, ledger_path = f"{silver_path}/{name}", f"{silver_path}/{LEDGERS}/{name}"
     raw = {n: read_source(spark, bronze_path, n, months if n == name else []) for n in TABLES}
-    rows = remove_flagged(clean_tables(raw).tables[name], flagged)
+    rows = remove_by_size(spark, clean_tables(raw).tables[name], flagged)
     rows = rows.select(*[c for c in rows.columns if c not in PARTITION_KEYS], *PARTITION_KEYS)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name not in PARTITION_KEYS}
     ledger.pending = sorted(map(month_name, {*months, *gone}))
@@ -248,6 +250,18 @@ def affected_customers(spark: SparkSession, silver_path: str, changed: DataFrame
     return near, spread(near)
 
 
+def _latest(
+    spark: SparkSession, config: Config, table: str, labels: DataFrame, needed: DataFrame, like: DataFrame
+) -> DataFrame:
+    """Snapshots in force, from the newest months back."""
+    path = f"{config.silver_path}/{table}"
+    ledger = Ledger.read(spark, f"{config.silver_path}/{LEDGERS}/{table}")
+    months = [month_of(m) for m, f in ledger.months.items() if f["rows"]]
+    read = lambda wanted: _in(read_months(spark, path, ledger, wanted), needed, CUSTOMER)
+    found = asof_newest_first(read, months, labels, config.history_end)
+    return found if found is not None else like.limit(0)
+
+
 def update_gold(spark: SparkSession, config: Config, refresh: bool = False) -> bool:
     """Bring label store and feature matrix up to date with silver; whether anything was built.
 
@@ -268,17 +282,31 @@ def update_gold(spark: SparkSession, config: Config, refresh: bool = False) -> b
     write_table(differ, f"{work}/differ")
     write_table(needed, f"{work}/needed")
     differ, needed = spark.read.parquet(f"{work}/differ"), spark.read.parquet(f"{work}/needed")
-    tables = {}
+    update_history(spark, config.silver_path)
+    tables, days = {}, {}
     for n in TABLES:
         keys = _index(spark, f"{config.silver_path}/{KEYS}/{n}")
         met = [] if keys is None else _in(keys, needed, CUSTOMER).select(*PARTITION_KEYS).distinct().collect()
         ledger = Ledger.read(spark, f"{config.silver_path}/{LEDGERS}/{n}")
         months = [(r.year, r.month) for r in met]
         tables[n] = _in(read_months(spark, f"{config.silver_path}/{n}", ledger, months), needed, CUSTOMER)
+        if (history := read_history(spark, config.silver_path, n, months)) is not None:
+            days[n] = _in(history, needed, CUSTOMER)
     labels = label_store(tables["loan_daily"], config.prediction_months, config.label_window_months, config.max_loan_months)
     write_table(labels, f"{work}/labels")
     labels = spark.read.parquet(f"{work}/labels")
-    gold = gold_features(labels, **tables, grain=config.grain, history_end=config.history_end, plural_only=config.plural_only)
+    if config.grain == "customer":
+        for n in ("attributes", "financials"):
+            tables[n] = _latest(spark, config, n, labels, needed, tables[n])
+    tables["loan_daily"] = days.get("loan_daily", tables["loan_daily"])  # sums by day are enough from here on
+    gold = gold_features(
+        labels,
+        **tables,
+        grain=config.grain,
+        history_end=config.history_end,
+        plural_only=config.plural_only,
+        click_days=days.get("clickstream"),
+    )
     mark = json.dumps({"build": uuid4().hex, "key": digest("increment", sets)})
     taken = json.dumps({"parameters": _parameters(config), "sets": sets})
     for path, part, files in ((config.label_path, labels, {}), (config.gold_path, gold, {TAKEN: taken})):

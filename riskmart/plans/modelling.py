@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskmart.config import TEST_LAST_N_MONTHS
 from riskmart.operators import model as M
+from riskmart.operators.selection import exact_quantiles
 from riskmart.operators.splits import hash_split, oot_split, prediction_months
 from riskmart.sources import digest
 
@@ -56,15 +57,18 @@ def train_models(
     refresh: bool = False,
     data_key: str = "",
     work_path: str | None = None,
+    median: str = "approximate",
 ) -> Modelling:
     """Fit (or load) and evaluate both models. ``gold`` should be a stored table, since fitting
-    reads it several times, and ``data_key`` its build id."""
+    reads it several times, and ``data_key`` its build id. With ``median`` exact, missing numbers are the training rows' exact medians."""
+    gold = M.numbers_of_truth_values(gold)
     train, test = split(gold, by, last_n_months)
     categorical, numeric = M.trainable_columns(train, *M.feature_columns(gold, exclude))
+    medians = exact_quantiles(train, numeric) if median == "exact" else None
     rows = digest(data_key, by, last_n_months)
     models = {}
     for model_type in M.MODELS:
-        pipeline = M.create_pipeline(categorical, numeric, model_type)
+        pipeline = M.create_pipeline(categorical, numeric, model_type, medians)
         path = f"{model_path}/{model_type}_pipeline"
         fitted = M.fit_or_load(spark, pipeline, train, path, refresh, rows, work_path)
         models[model_type] = Trained(fitted, M.area_under_roc(fitted, test))

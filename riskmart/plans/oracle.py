@@ -405,6 +405,10 @@ ORACLES: dict[str, str] = {
         f"""select * replace ({AMOUNTS}) from loan_daily
             where Customer_ID not in (select Customer_ID from flagged)"""
     ),
+    "remove_flagged_split": sql(
+        f"""select * replace ({AMOUNTS}) from loan_daily
+            where Customer_ID not in (select Customer_ID from flagged)"""
+    ),
     "remove_flagged_customer": sql(
         "select * from clean_attributes where Customer_ID not in (select Customer_ID from flagged)"
     ),
@@ -461,6 +465,7 @@ ORACLES: dict[str, str] = {
         AHEAD,
     ),
     "loan_agg": sql(LOAN_TOTALS, {"totals": history_sums("windows", "d.Customer_ID")}),
+    "loan_agg_stored": sql(LOAN_TOTALS, {"totals": history_sums("windows", "d.Customer_ID")}),
     "loan_agg_loan_grain": sql(LOAN_TOTALS, {"totals": history_sums("windows", "d.loan_id, d.Customer_ID")}),
     "loan_agg_before_prediction": sql(LOAN_TOTALS, {"totals": history_sums("windows", "d.Customer_ID", "<")}),
     "clickstream_history": sql(
@@ -469,10 +474,12 @@ ORACLES: dict[str, str] = {
            where c.snapshot_date <= w.prediction_date group by all"""
     ),
     "clickstream_agg": sql(CLICK_TOTALS, {"totals": click_statistics("windows", "c.Customer_ID")}),
+    "clickstream_agg_stored": sql(CLICK_TOTALS, {"totals": click_statistics("windows", "c.Customer_ID")}),
     "clickstream_agg_loan_grain": sql(
         CLICK_TOTALS, {"totals": click_statistics("windows", "c.Customer_ID, s.prediction_date")}
     ),
     "asof_customer_grain": sql(latest("snapshots", "windows"), SNAPSHOTS),
+    "asof_newest_first": sql(latest("snapshots", "windows"), SNAPSHOTS),
     "asof_max_rejoin": sql(latest("snapshots", "windows"), SNAPSHOTS),
     "asof_running_max": sql(latest("snapshots", "windows"), SNAPSHOTS),
     "asof_loan_grain": sql(latest("snapshots", "windows", "loan"), SNAPSHOTS),
@@ -518,6 +525,40 @@ ORACLES: dict[str, str] = {
             from customer)
         select c_custkey, level, coalesce(level, (select quantile_disc(level, 0.5) from leveled)) as filled
         from leveled""",
+    "string_index_distributed": sql(
+        """select o_orderkey, priority, status, format('{:012d}', o_orderkey) as own,
+                  cast(coalesce(p, np) as double) as priority_idx, cast(coalesce(s, ns) as double) as status_idx,
+                  cast(row_number() over (order by o_orderkey) - 1 as double) as own_idx
+           from positions""",
+        CATEGORY_ROWS,
+    ),
+    "sparse_features": sql(
+        """select o_orderkey, slot, value from (
+               select o_orderkey, unnest([p, np + s, np + ns + place, np + ns + n]) as slot,
+                      unnest([1.0, 1.0, 1.0, o_totalprice]::double[]) as value
+               from (select *, row_number() over (order by o_orderkey) - 1 as place, count(*) over () as n from positions))
+           where slot is not null and value <> 0""",
+        CATEGORY_ROWS,
+    ),
+    "exact_medians": """
+        with columns as (
+            select o_totalprice, case when o_orderkey % 3 <> 0 then -o_totalprice * o_totalprice end as squared,
+                o_orderkey::double as key, (o_orderkey % 4)::double as level from orders),
+        long as (unpivot columns on o_totalprice, squared, key, level into name feature value v),
+        ranked as (
+            select feature, v, row_number() over (partition by feature order by v) as place, count(*) over (partition by feature) as n
+            from long)
+        select feature, q, v as value from ranked, (select unnest([0.5, 0.9])::double as q) where place = ceil(q * n)""",
+    "auc_exact": """
+        with scored as (
+            select floor(l_extendedprice) + case when l_returnflag = 'R' then 500 else 0 end as score,
+                l_returnflag = 'R' as positive from lineitem),
+        levels as (
+            select score, count(*) filter (positive) as p, count(*) filter (not positive) as n from scored group by score),
+        below as (select *, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as lower
+                  from levels)
+        select round(sum(p * (lower + n / 2.0)) / (sum(p) * sum(n)), 9)::double as area_under_roc,
+            sum(p)::bigint as positives, sum(n)::bigint as negatives from below""",
     "string_index": sql(
         """select o_orderkey, priority, status, cast(coalesce(p, np) as double) as priority_idx,
                   cast(coalesce(s, ns) as double) as status_idx

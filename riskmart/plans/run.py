@@ -65,6 +65,7 @@ def run_model(
         refresh,
         build_id(spark, config.gold_path) or "",
         config.work_path,
+        config.median,
     )
 
 
