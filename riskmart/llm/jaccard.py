@@ -611,20 +611,23 @@ def _named(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, of the smallest id and then of the lowest class; columns stay.
+    """``docs`` with one row of each component, of the smallest id and then of the lowest class; columns stay, whatever their names.
 
     Rows without words are linked with nothing and all stay. Null ids are kept only where a component has no other. Of rows equal in id and
     shingle set one stays.
     """
-    joined = store(join(docs, id_col, text_col, components_only=True).withColumnRenamed(id_col, "_id"), "joined")
+    names = docs.columns
+    numbered = docs.toDF(*(f"_{i}" for i in range(len(names))))
+    own_id, own_text = f"_{names.index(id_col)}", f"_{names.index(text_col)}"
+    joined = store(join(numbered, own_id, own_text, components_only=True).withColumnRenamed(own_id, "_id"), "joined")
     linked = joined.filter("n_shingles > 0").groupBy("component", "_id", "class").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("_id").isNull().alias("missing"), "_id", "class", "copies")
     kept = linked.groupBy("component").agg(F.min(order).alias("first")).select("first._id", "first.class", "first.copies")
     wordless = joined.filter("n_shingles = 0").select("_id", "class", F.lit(1).cast("long").alias("copies")).distinct()
     kept = store(kept.unionByName(wordless), "kept")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("class"))
-    rows = _named(docs, text_col).join(kept, same)
-    once = rows.filter("copies = 1").select(*docs.columns)
-    if kept.filter("copies > 1").isEmpty():
-        return once
-    return once.unionByName(rows.filter("copies > 1").drop_duplicates(["_id", "_class"]).select(*docs.columns))
+    same = F.col(own_id).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("class"))
+    rows = _named(numbered, own_text).join(kept, same)
+    once = rows.filter("copies = 1").select(*numbered.columns)
+    if not kept.filter("copies > 1").isEmpty():
+        once = once.unionByName(rows.filter("copies > 1").drop_duplicates(["_id", "_class"]).select(*numbered.columns))
+    return once.toDF(*names)

@@ -30,10 +30,9 @@ SLICE_BYTES = 500_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` rows of at most ``max_chars`` characters are the bounded sample to learn from."""
+    """``max_rows`` labelled rows are the bounded sample to learn from."""
 
     max_rows: int = 2000
-    max_chars: int = 20_000
     buckets: int = 1 << 17
     dimensions: int = 8
     char_grams: tuple[int, ...] = (3, 4)
@@ -129,12 +128,10 @@ def labelled(
         .groupBy("id")
         .agg(F.min("label").alias("label"))
     )
-    # twice as many ids as rows are wanted, since some labels may have no document or one that is too long
+    # twice as many ids as rows are wanted, since some labels may have no document
     order = F.xxhash64(F.col("id").cast("string"))
     chosen = known.orderBy(order, "id").limit(2 * settings.max_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
-        F.coalesce(F.length("text"), F.lit(0)) <= settings.max_chars
-    )
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return (
         texts.join(F.broadcast(chosen), "id")  # at most 2 * max_rows ids
         .orderBy(order, "id", "text")

@@ -2,7 +2,7 @@
 
 Every string of ``length`` bytes that starts at two places counts as repeated; matches never cross documents. In suffix order, equal beginnings are neighbours. For a suffix,
 the nearest suffixes above and below that start earlier in the corpus (previous and next smaller positions) give its longest earlier match, so a later
-copy is told from the first one; the neighbours whatever their positions tell whether a string has any copy.
+copy is told from the first one; the same with positions from behind tells whether a string has a later copy.
 
 One suffix array of the whole corpus would not fit a machine, so suffixes are dealt by content. The anchor of a string is its 32-byte gram of smallest hash; equal
 strings have equal anchors at the same place. Neighbouring strings share anchors, so a run of them, a stretch of at most ``2 * length - 32`` bytes, is handled as one.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from riskmart.llm import text as T
 from riskmart.llm.bpe import gather, pack, unpack
 from riskmart.llm.components import store
+from riskmart.operators.running import totals_before
 
 U64 = np.uint64
 LENGTH = 200
@@ -44,6 +45,25 @@ COPIED, MIXED, FIRST = 1, 2, 4
 _PLACE_BITS = 24
 
 
+def anchors(grams: np.ndarray, n: int, width: int, bits: int = _PLACE_BITS) -> np.ndarray:
+    """Place of the first gram of smallest hash among the ``width`` grams from each of ``n`` places.
+
+    Hashes are compared by all but their last ``bits`` bits, which hold the place. A longer input is gone through in pieces that have room for theirs, so the
+    choice does not depend on a text's size or position.
+    """
+    found, step = np.empty(n, np.int64), (1 << bits) - width
+    for first in range(0, n, step):
+        m = min(step, n - first)
+        part = grams[first : first + m + width - 1]
+        least, reach = (part >> U64(bits) << U64(bits)) | np.arange(len(part), dtype=U64), 1
+        while reach * 2 <= width:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        least = np.minimum(least[:m], least[width - reach : width - reach + m])
+        found[first : first + m] = (least & U64((1 << bits) - 1)).astype(np.int64) + first
+    return found
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Runs of ``length``-byte strings with one anchor: text, first string, number of strings, hash of anchor and of the run's bytes."""
     empty = {k: np.empty(0, np.int64) for k in ("text", "start", "count")}
@@ -51,18 +71,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> di
         return empty | {k: np.empty(0, U64) for k in ("anchor", "name")}
     sums = T.running_bytes(data)
     grams = T.grams(sums, GRAM)
-    n, width = len(data) - length + 1, length - GRAM + 1
-    if len(grams) >= 1 << _PLACE_BITS:  # one very long text: its places need more bits of the word than hashes can spare
-        bits = int(len(grams)).bit_length()
-    else:
-        bits = _PLACE_BITS
-    places = np.arange(len(grams), dtype=U64)
-    least, reach = (grams >> U64(bits) << U64(bits)) | places, 1
-    while reach * 2 <= width:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    least = np.minimum(least[:n], least[width - reach : width - reach + n])
-    anchor = (least & U64((1 << bits) - 1)).astype(np.int64)
+    n = len(data) - length + 1
+    anchor = anchors(grams, n, length - GRAM + 1)
     sizes = np.diff(offsets)
     inside = np.zeros(n + 1, np.int8)  # strings that lie in one text
     long = sizes >= length
@@ -341,10 +351,9 @@ def _resolve(texts: pa.Table, length: int, earlier_only: bool) -> pa.Table:
     suffix = np.lexsort((position, hashes, head))
     common = np.zeros(len(suffix), bool)
     common[1:] = hashes[suffix[1:]] == hashes[suffix[:-1]]
-    if earlier_only:
-        repeated = longest_previous(position[suffix], common)
-    else:
-        repeated = common | np.append(common[1:], False)
+    repeated = longest_previous(position[suffix], common)
+    if not earlier_only:  # the same with positions from behind: a later match
+        repeated |= longest_previous(len(position) - 1 - position[suffix], common)
     hit = suffix[repeated]
     flags = np.zeros(int(place[-1]), bool)  # by first byte of the string
     flags[begin[hit]] = True
@@ -408,12 +417,22 @@ def _spans(covered: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         yield edges.reshape(-1, 2)
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
+def _prepared(docs: DataFrame, id_col: str, text_col: str, others: list[str], earlier_only: bool) -> DataFrame:
+    """Order, text and other columns by number. Whole ids are their own order; others are ranked by a range sort where the first copy counts."""
+    names = {text_col: "_text"} | {c: f"_{i}" for i, c in enumerate(others)}
+    numbered = docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(names[c]) for c in others))
+    own_id, last = F.col(names[id_col]), F.lit((1 << 63) - 1)
     kind = docs.schema[id_col].dataType.typeName()
-    order = F.col(id_col).cast("long") if kind in ("byte", "short", "integer", "long") else F.xxhash64(id_col)
-    order = F.coalesce(order, F.lit((1 << 63) - 1))
-    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(others)]
-    return docs.select(order.alias("_order"), F.col(text_col).cast("string").alias("_text"), *kept)
+    if kind in ("byte", "short", "integer", "long"):
+        order = F.coalesce(own_id.cast("long"), last)
+    elif not earlier_only:
+        order = F.coalesce(F.xxhash64(own_id), last)
+    else:
+        ids = numbered.select(own_id.alias("_id")).filter("_id is not null").distinct().withColumn("_one", F.lit(1).cast("long"))
+        ranks = totals_before(ids, [F.asc("_id")], ["_one"]).select("_id", F.col("_one_before").alias("_rank"))
+        numbered = numbered.join(ranks, own_id == F.col("_id"), "left")
+        order = F.coalesce("_rank", last)
+    return numbered.select(order.alias("_order"), "_text", *(names[c] for c in others))
 
 
 def _resolved(source: DataFrame, length: int, earlier_only: bool, chunk_bytes: int):
@@ -447,8 +466,8 @@ def repeated_spans(
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be none or first, not {keep!r}")
     key = docs.schema[id_col].dataType.simpleString()
-    source = _prepared(docs, id_col, text_col, [id_col])
     earlier_only = keep == "first"
+    source = _prepared(docs, id_col, text_col, [id_col], earlier_only)
 
     def cut(held: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
@@ -486,8 +505,8 @@ def remove_repeats(
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be none or first, not {keep!r}")
     others = [c for c in docs.columns if c != text_col]
-    source = _prepared(docs, id_col, text_col, others)
     earlier_only = keep == "first"
+    source = _prepared(docs, id_col, text_col, others, earlier_only)
 
     def cut(held: pa.Table, answers: pa.Table) -> pa.Table:
         out = []

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from llm import brute
 from llm.conftest import by_row, in_order, prose
+from pyspark.sql import functions as F
 
 from riskmart.llm import jaccard as J
 from riskmart.llm.components import components
@@ -99,3 +100,11 @@ def test_links_of_awkward_texts(docs, rows, no_docs):
     assert "n_links" not in J.join(docs, components_only=True).columns
     assert shown(J.join(docs, components_only=True)) == shown(J.join(docs))
     assert J.linked_classes(no_docs).count() == 0
+
+
+def test_one_of_each_group_stays_whatever_the_columns_are_called(docs):
+    names = ["class", "copies", "_class", "_id", "component", "node", "_0", "first"]
+    clashing = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    kept = J.keep_one(clashing)
+    assert kept.columns == clashing.columns
+    assert by_row(kept.select(*docs.columns)) == by_row(J.keep_one(docs))

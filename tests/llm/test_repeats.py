@@ -62,3 +62,37 @@ def test_longest_earlier_match_needs_a_smaller_position_in_the_run():
     common = np.array([False, True, True, False, True, True])
     assert R.previous_smaller(position).tolist() == [-1, -1, 1, -1, 3, 3]
     assert R.longest_previous(position, common).tolist() == [True, False, True, False, True, True]
+
+
+def test_anchors_do_not_depend_on_the_size_of_a_text():
+    grams = np.random.default_rng(2).integers(0, 1 << 40, 9000, dtype=np.uint64) << np.uint64(24)
+    grams[100:900] = grams[5000:5800]
+    width = 169
+    n = len(grams) - width + 1
+    found = R.anchors(grams, n, width, bits=10)  # pieces of 855 places
+    hashes = (grams >> np.uint64(10)).tolist()
+    assert found.tolist() == [min(range(i, i + width), key=lambda k: (hashes[k], k)) for i in range(n)]
+    part = R.anchors(grams[4990:5900], 910 - width + 1, width, bits=10) + 4990
+    assert (part == found[4990 : 4990 + len(part)]).all()
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_a_very_long_text_and_shorter_ones_share_passages(spark, keep):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    shared = [prose(60) for _ in range(6)]
+    long = " ".join(part + " " + prose(1500) for part in shared) + shared[0]
+    rows = [(9, long), *[(i, prose(30) + part + prose(20)) for i, part in enumerate(shared)], (7, long[:500]), (20, "short")]
+    assert len(long) > 60_000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = by_row(R.repeated_spans(df, keep, chunk_bytes=9000).selectExpr(*COLUMNS))
+    assert found == in_order(brute.repeats(rows, keep=keep))
+
+
+def test_text_ids_are_ordered_by_their_value(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(f"doc-{i}", text) for i in range(8)] + [(None, text)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    kept = {r.doc_id for r in R.remove_repeats(df).filter("length(text) > 200").collect()}
+    assert kept == {"doc-0"}
+    assert R.remove_repeats(df, "none").filter("length(text) > 200").count() == 0
