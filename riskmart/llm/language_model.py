@@ -50,7 +50,7 @@ class Settings:
     strength: float = 1.0
     root_strength: float = 100.0
     seed: int = 11
-    group_bytes: int = 24_000_000
+    group_bytes: int = 12_000_000
     sample: float = 0.01
 
     @property
