@@ -31,6 +31,7 @@ MIN_REVISIT = 100
 #: Payload of one task's range of ids, and compressed size at which a file is closed.
 SHARD_BYTES = 24_000_000
 ROLL_BYTES = 16_000_000
+PIECE_BYTES = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "riskmart:warc")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,11 +76,20 @@ def member(raw: bytes) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a file of gzip members; a block that is not what its digest says is an error."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(data)
-        data = unpack.unused_data
+    """Headers and block of each record of a file of gzip members; a block that is not what its digest says is an error.
+
+    A member is fed in pieces, since what follows it in a piece is copied.
+    """
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            piece = view[at : at + PIECE_BYTES]
+            if not piece:
+                raise ValueError("the file ends inside a record")
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in (x + " " if x.endswith(":") else x for x in head.decode().split("\r\n")[1:]))
         headers = {k: v.strip() for k, v in headers.items()}
