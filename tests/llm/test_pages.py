@@ -124,3 +124,14 @@ def test_damage_and_emptiness(spark, pages, tmp_path):
     assert raw.count(b"WARC-Target-URI: http://a%0D%0Ab\r\n") == 1
     with pytest.raises(ValueError, match="damaged"):
         list(warc.parse(warc.member(raw.replace(b"payload", b"pAyload", 1).replace(b"payload", b"pAyload"))))
+
+
+def test_members_are_told_apart_and_a_cut_file_is_an_error(monkeypatch):
+    payloads = [b"", b"x" * 100_000, bytes(range(256)) * 300, b"short"]
+    records = [warc.member(warc.record(i, None, p, hashlib.sha256(p).hexdigest(), None, False)) for i, p in enumerate(payloads)]
+    for piece in (7, 1 << 14):
+        monkeypatch.setattr(warc, "PIECE_BYTES", piece)
+        found = [block.partition(b"\r\n\r\n")[2] for _, block in warc.parse(b"".join(records))]
+        assert found == payloads
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.parse(b"".join(records)[:-9]))
