@@ -171,3 +171,8 @@ def test_config_checks_its_options():
         Config({}, grain="month")
     with pytest.raises(ValueError, match="history_end"):
         Config({}, history_end="never")
+    for option in ("raw_mode", "median"):
+        with pytest.raises(ValueError, match=option):
+            Config({}, **{option: "other"})
+    args = command.parser().parse_args(["root", "--raw-mode", "mirror", "--median", "exact"])
+    assert (command.config_of(args).raw_mode, command.config_of(args).median) == ("mirror", "exact")
