@@ -18,6 +18,7 @@ from riskmart.llm import (
     jaccard,
     language_model,
     pack,
+    packed_files,
     phrases,
     quality,
     repeats,
@@ -38,7 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return pack.pack(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = f"{shared_dir(spark)}/packed-{uuid4().hex}"
+    packed_files.write(pack.pack(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), out)
+    return packed_files.read(spark, out)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
