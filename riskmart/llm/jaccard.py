@@ -557,9 +557,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components_only: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``class`` (rows with equal sets share it), ``n_links``, ``component`` and ``component_id``.
+    """One row per row of ``docs``: id, ``n_shingles``, ``class`` (rows with equal sets share it), ``class_id``, ``n_links``, ``component`` and ``component_id``.
 
-    ``n_links`` is the exact number of other classes that the row's class is linked to; with ``components_only`` the links are not counted and the column is
+    ``class_id`` is the smallest id of the class; rows without shingles have their own. ``n_links`` is the exact number of other classes that the row's class is linked to; with ``components_only`` the links are not counted and the column is
     left out. ``component_id`` is the smallest id reachable by links, the row's own included; null ids count only where there is no other. Rows without
     words have no shingles and their own id. Repeated ids are rows of their own, of which each belongs to its set's class. Other columns are
     ignored. An empty table gives an empty result.
@@ -572,13 +572,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compon
     classes_ids = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = classes_ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = named.join(least, "component").select("node", "component", "component_id")
+    of_node = named.join(least, "component").select("node", "least", "component", "component_id")
     shown = [] if components_only else ["n_links"]
     joined = rows.select("id", "n", "node", *shown).join(of_node, "node", "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.col("node").alias("class"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("class_id"),
         *shown,
         "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),

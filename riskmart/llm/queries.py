@@ -92,7 +92,7 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.join(table(spark, sf_dir, "documents"))
-    return joined.select("doc_id", "n_shingles", "component_id")
+    return joined.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,11 +290,20 @@ ORACLES = {
         reach as (
             select row_id as x, row_id as y from sets
             union
-            select r.x, l.y from reach r join link l on r.y = l.x)
-        select s.doc_id, len(s.s) as n_shingles, c.component_id
+            select r.x, l.y from reach r join link l on r.y = l.x),
+        class as (
+            select row_id, min(row_id) over same as class,
+                case when len(s) > 0 then min(doc_id) over same else doc_id end as class_id
+            from sets window same as (partition by list_sort(s))),
+        links as (
+            select l.x, count(distinct b.class) as n_links
+            from link l join class a on l.x = a.row_id join class b on l.y = b.row_id
+            where a.class <> b.class group by l.x)
+        select s.doc_id, len(s.s) as n_shingles, c.component_id, k.class_id, coalesce(n.n_links, 0) as n_links
         from sets s join (
             select r.x, min(t.doc_id) as component_id from reach r join sets t on r.y = t.row_id group by r.x) c
-            on c.x = s.row_id""",
+            on c.x = s.row_id
+        join class k on k.row_id = s.row_id left join links n on n.x = s.row_id""",
     "op4_decontaminate": f"""
         with item as (
             select item_id, {WORDS.format(text="coalesce(text, '')", pattern='[0-9a-z[:^ascii:]]+')} as w

@@ -96,7 +96,11 @@ def test_every_link_of_a_group_is_counted(spark, tile, monkeypatch):
 
 
 def test_links_of_awkward_texts(docs, rows, no_docs):
-    assert by_row(J.join(docs), "doc_id", "n_links") == link_counts(rows)
+    joined = J.join(docs)
+    assert by_row(joined, "doc_id", "n_links") == link_counts(rows)
+    sets = [(d, brute.shingle_set(t)) for d, t in rows]
+    least = {s: min((d for d, other in sets if other == s and d is not None), default=None) for _, s in sets if s}
+    assert by_row(joined, "doc_id", "class_id") == in_order([(d, least.get(s, d)) for d, s in sets])
     assert "n_links" not in J.join(docs, components_only=True).columns
     assert shown(J.join(docs, components_only=True)) == shown(J.join(docs))
     assert J.linked_classes(no_docs).count() == 0
