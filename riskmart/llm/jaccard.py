@@ -119,8 +119,9 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Chunk]:
                 chunk.add(batch.slice(start, 50_000))
             if chunk.size >= size or chunk.n >= 200_000:
                 chunk.close()
-                yield chunk
-                chunk = Chunk()
+                full, chunk = chunk, Chunk()
+                yield full
+                del full
     if chunk.n:
         chunk.close()
         yield chunk
@@ -156,6 +157,7 @@ def _send(batches: Iterator[pa.RecordBatch], fragments: int, size: int) -> Itera
             rows = sink.getvalue().to_pybytes()
         own = -1 - (int.from_bytes(chunk.name[:7]) >> 1)  # a route of its own, passed through
         yield _packed(own, chunk.name, -1, rows, pack(chunk.docs), pack(np.packbits(chunk.new)))
+        del chunk, table, sink, rows  # before the next chunk is read
         T.release()
 
 
@@ -235,7 +237,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_B
     fragments = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = source.schema["id"].dataType.simpleString()
-    sent = source.mapInArrow(lambda batches: _send(batches, fragments, chunk_bytes), _PACKED_DDL)
+    sent = source.mapInArrow(T.released(lambda batches: _send(batches, fragments, chunk_bytes)), _PACKED_DDL)
     counted = sent.groupBy("route").applyInArrow(_count, _PACKED_DDL)
     return counted.groupBy("chunk").applyInArrow(_collect, f"id {key}, {_SET}")
 
@@ -274,7 +276,7 @@ def _fragments(classes: DataFrame, fragments: int) -> DataFrame:
             fields = [("node", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("keys", pa.binary())]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
-    return classes.select("node", "n", "keys").mapInArrow(cut, "node long, n long, fragment int, keys binary")
+    return classes.select("node", "n", "keys").mapInArrow(T.released(cut), "node long, n long, fragment int, keys binary")
 
 
 def _partial(rows: pa.Table) -> pa.Table:
@@ -490,7 +492,7 @@ def _packed_links(classes: DataFrame, labels: DataFrame) -> DataFrame:
     pieces = _fragments(classes, FRAGMENTS).select("node", "fragment", "keys")
     dealt = placed.join(members, "tile").join(pieces, "node").select("pair", "fragment", "side", "node", "n", "keys")
     dealt = dealt.repartition("pair", "fragment").sortWithinPartitions("pair", "fragment")
-    partial = dealt.mapInArrow(_tile_overlaps, _TILED_DDL)
+    partial = dealt.mapInArrow(T.released(_tile_overlaps), _TILED_DDL)
     summed = partial.repartition("pair").sortWithinPartitions("pair")
     return store(summed.mapInArrow(_tile_links, _TILED_DDL), "all_links")
 
@@ -607,7 +609,7 @@ def _named(docs: DataFrame, text_col: str) -> DataFrame:
                     schema = whole.schema.append(pa.field("_class", pa.binary()))
                     yield pa.RecordBatch.from_arrays([*part.columns, values], schema=schema)
 
-    named = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_class", BinaryType())]))
+    named = docs.mapInArrow(T.released(run), StructType([*docs.schema.fields, StructField("_class", BinaryType())]))
     return named.withColumn("_class", F.xxhash64("_class"))
 
 

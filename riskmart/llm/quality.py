@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     if score_col in docs.columns:
         raise ValueError(f"the documents have a column {score_col} already")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(T.released(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -189,4 +189,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
                 batch = batch.filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays(batch.columns, schema=whole.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.released(run), docs.schema)

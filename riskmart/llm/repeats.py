@@ -65,7 +65,10 @@ def anchors(grams: np.ndarray, n: int, width: int, bits: int = _PLACE_BITS) -> n
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
-    """Runs of ``length``-byte strings with one anchor: text, first string, number of strings, hash of anchor and of the run's bytes."""
+    """Runs of ``length``-byte strings with one anchor: text, first string, number of strings, hash of anchor and of the run's bytes.
+
+    An anchor's own hash is the least of many, so nearly all of them are small; it is mixed once more, for ranges of it to be equal shares.
+    """
     empty = {k: np.empty(0, np.int64) for k in ("text", "start", "count")}
     if len(data) < length:
         return empty | {k: np.empty(0, U64) for k in ("anchor", "name")}
@@ -89,7 +92,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> di
     text = np.searchsorted(offsets, start, "right") - 1
     end = np.minimum(np.append(start[1:], n), offsets[text + 1] - length + 1)
     name = T.stretch(sums, start, end - 1 + length)
-    return {"text": text, "start": start - offsets[text], "count": end - start, "anchor": grams[anchor[start]], "name": name}
+    return {"text": text, "start": start - offsets[text], "count": end - start, "anchor": T.mix(grams[anchor[start]]), "name": name}
 
 
 class Chunk:
@@ -100,7 +103,7 @@ class Chunk:
         self.size = self.n = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        self.batches.append(batch)
+        self.batches.append(T.own_copy(batch))
         self.size += len(T.flat(batch.column("_text"))[0])
         self.n += batch.num_rows
 
@@ -128,8 +131,9 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Chunk]:
         for batch in T.slices(whole, "_text"):
             chunk.add(batch)
             if chunk.size >= size or chunk.n >= 100_000:
-                yield chunk
-                chunk = Chunk()
+                full, chunk = chunk, Chunk()
+                yield full
+                del full
     if chunk.n:
         yield chunk
 
@@ -190,7 +194,7 @@ def _ask(batches: Iterator[pa.RecordBatch], routes: int, size: int, length: int)
             yield _packed(
                 r, name, pack(anchor[part]), pack(found.name[own]), pack(copies), pack(found.order[own].astype(np.int64))
             )
-        del found
+        del found, chunk  # before the next chunk is read
         T.release()
 
 
@@ -222,7 +226,10 @@ def _answer(asked: pa.Table) -> pa.Table:
 
 def _hold(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for chunk in chunks(batches, size):
-        yield _packed(0, chunk.name(), chunk.rows())
+        held = _packed(0, chunk.name(), chunk.rows())
+        del chunk
+        yield held
+        del held
         T.release()
 
 
@@ -394,15 +401,13 @@ def _covered(held: pa.Table, answers: pa.Table, length: int, earlier_only: bool)
             first = np.zeros(len(found.of), bool)
             first[found.first] = (flags & FIRST) > 0
             whole = ~first
-        repeated = some[gather_index(place[found.of], found.count)] | np.repeat(whole, found.count)
-        string = gather_index(found.start, found.count)
-        text = np.repeat(found.text, found.count)
-        text, string = text[repeated], string[repeated]
         row = 0
         for batch in batches:
             data, offsets = T.flat(batch.column("_text"))
-            lo, hi = np.searchsorted(text, [row, row + batch.num_rows])
-            begin = offsets[text[lo:hi] - row] + string[lo:hi]
+            lo, hi = np.searchsorted(found.text, [row, row + batch.num_rows])
+            count = found.count[lo:hi]
+            repeated = some[gather_index(place[found.of[lo:hi]], count)] | np.repeat(whole[lo:hi], count)
+            begin = gather_index(offsets[found.text[lo:hi] - row] + found.start[lo:hi], count)[repeated]
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, begin, 1)
             np.add.at(change, begin + length, -1)
@@ -437,15 +442,15 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, others: list[str], ea
 
 def _resolved(source: DataFrame, length: int, earlier_only: bool, chunk_bytes: int):
     routes = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = source.mapInArrow(lambda b: _ask(b, routes, chunk_bytes, length), _PACKED_DDL)
-    answers = asked.groupBy("route").applyInArrow(_answer, _PACKED_DDL)
-    held = source.mapInArrow(lambda b: _hold(b, chunk_bytes), _PACKED_DDL)
+    asked = source.mapInArrow(T.released(lambda b: _ask(b, routes, chunk_bytes, length)), _PACKED_DDL)
+    answers = asked.groupBy("route").applyInArrow(T.released_group(_answer), _PACKED_DDL)
+    held = source.mapInArrow(T.released(lambda b: _hold(b, chunk_bytes)), _PACKED_DDL)
     sent = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda h, a: _send_texts(h, a, TEXT_ROUTES * routes, length), _PACKED_DDL
+        T.released_cogroup(lambda h, a: _send_texts(h, a, TEXT_ROUTES * routes, length)), _PACKED_DDL
     )
     sent = store(sent, "stretches")
     texts = sent.filter("route >= 0").groupBy("route")
-    found = texts.applyInArrow(lambda t: _resolve(t, length, earlier_only), _PACKED_DDL)
+    found = texts.applyInArrow(T.released_group(lambda t: _resolve(t, length, earlier_only)), _PACKED_DDL)
     return sent.filter("route < 0").groupBy("chunk").cogroup(found.groupBy("chunk"))
 
 
@@ -487,7 +492,7 @@ def repeated_spans(
 
     schema = f"id {key}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
     grouped = _resolved(source, length, earlier_only, chunk_bytes)
-    return grouped.applyInArrow(cut, schema).withColumnRenamed("id", id_col)
+    return grouped.applyInArrow(T.released_cogroup(cut), schema).withColumnRenamed("id", id_col)
 
 
 def remove_repeats(
@@ -528,6 +533,6 @@ def remove_repeats(
         return pa.Table.from_batches(out) if out else None
 
     ddl = ", ".join(["_text string", *(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))])
-    cut_rows = _resolved(source, length, earlier_only, chunk_bytes).applyInArrow(cut, ddl)
+    cut_rows = _resolved(source, length, earlier_only, chunk_bytes).applyInArrow(T.released_cogroup(cut), ddl)
     names = {text_col: "_text"} | {c: f"_{i}" for i, c in enumerate(others)}
     return cut_rows.select(*(F.col(names[c]).alias(c) for c in docs.columns))

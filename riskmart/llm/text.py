@@ -8,7 +8,7 @@ difference of two sums, shifted back by a power of B's inverse, depends on the s
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,6 +58,43 @@ def release() -> None:
         trim(0)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for a task that gives back what it held when it has ended: the worker then waits, beside those of the next stage."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def released_group(run: Callable[[pa.Table], pa.Table | None]):
+    """The same for a function of one group's rows."""
+
+    def whole(rows: pa.Table) -> pa.Table | None:
+        out = run(rows)
+        release()
+        return out
+
+    return whole
+
+
+def released_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table | None]):
+    """The same for a function of the rows of two sides."""
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table | None:
+        out = run(left, right)
+        release()
+        return out
+
+    return whole
+
+
+def own_copy(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows without the batch that they are a slice of, which may be many times their size."""
+    return pa.ipc.read_record_batch(batch.serialize(), batch.schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = h ^ (h >> U64(32))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm import brute
 from llm.conftest import by_row, in_order
@@ -96,3 +97,23 @@ def test_text_ids_are_ordered_by_their_value(spark):
     kept = {r.doc_id for r in R.remove_repeats(df).filter("length(text) > 200").collect()}
     assert kept == {"doc-0"}
     assert R.remove_repeats(df, "none").filter("length(text) > 200").count() == 0
+
+
+def test_chunks_hold_their_own_rows_only():
+    texts = pa.array(["x" * 1000] * 3000)
+    whole = pa.record_batch([pa.array(range(3000), pa.int64()), texts], ["_order", "_text"])
+    sizes, rows = [], 0
+    for chunk in R.chunks(iter([whole]), 200_000):
+        held = {b.address for batch in chunk.batches for c in batch.columns for b in c.buffers() if b is not None}
+        theirs = {b.address for c in whole.columns for b in c.buffers() if b is not None}
+        sizes.append(sum(batch.get_total_buffer_size() for batch in chunk.batches))
+        rows += chunk.n
+        assert not held & theirs
+    assert rows == 3000 and max(sizes) < 1_200_000  # one slice, not the batch of 3 MB
+
+
+def test_anchors_are_dealt_evenly_over_the_routes():
+    data = np.random.default_rng(5).integers(97, 123, 1_000_000, dtype=np.uint8)
+    found = R.stretches(data, np.arange(0, 1_000_001, 2_000))
+    shares = np.diff(R._route_edges(np.sort(found["anchor"]), 50)) / len(found["anchor"])
+    assert shares.min() > 0.015 and shares.max() < 0.025
