@@ -45,7 +45,8 @@ def default_events(windows: DataFrame, loan_daily: DataFrame) -> DataFrame:
     """Distinct loans overdue on some day of a window of theirs, both ends included.
 
     Both sides are reduced to distinct days before they meet, so one loan brings at most
-    as many rows as there are calendar days however often it occurs.
+    as many rows as there are calendar days however often it occurs. The spans are shuffled once
+    more for the join, so its tasks hold none of the tables that the steps before keep.
     """
     overdue = (
         loan_daily.filter((F.col("overdue_amt") > 0) & F.col("snapshot_date").isNotNull())
@@ -58,7 +59,7 @@ def default_events(windows: DataFrame, loan_daily: DataFrame) -> DataFrame:
     in_window = (F.col("loan_id") == F.col("span_loan")) & F.col("snapshot_date").between(
         F.col("prediction_date"), F.col("label_window_end")
     )
-    return overdue.join(spans, in_window, "left_semi").select("loan_id").distinct()
+    return overdue.join(splittable(spans), in_window, "left_semi").select("loan_id").distinct()
 
 
 def label_store(

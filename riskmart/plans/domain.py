@@ -47,23 +47,43 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def loan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily loan rows without the customer. Some paid amounts are negative."""
-    price, discount = F.col("l_extendedprice"), F.col("l_discount")
-    paid = price * (1 - discount)
+def _loan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily loan rows before their amounts are worked out; most of these columns have few values."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("loan_id"),
         F.to_date("l_shipdate").alias("snapshot_date"),
         F.col("l_quantity").alias("loan_amt"),
-        price.alias("due_amt"),
-        F.when(F.col("l_partkey") % 499 == 0, -paid).otherwise(paid).alias("paid_amt"),
-        F.when(F.col("l_returnflag") == "R", price * discount).otherwise(0.0).alias("overdue_amt"),
+        F.col("l_extendedprice").alias("due_amt"),
+        F.col("l_discount").alias("discount"),
+        (F.col("l_partkey") % 499 == 0).alias("wrong"),
+        (F.col("l_returnflag") == "R").alias("late"),
+    )
+
+
+def _with_amounts(rows: DataFrame) -> DataFrame:
+    price, discount = F.col("due_amt"), F.col("discount")
+    paid = price * (1 - discount)
+    known = ["loan_id", "snapshot_date", "loan_amt", "due_amt"]
+    return rows.select(
+        *known,
+        F.when(F.col("wrong"), -paid).otherwise(paid).alias("paid_amt"),
+        F.when(F.col("late"), price * discount).otherwise(0.0).alias("overdue_amt"),
+        *[c for c in rows.columns if c not in (*known, "discount", "wrong", "late")],
     )
 
 
+def loan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily loan rows without the customer. Some paid amounts are negative."""
+    return _with_amounts(_loan_rows(spark, sf_dir))
+
+
 def loan_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily loan rows with customer and start date, as the domain has them."""
-    return loan_events(spark, sf_dir).join(loans(spark, sf_dir), "loan_id")
+    """Daily loan rows with customer and start date, as the domain has them.
+
+    Loans are hashed task by task, so the daily rows, several for each, are not sorted to meet them. Amounts are worked out
+    after the join, where they need not be shuffled.
+    """
+    return _with_amounts(_loan_rows(spark, sf_dir).join(loans(spark, sf_dir).hint("shuffle_hash"), "loan_id"))
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskmart.operators import asof, features, history, labels, quality
-from riskmart.plans import catalog
+from riskmart.plans import catalog, domain
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -127,3 +127,26 @@ def test_scans_are_pruned(spark):
     plan = catalog.QUERIES["label_store"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_tax" not in plan and "o_totalprice" not in plan
     assert "PushedFilters: [IsNotNull(l_shipdate), IsNotNull(l_orderkey)]" in plan
+
+
+def test_spans_meet_overdue_days_straight_from_a_shuffle(spark, tiny_thresholds):
+    """The tasks of their join hold none of the tables that made the spans."""
+    plan = catalog.label_store_domain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    place = lines[semi + 1].index(":- ")
+    spans = next(i for i in range(semi, len(lines)) if lines[i][place:].startswith("+- "))
+    assert "Sort" in lines[spans] and "Exchange hashpartitioning" in lines[spans + 1]
+
+
+def test_daily_loans_are_not_sorted_to_meet_their_loans(spark, tiny_thresholds):
+    plan = final_plan(domain.loan_daily(spark, "/root/testdata/sf0.001"))
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortMerge", "")
+
+
+def test_derived_financial_columns_are_worked_out_after_all_joins(spark):
+    silver = domain.bronze(spark, "/root/testdata/sf0.001")
+    silver["financials"] = quality.clean_financials(silver["financials"])
+    gold = features.gold_features(labels.label_store(silver["loan_daily"]), **silver, grain="loan")
+    above_joins = gold._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert "AS DTI#" in above_joins and "AS Credit_History_Months#" in above_joins
