@@ -13,7 +13,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.operators.history import click_days, loan_days, merged_click_days
+from riskmart.operators.history import AMOUNTS, CUSTOMER, click_days, loan_days, merged_click_days
 from riskmart.plans.bronze import LEDGERS
 from riskmart.sources import Ledger, exists, read_months, remove, write_partitions, write_table
 from riskmart.sources.ledger import Month, month_dir, month_name, month_of
@@ -66,7 +66,8 @@ def _put(spark: SparkSession, path: str, ledger: dict) -> None:
 
 
 def add_loan_days(spark: SparkSession, path: str, loan_daily: DataFrame, batch: str) -> list[Month]:
-    return add_days(spark, path, loan_days(loan_daily), loan_days, "snapshot_date", batch)
+    daily = loan_daily.select("loan_id", CUSTOMER, "snapshot_date", *AMOUNTS.values())  # loan_days takes rows and days alike
+    return add_days(spark, path, daily, loan_days, "snapshot_date", batch)
 
 
 def add_click_days(spark: SparkSession, path: str, clicks: DataFrame, batch: str) -> list[Month]:

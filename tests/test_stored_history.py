@@ -70,3 +70,13 @@ def test_a_batch_touches_its_months_only_and_counts_once(spark, tmp_path, monkey
     found = {r.snapshot_date.month: (r.paid_amt, r.due_amt, r.overdue_amt) for r in S.read_days(spark, path).collect()}
     assert found == {1: (1.0, 10.0, None), 2: (107.0, 30.0, None), 3: (7.5, 20.0, None)}
     assert not list(tmp_path.glob("days-*"))
+
+
+def test_a_batch_of_loan_rows_is_summed_once(spark, tmp_path, monkeypatch):
+    rows = [("L1", "a", dt.date(2023, 1, 5), 1.0, 2.0, None), ("L1", "a", dt.date(2023, 1, 5), 4.0, 8.0, 1.0)]
+    daily = spark.createDataFrame(rows, "loan_id string, Customer_ID string, snapshot_date date, paid_amt double, due_amt double, overdue_amt double")
+    calls = []
+    monkeypatch.setattr(S, "loan_days", lambda df: calls.append(df) or H.loan_days(df))
+    S.add_loan_days(spark, str(tmp_path), daily.withColumn("loan_amt", daily.due_amt), "1")
+    assert len(calls) == 1
+    assert [tuple(r) for r in S.read_days(spark, str(tmp_path)).collect()] == [("L1", "a", dt.date(2023, 1, 5), 5.0, 10.0, 1.0)]
