@@ -155,19 +155,27 @@ def click_days(clicks: DataFrame, columns: Sequence[str] = CLICK_FEATURES) -> Da
     )
 
 
+MOMENTS = "moments"
+
+
 def _days_and_predictions(days: DataFrame, labels: DataFrame, history_end: str) -> DataFrame:
     """Click days and prediction dates of each customer as rows of one table.
 
     Both are grouped by day, so a customer brings at most two rows per calendar day into a
-    window over it, even one with a third of all clicks and loans.
+    window over it, even one with a third of all clicks and loans. The moments are one column,
+    which is null and takes no room in the rows of predictions; predictions of customers without clicks give no row and stay out.
     """
+    clicked = splittable(days.select(CUSTOMER).distinct())
     predictions = (
         labels.filter(F.col(CUSTOMER).isNotNull() & F.col("prediction_date").isNotNull())
         .groupBy(CUSTOMER, "prediction_date")
         .agg(F.count(F.lit(1)).alias(WEIGHT))
         .withColumn("day", history_cut(history_end))
+        .join(clicked, CUSTOMER, "left_semi")
     )
-    return days.unionByName(predictions, allowMissingColumns=True)
+    moments = [c for c in days.columns if c not in (CUSTOMER, "day", IS_CLICK_DAY)]
+    packed = days.select(CUSTOMER, "day", IS_CLICK_DAY, F.struct(*moments).alias(MOMENTS))
+    return packed.unionByName(predictions, allowMissingColumns=True)
 
 
 OF_CUSTOMER = f"over (partition by {CUSTOMER})"
@@ -178,8 +186,10 @@ def _customer_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
     later = Window.partitionBy(CUSTOMER).orderBy(F.desc("day")).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    weighted = days.withColumn(WEIGHT, F.sum(WEIGHT).over(later)).filter(
-        F.col(IS_CLICK_DAY).isNotNull() & (F.col(WEIGHT) > 0)
+    weighted = (
+        days.withColumn(WEIGHT, F.sum(WEIGHT).over(later))
+        .filter(F.col(IS_CLICK_DAY).isNotNull() & (F.col(WEIGHT) > 0))
+        .select(CUSTOMER, "day", WEIGHT, f"{MOMENTS}.*")
     )
     means = {
         f"{c}_mean": F.expr(
@@ -209,12 +219,13 @@ def _loan_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Running statistics, read off at each prediction date.
 
     Running sums are taken of deviations from the customer's mean over all its days, which
-    keeps their squares from cancelling.
+    keeps their squares from cancelling. Both windows have one order, so the rows are sorted once.
     """
+    whole = f"over (partition by {CUSTOMER} order by day range between unbounded preceding and unbounded following)"
     so_far = f"over (partition by {CUSTOMER} order by day range between unbounded preceding and current row)"
     centres, deviations = {}, {}
     for c in columns:
-        total, count = (f"sum(if(abs({c}_s) < double('inf'), {c}_{part}, null)) {OF_CUSTOMER}" for part in "sn")
+        total, count = (f"sum(if(abs({c}_s) < double('inf'), {c}_{part}, null)) {whole}" for part in "sn")
         off = f"({c}_s / nullif({c}_n, 0) - {c}_c)"
         centres[f"{c}_c"] = F.expr(f"coalesce(try_divide({total}, {count}), 0d)")
         deviations[f"{c}_a"] = F.expr(f"{c}_n * {off}")
@@ -226,7 +237,8 @@ def _loan_statistics(days: DataFrame, columns: Sequence[str]) -> DataFrame:
     squares = {c: f"greatest({c}_q - {c}_a * {c}_a / {c}_n, 0d)" for c in columns}
     deviation = [f"if({c}_n > 1, sqrt({squares[c]} / ({c}_n - 1)), null) as {c}_std" for c in columns]
     return (
-        days.withColumns(centres)
+        days.select(CUSTOMER, "day", "prediction_date", IS_CLICK_DAY, f"{MOMENTS}.*")
+        .withColumns(centres)
         .withColumns(deviations)
         .selectExpr(CUSTOMER, "prediction_date", *running)
         .filter(F.col("prediction_date").isNotNull() & (F.col(IS_CLICK_DAY) > 0))

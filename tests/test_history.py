@@ -146,3 +146,15 @@ def test_infinite_and_not_a_number_spread_only_forward(spark):
     early, late = history.clickstream_agg(clicks, labels, "loan", COLUMNS).orderBy("prediction_date").collect()
     assert (early.x_mean, early.y_mean) == (4.0, 1.0)
     assert math.isnan(late.x_mean) and not math.isfinite(late.y_mean)
+
+
+def test_predictions_meet_click_days_without_room_for_moments(spark):
+    """Predictions bring narrow rows, and none for a customer without clicks."""
+    clicks = spark.createDataFrame([(1, START, 2.0)], "Customer_ID int, snapshot_date date, x double")
+    labels = spark.createDataFrame([(1, START), (2, START), (None, START)], "Customer_ID int, prediction_date date")
+    together = history._days_and_predictions(history.click_days(clicks, ["x"]), labels, "inclusive")
+    assert set(together.columns) == {"Customer_ID", "day", "prediction_date", history.IS_CLICK_DAY, history.WEIGHT, history.MOMENTS}
+    assert [r.Customer_ID for r in together.filter("prediction_date is not null").collect()] == [1]
+    for grain in ("customer", "loan"):
+        found = history.clickstream_agg(clicks, labels, grain, ["x"]).collect()
+        assert [(r.Customer_ID, r.x_mean, r.x_std) for r in found] == [(1, 2.0, None)]
