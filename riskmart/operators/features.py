@@ -44,6 +44,9 @@ def financial_features(financials: DataFrame, plural_only: bool = True) -> DataF
     )
 
 
+HAS_FINANCIALS = "_has_financials"
+
+
 def gold_features(
     labels: DataFrame,
     attributes: DataFrame,
@@ -62,25 +65,27 @@ def gold_features(
     Label rows without an attributes snapshot drop out; other missing features are NULL.
     The feature tables share their key and are joined to each other first, a few rows per
     key and without a further shuffle, so the label table is shuffled once and its hot
-    customers meet a single join, in which AQE can split them.
+    customers meet a single join, in which AQE can split them. By loan, the loans' sums are joined to the labels
+    before, while these are narrow. What is worked out from single financial rows comes last, so that no join moves it.
     """
     check_grain(grain)
     keys = [CUSTOMER] if grain == "customer" else [CUSTOMER, "prediction_date"]
     attributes_now = asof_latest(attributes, labels, grain, history_end)
-    latest_financials = asof_latest(financials, labels, grain, history_end)
-    financials_now = financial_features(latest_financials, plural_only).drop("snapshot_date", *PARTITION_KEYS)
+    financials_now = asof_latest(financials, labels, grain, history_end).drop("snapshot_date", *PARTITION_KEYS)
+    engineered = [c for c in financial_features(financials_now, plural_only).columns if c not in financials_now.columns]
     loans = loan_agg(loan_daily, labels, grain, history_end)
     if click_days is None:
         clicks = clickstream_agg(clickstream, labels, grain, history_end=history_end)
     else:
         clicks = clickstream_agg_of_days(click_days, labels, grain, history_end=history_end)
 
-    per_key = [financials_now, loans, clicks] if grain == "customer" else [financials_now, clicks]
+    found = financials_now.withColumn(HAS_FINANCIALS, F.lit(True))
+    per_key = [found, loans, clicks] if grain == "customer" else [found, clicks]
     known = reduce(lambda left, right: left.join(right, keys, "left"), per_key, attributes_now)
-    gold = labels.join(splittable(known), keys)
-    if grain == "loan":
-        gold = gold.join(loans, ["loan_id", CUSTOMER], "left")
+    rows = labels if grain == "customer" else labels.join(loans, ["loan_id", CUSTOMER], "left")
+    gold = financial_features(rows.join(splittable(known), keys), plural_only)
+    gold = gold.withColumns({c: F.when(F.col(HAS_FINANCIALS), F.col(c)) for c in engineered})
 
-    added = [c for frame in (attributes_now, financials_now, loans, clicks) for c in frame.columns]
+    added = [*attributes_now.columns, *financials_now.columns, *engineered, *loans.columns, *clicks.columns]
     order = dict.fromkeys([CUSTOMER, *labels.columns, *added])
     return gold.select(*order)
