@@ -102,11 +102,10 @@ def loan_agg(
         weighted = loan_history(daily, labels, history_end)
         sums = [F.sum(F.col(WEIGHT) * F.col(c)).alias(name) for name, c in amounts.items()]
         return _with_payment_ratio(weighted.groupBy(CUSTOMER).agg(*sums))
-    # One row per loan and day first: the join below is on the grouping key, where AQE
-    # does not split a hot loan by default.
-    days = loan_days(daily)
-    cuts = labels.select("loan_id", CUSTOMER, history_cut(history_end).alias("cut"))
-    own = days.join(cuts, ["loan_id", CUSTOMER]).filter(F.col("snapshot_date") <= F.col("cut"))
+    # Both sides come straight from a shuffle and the sums are shuffled once more, combined on the map side
+    # first, so AQE may split a hot loan and later days are never moved again.
+    cuts = splittable(labels.select("loan_id", CUSTOMER, history_cut(history_end).alias("cut")))
+    own = splittable(daily.join(cuts, ["loan_id", CUSTOMER]).filter(F.col("snapshot_date") <= F.col("cut")))
     sums = [F.sum(c).alias(name) for name, c in amounts.items()]
     return _with_payment_ratio(own.groupBy("loan_id", CUSTOMER).agg(*sums))
 

@@ -150,3 +150,10 @@ def test_derived_financial_columns_are_worked_out_after_all_joins(spark):
     gold = features.gold_features(labels.label_store(silver["loan_daily"]), **silver, grain="loan")
     above_joins = gold._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
     assert "AS DTI#" in above_joins and "AS Credit_History_Months#" in above_joins
+
+
+def test_sums_by_loan_split_a_hot_loan_and_move_its_rows_once(spark, tiny_thresholds, hot):
+    store = labels.label_windows(labels.loan_info(hot)).select("loan_id", "Customer_ID", "prediction_date")
+    plan = final_plan(history.loan_agg(hot, store, "loan"))
+    assert "skew=true" in plan
+    assert not any("Aggregate(" in line and "snapshot_date" in line for line in plan.splitlines())
