@@ -33,7 +33,7 @@ from riskmart.sources import (
 from riskmart.sources.column_types import NOTHING, SPARK_TYPES, agreed, counts, kinds, merged
 from riskmart.sources.csv_files import CORRUPT, FILE, header
 from riskmart.sources.ledger import Month, month_dir, month_name, month_of, recover
-from riskmart.sources.partitions import PARTITION_KEYS
+from riskmart.sources.partitions import PARTITION_KEYS, move_partitions
 
 REJECTS = "rejects"
 LEDGERS = "ledgers"
@@ -98,17 +98,20 @@ def _write_months(
     ledger_path: str,
     months: Mapping[str, dict],
     gone: Iterable[str] = (),
+    staging: str | None = None,
 ) -> None:
     """Replace months of the table and say so in the ledger, before and after. ``gone`` have no rows any more.
 
-    Columns without any evidence are not written, so that a later batch may decide what they are.
+    With ``staging`` the months lie there as they are to be, and are put in place. Columns without any evidence are not written, so that a later batch may decide what they are.
     """
     found = ledger.evidence()
     kept = [c for c in calendar.columns if c in ledger.declared or c in PARTITION_KEYS or found.get(c, NOTHING) != NOTHING]
     stored = {f.name: f.dataType.simpleString() for f in calendar.select(*kept).schema.fields if f.name not in PARTITION_KEYS}
     ledger.pending = sorted({*months, *gone})
     ledger.write(spark, ledger_path)
-    if months:
+    if months and staging is not None:
+        move_partitions(spark, staging, path, map(month_of, months))
+    elif months:
         write_partitions(calendar.select(*kept), path)
     for name in gone:
         remove(spark, month_dir(path, month_of(name)))
@@ -172,19 +175,30 @@ def ingest_source(
 
 
 def ingest_rows(spark: SparkSession, name: str, rows: DataFrame, bronze_path: str) -> None:
-    """Ingest a batch of rows that are typed already; they replace the months that they have. Rows without ``snapshot_date`` are left out."""
+    """Ingest a batch of rows that are typed already; they replace the months that they have. Rows without ``snapshot_date`` are left out.
+
+    The rows are worked out once, into months beside the table. These are measured there, and those that changed take the places of the table's own.
+    """
     table, ledger_path = f"{bronze_path}/{name}", f"{bronze_path}/{LEDGERS}/{name}"
+    staging = f"{table}-{uuid4().hex}"
     day = F.col("snapshot_date")
     dated = rows.drop(*PARTITION_KEYS).filter(day.isNotNull()).withColumns({"year": F.year(day), "month": F.month(day)})
     columns = [F.col(f"`{c}`") for c in dated.columns]
     checks = [F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)")).cast("string").alias(f"check{salt}") for salt in (1, 2)]
-    measured = dated.groupBy(*PARTITION_KEYS).agg(F.count("*").alias("rows"), *checks).collect()
-    ledger = _batch_ledger(spark, table, ledger_path)
-    ledger.declared |= {f.name: f.dataType.simpleString() for f in dated.schema.fields if f.name not in PARTITION_KEYS}
-    ledger.add_columns(dated.columns)
-    facts = {month_name((r.year, r.month)): {"rows": r.rows, "digest": f"{r.rows} {r.check1} {r.check2}", "kinds": {}} for r in measured}
-    changed = {n: f for n, f in facts.items() if ledger.months.get(n, {}).get("digest") != f["digest"]}
-    _write_months(spark, dated.filter(_in_months(changed)), table, ledger, ledger_path, changed)
+    try:
+        write_partitions(dated, staging)
+        measured = []
+        if exists(spark, staging):  # no row, no folder
+            staged = spark.read.schema(dated.schema).parquet(staging)
+            measured = staged.groupBy(*PARTITION_KEYS).agg(F.count("*").alias("rows"), *checks).collect()
+        ledger = _batch_ledger(spark, table, ledger_path)
+        ledger.declared |= {f.name: f.dataType.simpleString() for f in dated.schema.fields if f.name not in PARTITION_KEYS}
+        ledger.add_columns(dated.columns)
+        facts = {month_name((r.year, r.month)): {"rows": r.rows, "digest": f"{r.rows} {r.check1} {r.check2}", "kinds": {}} for r in measured}
+        changed = {n: f for n, f in facts.items() if ledger.months.get(n, {}).get("digest") != f["digest"]}
+        _write_months(spark, dated, table, ledger, ledger_path, changed, staging=staging)
+    finally:
+        remove(spark, staging)
 
 
 def _in_months(names: Iterable[str]) -> Column:

@@ -36,6 +36,8 @@ from riskmart.sources.partitions import PARTITION_KEYS
 from riskmart.sources.tables import list_files, read_text, rename, write_text
 
 KEYS, FLAGS, CHANGES = "index/keys", "index/flags", "changes"
+#: Begins the name of a change set that stands for all customers and has no table.
+EVERYBODY = "all-"
 LOAN = "loan_id"
 TAKEN, STATE = "_taken.json", "_state.json"
 
@@ -90,6 +92,10 @@ def _add_change_set(spark: SparkSession, silver_path: str, changed: DataFrame |
         return
     name = uuid4().hex
     write_table(changed.select(CUSTOMER, LOAN).distinct(), f"{silver_path}/{CHANGES}/{name}")
+    _name_change_set(spark, silver_path, name)
+
+
+def _name_change_set(spark: SparkSession, silver_path: str, name: str) -> None:
     write_text(spark, f"{silver_path}/{CHANGES}/_sets.json", json.dumps([*change_sets(spark, silver_path), name]))
 
 
@@ -104,6 +110,7 @@ def update_silver(spark: SparkSession, bronze_path: str, silver_path: str, refre
     """Bring silver up to date with bronze and return the months of each table that were built again."""
     sources = {n: Ledger.read(spark, f"{bronze_path}/{LEDGERS}/{n}") for n in TABLES}
     own = {n: Ledger.read(spark, f"{silver_path}/{LEDGERS}/{n}") for n in TABLES}
+    first = all(ledger is None for ledger in own.values())
     for n in TABLES:
         if own[n] is None:  # built whole before, or never
             remove(spark, f"{silver_path}/{n}")
@@ -121,8 +128,11 @@ def update_silver(spark: SparkSession, bronze_path: str, silver_path: str, refre
 
     like = read_source(spark, bronze_path, "loan_daily", [])
     touched = {n: [*stale[n], *gone[n]] for n in TABLES}
-    before = (_with_loan(_index(spark, f"{silver_path}/{KEYS}/{n}", touched[n]), like) for n in TABLES)
-    _add_change_set(spark, silver_path, _union(before))
+    if first:
+        _name_change_set(spark, silver_path, f"{EVERYBODY}{uuid4().hex}")
+    else:
+        before = (_with_loan(_index(spark, f"{silver_path}/{KEYS}/{n}", touched[n]), like) for n in TABLES)
+        _add_change_set(spark, silver_path, _union(before))
     fresh = {n: read_source(spark, bronze_path, n, stale[n]) for n in TABLES}
     for n, flagged_rows in flag_tables(fresh).items():
         bad = flagged_rows.filter(F.col(ISSUE) == 1).select(CUSTOMER, *PARTITION_KEYS).distinct()
@@ -130,8 +140,9 @@ def update_silver(spark: SparkSession, bronze_path: str, silver_path: str, refre
     for n in TABLES:
         keys = fresh[n].select(*_key_columns(n), *PARTITION_KEYS).distinct()
         _replace_months(spark, keys, f"{silver_path}/{KEYS}/{n}", touched[n])
-    now = (_with_loan(_index(spark, f"{silver_path}/{KEYS}/{n}", stale[n]), like) for n in TABLES)
-    _add_change_set(spark, silver_path, _union(now))
+    if not first:
+        now = (_with_loan(_index(spark, f"{silver_path}/{KEYS}/{n}", stale[n]), like) for n in TABLES)
+        _add_change_set(spark, silver_path, _union(now))
 
     next_path = f"{silver_path}/flagged-next"
     flags = _union(_index(spark, f"{silver_path}/{FLAGS}/{n}") for n in flag_tables(fresh))
@@ -143,12 +154,12 @@ def update_silver(spark: SparkSession, bronze_path: str, silver_path: str, refre
     moved_path = f"{shared_dir(spark)}/moved-{uuid4().hex}"
     write_table(moved, moved_path)
     moved = spark.read.parquet(moved_path)
-    if not moved.isEmpty():
+    if not first and not moved.isEmpty():
         _add_change_set(spark, silver_path, moved.withColumn(LOAN, F.lit(None).cast(like.schema[LOAN].dataType)))
 
     rebuilt = {}
     for n in TABLES:
-        keys = _index(spark, f"{silver_path}/{KEYS}/{n}")
+        keys = _index(spark, f"{silver_path}/{KEYS}/{n}", sorted({*builds[n]} - {*stale[n]}))  # stale months are built anyway
         met = [] if keys is None else _in(keys, moved, CUSTOMER).select(*PARTITION_KEYS).distinct().collect()
         rebuilt[n] = sorted({*stale[n], *((r.year, r.month) for r in met)})
         if rebuilt[n] or gone[n]:
@@ -229,25 +240,35 @@ def _swap(spark: SparkSession, df: DataFrame, path: str, files: Mapping[str, str
     rename(spark, fresh, path)
 
 
-def affected_customers(spark: SparkSession, silver_path: str, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Customers whose gold rows may differ, and all whose rows are needed to build these.
+def affected_customers(spark: SparkSession, silver_path: str, changed: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
+    """Customers whose gold rows may differ, and all whose rows are needed to build these, as tables below ``work``.
 
-    A customer's labels and sums depend on the rows of all its loans, whoever else has them.
+    A customer's labels and sums depend on the rows of all its loans, whoever else has them. Only loans of several customers lead from one to another,
+    and loans that changed, which may have lost a customer; so loans are shuffled once to find the shared ones, and these alone are followed.
     """
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        write_table(df, f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
+
     loans = _index(spark, f"{silver_path}/{KEYS}/loan_daily")
     first = changed.select(CUSTOMER).distinct()
     if loans is None:
-        return first, first
-    pairs = loans.select(CUSTOMER, LOAN).filter(F.col(LOAN).isNotNull()).distinct()
-
-    def spread(customers: DataFrame, more: DataFrame | None = None) -> DataFrame:
-        own = _in(pairs, customers, CUSTOMER).select(LOAN)
-        own = own if more is None else own.unionByName(more)
-        return customers.unionByName(_in(pairs, own.distinct(), LOAN).select(CUSTOMER)).distinct()
-
+        differ = kept(first, "differ")
+        return differ, differ
+    pairs = loans.select(CUSTOMER, LOAN).filter(F.col(LOAN).isNotNull())
+    known, rows = F.count(CUSTOMER), F.count(F.lit(1))
+    shared = pairs.groupBy(LOAN).agg((F.min(CUSTOMER) != F.max(CUSTOMER)).alias("differ"), ((known > 0) & (known < rows)).alias("some_missing"))
+    shared_pairs = kept(_in(pairs, shared.filter("differ or some_missing"), LOAN).distinct(), "shared")
+
+    def spread(customers: DataFrame) -> DataFrame:
+        own = _in(shared_pairs, customers, CUSTOMER).select(LOAN).distinct()
+        return customers.unionByName(_in(shared_pairs, own, LOAN).select(CUSTOMER)).distinct()
+
+    moved = changed.select(LOAN).filter(F.col(LOAN).isNotNull()).distinct()
     # loans that changed customers are in the set by both
-    near = spread(first, changed.select(LOAN).filter(F.col(LOAN).isNotNull()))
-    return near, spread(near)
+    differ = kept(spread(first).unionByName(_in(pairs, moved, LOAN).select(CUSTOMER)).distinct(), "differ")
+    return differ, kept(spread(differ), "needed")
 
 
 def _latest(
@@ -269,19 +290,17 @@ def update_gold(spark: SparkSession, config: Config, refresh: bool = False) -> b
     """
     sets = change_sets(spark, config.silver_path)
     state = json.loads(read_text(spark, f"{config.gold_path}/{TAKEN}") or "{}")
-    if refresh or state.get("parameters") != _parameters(config):
+    taken_sets = state.get("sets", [])
+    if refresh or state.get("parameters") != _parameters(config) or any(s.startswith(EVERYBODY) and s not in taken_sets for s in sets):
         build_gold(spark, config, refresh=True)
         write_text(spark, f"{config.gold_path}/{TAKEN}", json.dumps({"parameters": _parameters(config), "sets": sets}))
         return True
-    new = [s for s in sets if s not in state["sets"]]
+    new = [s for s in sets if s not in taken_sets]
     if not new:
         return False
     work = f"{shared_dir(spark)}/gold-{uuid4().hex}"
     changed = reduce(DataFrame.unionByName, [spark.read.parquet(f"{config.silver_path}/{CHANGES}/{s}") for s in new])
-    differ, needed = affected_customers(spark, config.silver_path, changed)
-    write_table(differ, f"{work}/differ")
-    write_table(needed, f"{work}/needed")
-    differ, needed = spark.read.parquet(f"{work}/differ"), spark.read.parquet(f"{work}/needed")
+    differ, needed = affected_customers(spark, config.silver_path, changed, work)
     update_history(spark, config.silver_path)
     tables, days = {}, {}
     for n in TABLES:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskmart.sources.tables import make_dir, remove, rename
+
 PARTITION_KEYS = ("year", "month")
 
 
@@ -35,3 +37,12 @@ def read_partitions(
         return df
     wanted = [(F.col("year") == year) & (F.col("month") == month) for year, month in months]
     return df.filter(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+
+
+def move_partitions(spark: SparkSession, staging: str, path: str, months: Iterable[tuple[int, int]]) -> None:
+    """Replace the given months of the table at ``path`` by those written below ``staging``, a folder of the same file system."""
+    for year, month in months:
+        place = f"year={year}/month={month}"
+        remove(spark, f"{path}/{place}")
+        make_dir(spark, f"{path}/year={year}")
+        rename(spark, f"{staging}/{place}", f"{path}/{place}")

@@ -68,6 +68,11 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be renamed to {to}")
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    found, system = _path(spark, path)
+    system.mkdirs(found)
+
+
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Path, length and modification time of the files that ``path`` (a file, folder or pattern) stands for."""
     pattern, system = _path(spark, path)

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from riskmart.config import Config
 from riskmart.plans import increment as I
@@ -142,3 +143,52 @@ def test_other_parameters_build_gold_whole(spark, feed):
     assert feed.update(changed)[1]
     feed.check(changed)
     assert values(spark.read.parquet(f"{changed.label_path}_metrics/label_distribution").groupBy().sum("n_loans"))[0][0] > 0
+
+
+def test_typed_rows_are_worked_out_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(i):
+        made.add(1)
+        return i
+
+    days = F.date_add(F.lit("2023-01-20").cast("date"), (F.col("id") % 20).cast("int")).alias("snapshot_date")
+    rows = spark.range(100).select(seen("id").alias("loan_id"), days)
+    ingest_rows(spark, "loans", rows, str(tmp_path))
+    assert made.value == 100
+    assert values(I.read_source(spark, str(tmp_path), "loans"), "loan_id") == [(i,) for i in range(100)]
+    ingest_rows(spark, "loans", rows.filter("loan_id < 0"), str(tmp_path))  # a batch without rows
+    assert I.read_source(spark, str(tmp_path), "loans").count() == 100
+    assert not [p for p in glob.glob(f"{tmp_path}/*") if "loans-" in p]
+
+
+def test_a_first_silver_lists_no_customers_and_builds_gold_whole(spark, feed):
+    assert not glob.glob(f"{feed.config.silver_path}/changes/*/*.parquet")
+    for path in (feed.config.bronze_path, feed.config.silver_path):
+        I.remove(spark, path)
+    feed.months = {}
+    feed.give({MONTHS[4]: rows_of(MONTHS[4], 5)})
+    assert feed.update()[1]
+    feed.check()  # customers of the silver before are gone
+    assert feed.update() == ({n: [] for n in TABLES}, False)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_customers_that_a_change_reaches(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    loans = [None, *(f"L{i}" for i in range(30))]
+    pairs = [(rng.choice([None, *range(25)]), loan) for loan in loans for _ in range(rng.choice((1, 1, 1, 3)))]
+    changed = rng.sample([p for p in pairs if p[1]], 2) + [(99, "L7"), (24, None)]  # L7 has lost a customer
+    rows = [(c, loan, 2023, m) for c, loan in pairs for m in rng.sample((1, 2, 3), 2)]
+    silver = f"{tmp_path}/silver"
+    I.write_partitions(spark.createDataFrame(rows, "Customer_ID long, loan_id string, year int, month int"), f"{silver}/{I.KEYS}/loan_daily")
+
+    def spread(customers, more=()):
+        own = {loan for c, loan in pairs if loan and c in customers} | {loan for loan in more if loan}
+        return customers | {c for c, loan in pairs if loan in own}
+
+    near = spread({c for c, _ in changed}, [loan for _, loan in changed])
+    found = I.affected_customers(spark, silver, spark.createDataFrame(changed, "Customer_ID long, loan_id string"), f"{tmp_path}/work")
+    for df, wanted in zip(found, (near, spread(near)), strict=True):
+        assert sorted(map(str, (r[0] for r in df.collect()))) == sorted(map(str, wanted))
