@@ -66,7 +66,8 @@ def gold_features(
     The feature tables share their key and are joined to each other first, a few rows per
     key and without a further shuffle, so the label table is shuffled once and its hot
     customers meet a single join, in which AQE can split them. By loan, the loans' sums are joined to the labels
-    before, while these are narrow. What is worked out from single financial rows comes last, so that no join moves it.
+    before, while these are narrow. What is worked out from single financial rows comes last there, so that no join moves it;
+    by customer it is worked out once for all loans of each.
     """
     check_grain(grain)
     keys = [CUSTOMER] if grain == "customer" else [CUSTOMER, "prediction_date"]
@@ -82,9 +83,15 @@ def gold_features(
     found = financials_now.withColumn(HAS_FINANCIALS, F.lit(True))
     per_key = [found, loans, clicks] if grain == "customer" else [found, clicks]
     known = reduce(lambda left, right: left.join(right, keys, "left"), per_key, attributes_now)
-    rows = labels if grain == "customer" else labels.join(loans, ["loan_id", CUSTOMER], "left")
-    gold = financial_features(rows.join(splittable(known), keys), plural_only)
-    gold = gold.withColumns({c: F.when(F.col(HAS_FINANCIALS), F.col(c)) for c in engineered})
+
+    def worked_out(rows: DataFrame) -> DataFrame:
+        features = financial_features(rows, plural_only)
+        return features.withColumns({c: F.when(F.col(HAS_FINANCIALS), F.col(c)) for c in engineered}).drop(HAS_FINANCIALS)
+
+    if grain == "customer":
+        gold = labels.join(splittable(worked_out(known)), keys)
+    else:
+        gold = worked_out(labels.join(loans, ["loan_id", CUSTOMER], "left").join(splittable(known), keys))
 
     added = [*attributes_now.columns, *financials_now.columns, *engineered, *loans.columns, *clicks.columns]
     order = dict.fromkeys([CUSTOMER, *labels.columns, *added])

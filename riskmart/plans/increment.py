@@ -28,7 +28,7 @@ from riskmart.operators.quality import CUSTOMER, ISSUE
 from riskmart.operators.skew import splittable
 from riskmart.plans.bronze import LEDGERS, read_source
 from riskmart.plans.gold import build_gold, label_metrics
-from riskmart.plans.silver import TABLES, clean_tables, flag_tables, remove_by_size
+from riskmart.plans.silver import TABLES, clean_tables, flag_tables, may_broadcast, remove_by_size
 from riskmart.plans.stored_history import read_history, update_history
 from riskmart.sources import Ledger, digest, exists, read_months, remove, shared_dir, write_mark, write_partitions, write_table
 from riskmart.sources.ledger import Month, month_dir, month_name, month_of
@@ -39,6 +39,8 @@ KEYS, FLAGS, CHANGES = "index/keys", "index/flags", "changes"
 #: Begins the name of a change set that stands for all customers and has no table.
 EVERYBODY = "all-"
 LOAN = "loan_id"
+#: Marks the labels that replace stored ones.
+DIFFERS = "_differs"
 TAKEN, STATE = "_taken.json", "_state.json"
 
 
@@ -243,8 +245,8 @@ def _swap(spark: SparkSession, df: DataFrame, path: str, files: Mapping[str, str
 def affected_customers(spark: SparkSession, silver_path: str, changed: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
     """Customers whose gold rows may differ, and all whose rows are needed to build these, as tables below ``work``.
 
-    A customer's labels and sums depend on the rows of all its loans, whoever else has them. Only loans of several customers lead from one to another,
-    and loans that changed, which may have lost a customer; so loans are shuffled once to find the shared ones, and these alone are followed.
+    A customer's labels and sums depend on the rows of all its loans, whoever else has them. Only loans of several customers, counting those that a change
+    took them from, lead from one to another; so loans are shuffled once to find these, and they alone are followed.
     """
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -256,21 +258,34 @@ def affected_customers(spark: SparkSession, silver_path: str, changed: DataFrame
     if loans is None:
         differ = kept(first, "differ")
         return differ, differ
-    pairs = loans.select(CUSTOMER, LOAN).filter(F.col(LOAN).isNotNull())
+    pairs = loans.select(CUSTOMER, LOAN).unionByName(changed.select(CUSTOMER, LOAN)).filter(F.col(LOAN).isNotNull())
     known, rows = F.count(CUSTOMER), F.count(F.lit(1))
     shared = pairs.groupBy(LOAN).agg((F.min(CUSTOMER) != F.max(CUSTOMER)).alias("differ"), ((known > 0) & (known < rows)).alias("some_missing"))
-    shared_pairs = kept(_in(pairs, shared.filter("differ or some_missing"), LOAN).distinct(), "shared")
+    # stored, so that Spark knows how few they are before it joins all pairs with them
+    shared_loans = kept(shared.filter("differ or some_missing").select(LOAN), "shared_loans")
+    shared_pairs = kept(_in(pairs, shared_loans, LOAN).distinct(), "shared")
 
     def spread(customers: DataFrame) -> DataFrame:
         own = _in(shared_pairs, customers, CUSTOMER).select(LOAN).distinct()
         return customers.unionByName(_in(shared_pairs, own, LOAN).select(CUSTOMER)).distinct()
 
-    moved = changed.select(LOAN).filter(F.col(LOAN).isNotNull()).distinct()
-    # loans that changed customers are in the set by both
-    differ = kept(spread(first).unionByName(_in(pairs, moved, LOAN).select(CUSTOMER)).distinct(), "differ")
+    differ = kept(spread(first), "differ")
     return differ, kept(spread(differ), "needed")
 
 
+def _narrowed(spark: SparkSession, df: DataFrame, customers: DataFrame) -> DataFrame:
+    """Rows of the stored ``customers``, or all rows where the list is too long to broadcast: joins with these customers' labels leave the others out later."""
+    return _in(df, customers, CUSTOMER) if may_broadcast(spark, customers) else df
+
+
+def _without(spark: SparkSession, old: DataFrame, differ: DataFrame, path: str) -> DataFrame:
+    """Rows of a stored table without some customers. Where their list is too long to broadcast, those who stay are listed at ``path``; they may be few."""
+    if may_broadcast(spark, differ):
+        return _in(old, differ, CUSTOMER, "left_anti")
+    write_table(_in(old.select(CUSTOMER).distinct(), differ, CUSTOMER, "left_anti"), path)
+    return _in(old, spark.read.parquet(path), CUSTOMER)
+
+
 def _latest(
     spark: SparkSession, config: Config, table: str, labels: DataFrame, needed: DataFrame, like: DataFrame
 ) -> DataFrame:
@@ -278,7 +293,7 @@ def _latest(
     path = f"{config.silver_path}/{table}"
     ledger = Ledger.read(spark, f"{config.silver_path}/{LEDGERS}/{table}")
     months = [month_of(m) for m, f in ledger.months.items() if f["rows"]]
-    read = lambda wanted: _in(read_months(spark, path, ledger, wanted), needed, CUSTOMER)
+    read = lambda wanted: _narrowed(spark, read_months(spark, path, ledger, wanted), needed)
     found = asof_newest_first(read, months, labels, config.history_end)
     return found if found is not None else like.limit(0)
 
@@ -308,10 +323,14 @@ def update_gold(spark: SparkSession, config: Config, refresh: bool = False) -> b
         met = [] if keys is None else _in(keys, needed, CUSTOMER).select(*PARTITION_KEYS).distinct().collect()
         ledger = Ledger.read(spark, f"{config.silver_path}/{LEDGERS}/{n}")
         months = [(r.year, r.month) for r in met]
-        tables[n] = _in(read_months(spark, f"{config.silver_path}/{n}", ledger, months), needed, CUSTOMER)
+        tables[n] = _narrowed(spark, read_months(spark, f"{config.silver_path}/{n}", ledger, months), needed)
         if (history := read_history(spark, config.silver_path, n, months)) is not None:
-            days[n] = _in(history, needed, CUSTOMER)
+            days[n] = _narrowed(spark, history, needed)
     labels = label_store(tables["loan_daily"], config.prediction_months, config.label_window_months, config.max_loan_months)
+    # what replaces stored rows is marked while it is narrow; the others' labels count for loans that they share
+    replaced = differ.select(F.col(CUSTOMER).alias("differing"), F.lit(True).alias(DIFFERS))
+    marked = needed.select(F.col(CUSTOMER).alias("wanted_key")).join(replaced, F.col("wanted_key").eqNullSafe(F.col("differing")), "left")
+    labels = labels.join(splittable(marked.drop("differing")), F.col(CUSTOMER).eqNullSafe(F.col("wanted_key"))).drop("wanted_key")
     write_table(labels, f"{work}/labels")
     labels = spark.read.parquet(f"{work}/labels")
     if config.grain == "customer":
@@ -330,8 +349,9 @@ def update_gold(spark: SparkSession, config: Config, refresh: bool = False) -> b
     taken = json.dumps({"parameters": _parameters(config), "sets": sets})
     for path, part, files in ((config.label_path, labels, {}), (config.gold_path, gold, {TAKEN: taken})):
         old = spark.read.parquet(path)
-        part = _in(part, differ, CUSTOMER).select(*(F.col(c).cast(old.schema[c].dataType).alias(c) if c in old.columns else c for c in part.columns))
-        whole = _in(old, differ, CUSTOMER, "left_anti").unionByName(part, allowMissingColumns=True)
+        part = part.filter(DIFFERS).drop(DIFFERS)
+        part = part.select(*(F.col(c).cast(old.schema[c].dataType).alias(c) if c in old.columns else c for c in part.columns))
+        whole = _without(spark, old, differ, f"{work}/stay-{uuid4().hex}").unionByName(part, allowMissingColumns=True)
         _swap(spark, whole, path, {"_build.json": mark, **files})
     label_metrics(spark, config, spark.read.parquet(config.label_path))
     remove(spark, work)

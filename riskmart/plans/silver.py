@@ -43,11 +43,15 @@ def clean_tables(bronze: Mapping[str, DataFrame]) -> Cleaned:
     return Cleaned(tables, quality.flagged_customers(attributes, financials, loan_daily))
 
 
+def may_broadcast(spark: SparkSession, stored: DataFrame) -> bool:
+    """Whether Spark broadcasts a stored table, by its size, to join it."""
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def remove_by_size(spark: SparkSession, df: DataFrame, flagged: DataFrame) -> DataFrame:
     """Without the flagged customers of a stored table: joined whole if it may be broadcast, else met by possible members only."""
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(flagged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size <= limit:
+    if may_broadcast(spark, flagged):
         return quality.remove_flagged(df, flagged)
     return quality.remove_flagged_split(df, flagged, flagged.count())
 

@@ -145,6 +145,27 @@ def test_other_parameters_build_gold_whole(spark, feed):
     assert values(spark.read.parquet(f"{changed.label_path}_metrics/label_distribution").groupBy().sum("n_loans"))[0][0] > 0
 
 
+def test_a_list_of_customers_too_long_to_broadcast_moves_no_wide_rows(spark, feed, monkeypatch):
+    plans, real = [], I._swap
+
+    def seen(spark, df, *a):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(spark, df, *a)
+
+    monkeypatch.setattr(I, "_swap", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        feed.give({MONTHS[3]: rows_of(MONTHS[3], bad=("C4",)), MONTHS[1]: rows_of(MONTHS[1], 7)})
+        feed.update()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plans[-1].split("\n")
+    part = next(i for i, line in enumerate(lines) if line.startswith("+- "))
+    assert "Join Inner" in next(line for line in lines[part:] if "Join " in line)  # the features' own join comes last
+    feed.check()
+
+
 def test_typed_rows_are_worked_out_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
